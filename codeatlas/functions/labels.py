@@ -15,8 +15,18 @@ from pyspark.sql import functions as F
 from codeatlas import rules as R
 
 
+def any_of_pattern(needles) -> str:
+    """Java regex matching any of the literal needles (quoted with \\Q..\\E)."""
+    return "|".join(r"\Q" + n + r"\E" for n in needles)
+
+
 def _any(c: Column, needles) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(n) for n in needles])
+    """Substring test for any needle: one regex instead of a deep OR tree, so
+    the generated code stays small enough to compile."""
+    needles = list(needles)
+    if len(needles) == 1:
+        return c.contains(needles[0])
+    return c.rlike(any_of_pattern(needles))
 
 
 def _lit(s: str) -> Column:
@@ -51,26 +61,33 @@ def clean_var(name: Column) -> Column:
     return F.when(v == "", F.lit("value")).otherwise(v)
 
 
-def humanize_condition(cond: Column) -> Column:
-    """E9. Dict/get access to words, drop parens, underscores in words to spaces."""
+def humanize_tokens(cond: Column) -> Column:
+    """E9, first part: dict/get access to words, drop parens, underscores in
+    word tokens to spaces."""
     r = F.regexp_replace(cond, r"(?U)(\w+)\['(\w+)'\]|(\w+)\[\"(\w+)\"\]", "$1$3 $2$4")
     r = F.regexp_replace(r, r"(?U)(\w+)\.get\('(\w+)'\)|(\w+)\.get\(\"(\w+)\"\)", "$1$3 $2$4")
     r = F.replace(r, F.lit(" and (not "), F.lit(" and not "))
     r = F.regexp_replace(r, r"[()]", "")
-    # Whole word tokens holding an underscore between word chars: _ -> space.
     tokens = F.regexp_extract_all(r, F.lit(r"(?U)(\w+|\W+)"), 1)
-    r = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"(?U)^\w+_\w+$"), F.translate(t, "_", " "))
-                                 .otherwise(t)), "")
-    code_like = _any(r, (".", "[", "]", "{", "}"))
-    cleaned = F.trim(r)
-    return F.when(code_like | (cleaned == ""), F.lit("data meets conditions")).otherwise(cleaned)
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"(?U)^\w+_\w+$"), F.translate(t, "_", " "))
+                                    .otherwise(t)), "")
+
 
+def humanize_finish(r: Column) -> Column:
+    """E9, second part: code-looking leftovers fall back to a generic phrase."""
+    return F.when(r.rlike(r"[.\[\]{}]") | (F.trim(r) == ""), F.lit("data meets conditions")).otherwise(F.trim(r))
+
+
+def humanize_condition(cond: Column) -> Column:
+    """E9."""
+    return humanize_finish(humanize_tokens(cond))
 
-def simplify_condition(cond: Column) -> Column:
-    """E8."""
+
+def simplify_condition(cond: Column, human: Column | None = None) -> Column:
+    """E8. ``human`` may carry a precomputed ``humanize_condition(cond)``."""
     subject = F.trim(F.substring(cond, 5, 1 << 30))
     before_none = F.trim(F.substring_index(cond, " is None", 1))
-    human = humanize_condition(cond)
+    human = humanize_condition(cond) if human is None else human
     return (F.when(cond.startswith("not ") & (subject.contains("os.path.exists") | subject.contains("Path(")),
                    F.lit("file doesn't exist"))
             .when(cond.startswith("not "), F.concat(clean_var(subject), F.lit(" is missing")))
@@ -84,9 +101,13 @@ def simplify_condition(cond: Column) -> Column:
 # Step text
 # --------------------------------------------------------------------------
 
-def translate_step(step_type: Column, desc: Column, service_name: Column) -> Column:
-    """E1 with E2–E7."""
-    dl = F.lower(desc)
+def translate_step(step_type: Column, desc: Column, service_name: Column,
+                   dl: Column | None = None, checks: Column | None = None) -> Column:
+    """E1 with E2–E7. ``dl`` (lowered description) and ``checks`` (E8 of the
+    if-condition) may be passed precomputed to keep generated code small."""
+    dl = F.lower(desc) if dl is None else dl
+    if checks is None:
+        checks = simplify_condition(F.trim(F.substring(desc, 4, 1 << 30)))
     target = F.coalesce(service_name, F.lit("external service"))
     api = F.concat(F.lit("Fetches data from "), target)
     for needle, verb in reversed(R.API_VERBS):
@@ -101,8 +122,7 @@ def translate_step(step_type: Column, desc: Column, service_name: Column) -> Col
                 .when(desc.startswith("for ") & (loop_var != ""), F.concat(F.lit("Processes each "), loop_var))
                 .when(desc.startswith("for "), F.lit("Repeats for each item"))
                 .when(desc.startswith("while "), F.lit("Repeats while condition is met"))
-                .when(desc.startswith("if "), F.concat(F.lit("Checks: "),
-                                                       simplify_condition(F.trim(F.substring(desc, 4, 1 << 30)))))
+                .when(desc.startswith("if "), F.concat(F.lit("Checks: "), checks))
                 .otherwise(F.lit("Checks a condition")))
     output = (F.when((dl.contains("logger.") | dl.contains("logging.")) & dl.contains("error"),
                      F.lit("Records an error"))
@@ -200,9 +220,9 @@ def phase_dim(spark: SparkSession) -> DataFrame:
                                  "phase string, label string, ord int")
 
 
-def infer_phase(step_type: Column, desc: Column) -> Column:
+def infer_phase(step_type: Column, desc: Column, dl: Column | None = None) -> Column:
     """E18."""
-    d = F.lower(F.coalesce(desc, F.lit("")))
+    d = F.lower(F.coalesce(desc, F.lit(""))) if dl is None else F.coalesce(dl, F.lit(""))
     return (F.when((step_type == "decision") & d.startswith("try/except"), F.lit("error_handling"))
             .when((step_type == "decision") & (d.startswith("for ") | d.startswith("while ")), F.lit("processing"))
             .when(step_type == "output", F.lit("reporting"))
@@ -228,10 +248,34 @@ def phase_ord(phase: Column) -> Column:
     return out
 
 
+def with_phase(steps: DataFrame) -> DataFrame:
+    """Adds ``phase`` (E18) plus ``phase_label`` / ``phase_ord`` looked up in the
+    five-row phase dimension (fixed size, broadcast)."""
+    s = steps.withColumn("phase", infer_phase(F.col("type"), F.col("description")))
+    dim = F.broadcast(phase_dim(steps.sparkSession).withColumnRenamed("label", "phase_label")
+                      .withColumnRenamed("ord", "phase_ord"))
+    return s.join(dim, "phase", "left")
+
+
+def with_label(steps: DataFrame) -> DataFrame:
+    """Adds ``label``.
+
+    Shared pieces (lowered text, condition text, humanized condition) are
+    projected once as helper columns, so the CASE tree references them
+    instead of repeating them (keeps whole-stage codegen under its limits).
+    """
+    typ, desc = F.col("type"), F.col("description")
+    is_if = (typ == "decision") & desc.startswith("if ")
+    s = (steps
+         .withColumn("_dl", F.lower(desc))
+         .withColumn("_cond", F.when(is_if, F.trim(F.substring(desc, 4, 1 << 30))))
+         .withColumn("_h1", humanize_tokens(F.col("_cond")))
+         .withColumn("_human", humanize_finish(F.col("_h1")))
+         .withColumn("_checks", simplify_condition(F.col("_cond"), F.col("_human"))))
+    s = s.withColumn("label", translate_step(typ, desc, F.col("service.name"), F.col("_dl"), F.col("_checks")))
+    return s.drop("_dl", "_cond", "_h1", "_human", "_checks")
+
+
 def with_labels(steps: DataFrame) -> DataFrame:
     """Adds ``label`` (E1), ``phase`` (E18), ``phase_label`` and ``phase_ord``."""
-    return (steps
-            .withColumn("label", translate_step(F.col("type"), F.col("description"), F.col("service.name")))
-            .withColumn("phase", infer_phase(F.col("type"), F.col("description")))
-            .withColumn("phase_label", phase_label(F.col("phase")))
-            .withColumn("phase_ord", phase_ord(F.col("phase"))))
+    return with_label(with_phase(steps))

@@ -22,7 +22,8 @@ def _isin(c: Column, values) -> Column:
 
 
 def _contains_any(c: Column, needles) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(n) for n in needles])
+    from codeatlas.functions.labels import any_of_pattern
+    return c.rlike(any_of_pattern(needles))
 
 
 # --------------------------------------------------------------------------
