@@ -359,3 +359,15 @@ QUERIES: dict[str, QueryFn] = {
     "responses_parsed": responses_parsed,
     "responses_merged": responses_merged,
 }
+
+
+def scorecard(spark, sf_dir):
+    """Flagship: per script rank, key flag, importance score, health and findings."""
+    a = _an(spark, sf_dir)
+    rk = H.ranking(_importance(a))
+    hl = G.health(a.scripts, G.findings(a.steps)).withColumnRenamed("score", "health")
+    return rk.join(hl, ["project_id", "path"]).select(
+        "project_id", "path", "rank", "is_key", "score", "health", "color", "n_findings")
+
+
+QUERIES["scorecard"] = scorecard
