@@ -46,8 +46,9 @@ class Analysis:
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
         an = _SHARED.get(key)
         if an is None:
-            an = cls(spark, C.source_files(spark, sf_dir), C.corpus_listing(spark, sf_dir),
-                     launch_steps(spark, sf_dir))
+            ce = cut(C.corpus_events(spark, sf_dir))
+            an = cls(spark, C.source_files(spark, sf_dir, ce), cut(C.corpus_listing(spark, sf_dir, ce)),
+                     launch_steps(spark, sf_dir, ce))
             _SHARED[key] = an
         return an
 
@@ -110,9 +111,9 @@ class Analysis:
         return D.connections(self.listing, self.imports, self.steps)
 
 
-def launch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def launch_steps(spark: SparkSession, sf_dir: str, ce: DataFrame | None = None) -> DataFrame:
     """Imported-analysis rows of the corpus: api_call steps naming a script."""
-    ev = C.corpus_events(spark, sf_dir).where(F.col("template") == C.LAUNCH_TEMPLATE)
+    ev = (C.corpus_events(spark, sf_dir) if ce is None else ce).where(F.col("template") == C.LAUNCH_TEMPLATE)
     return ev.select("project_id", "path", F.col("line").alias("line_number"), F.lit("api_call").alias("type"),
                      C.subst(F.lit(C.LAUNCH_DESCRIPTION)).alias("description"), "function_name",
                      F.lit(None).cast(X.SERVICE_STRUCT).alias("service"),

@@ -21,6 +21,7 @@ from codeatlas.operators import prompts as I
 from codeatlas.operators import quality as G
 from codeatlas.operators import rollup as RU
 from codeatlas.plans.analysis import Analysis
+from codeatlas.session import cut
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -184,8 +185,14 @@ def top_types(spark, sf_dir):
     return P.first_types(_an(spark, sf_dir).steps).select("project_id", "path", *_long("rank"), "type", "short")
 
 
+def _responses(a: Analysis) -> DataFrame:
+    """The model-reply table (stand-ins built from the steps), materialized
+    like the stored table it stands for."""
+    return cut(I.synth_responses(a.steps))
+
+
 def _merged(a: Analysis) -> DataFrame:
-    return I.merge_responses(I.parse_responses(I.synth_responses(a.steps), a.steps))
+    return I.merge_responses(I.parse_responses(_responses(a), a.steps))
 
 
 def step_display(spark, sf_dir):
@@ -301,7 +308,7 @@ def prompt_phase(spark, sf_dir):
 
 def responses_parsed(spark, sf_dir):
     a = _an(spark, sf_dir)
-    p = I.parse_responses(I.synth_responses(a.steps), a.steps)
+    p = I.parse_responses(_responses(a), a.steps)
     return p.select("project_id", "path", "phase", "kind",
                     F.coalesce(F.col("line").cast("long"), F.lit(-1).cast("long")).alias("line"), "text")
 

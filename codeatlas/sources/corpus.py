@@ -266,19 +266,19 @@ def corpus_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
-def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_files(spark: SparkSession, sf_dir: str, ce: DataFrame | None = None) -> DataFrame:
     """(project_id, path, user_id, hdr): one row per derived script."""
-    return (corpus_events(spark, sf_dir)
+    return ((corpus_events(spark, sf_dir) if ce is None else ce)
             .groupBy("project_id", "path", "user_id", "hdr").agg(F.count(F.lit(1)).alias("n_slots")))
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_files(spark: SparkSession, sf_dir: str, ce: DataFrame | None = None) -> DataFrame:
     """(project_id, path, length, content) of the derived corpus.
 
     A file is assembled from at most SLOTS_PER_FILE slots, so the ordered
     collect per file is bounded whatever the skew of user_id.
     """
-    ce = corpus_events(spark, sf_dir).join(F.broadcast(_templates_df(spark)), "template")
+    ce = (corpus_events(spark, sf_dir) if ce is None else ce).join(F.broadcast(_templates_df(spark)), "template")
     ind = F.when(F.col("in_func"), F.lit("    ")).otherwise(F.lit(""))
     first = F.when(F.col("in_func") & (F.col("sif") % SLOTS_PER_BLOCK == 0),
                    F.concat(F.lit("def f"), F.col("block").cast("string"), F.lit("():"))) \
@@ -306,9 +306,9 @@ def corpus_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 # expected analysis of the corpus (what a correct parse must yield)
 # --------------------------------------------------------------------------
 
-def corpus_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_listing(spark: SparkSession, sf_dir: str, ce: DataFrame | None = None) -> DataFrame:
     """(project_id, path) of every derived script."""
-    return corpus_files(spark, sf_dir).select("project_id", "path")
+    return corpus_files(spark, sf_dir, ce).select("project_id", "path")
 
 
 def expected_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
