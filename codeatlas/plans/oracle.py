@@ -497,6 +497,29 @@ def _listj(x: str) -> str:
 
 
 SELECTS: dict[str, str] = {
+    "scan_sources": f"""SELECT project_id, path, CAST(length AS BIGINT) AS length,
+        CASE WHEN length > {R.MAX_FILE_SIZE} THEN 'too_large' ELSE 'ok' END AS status FROM tree
+        WHERE ends_with(path, '.py') AND NOT regexp_matches(path, '(^|/)(' || {lit('|'.join(d.replace('.', chr(92) + '.') for d in R.SKIP_DIRS))} || '|\\.[^/]*)/')
+          AND NOT (regexp_extract(path, '[^/]*$') = '__init__.py' AND length = 0)""",
+    "local_modules": f"""SELECT DISTINCT project_id,
+        CASE WHEN regexp_extract(path, '[^/]*$') = '__init__.py' THEN regexp_extract(path, '([^/]*)/[^/]*$', 1)
+             ELSE regexp_replace(regexp_extract(path, '[^/]*$'), '\\.py$', '') END AS module FROM tree
+        WHERE ends_with(path, '.py') AND NOT regexp_matches(path, '(^|/)(' || {lit('|'.join(d.replace('.', chr(92) + '.') for d in R.SKIP_DIRS))} || '|\\.[^/]*)/')""",
+    "analysis_roundtrip": """SELECT s.project_id, s.path, s.is_entry_point,
+        CAST(coalesce(a.n, 0) AS BIGINT) AS n_steps, CAST(coalesce(v.n, 0) AS BIGINT) AS n_services,
+        CAST(coalesce(x.n, 0) AS BIGINT) AS n_secrets, CAST(coalesce(t.n, 0) AS BIGINT) AS n_triggers,
+        CAST(coalesce(i.ni, 0) AS BIGINT) AS n_internal, CAST(coalesce(i.ne, 0) AS BIGINT) AS n_external,
+        CAST(coalesce(m.n, 0) AS BIGINT) AS n_contextual, a.first_step
+        FROM scripts s
+        LEFT JOIN (SELECT project_id, path, count(*) AS n, arg_min(description, pos) AS first_step FROM st GROUP BY ALL) a
+          USING (project_id, path)
+        LEFT JOIN (SELECT project_id, path, count(*) AS n FROM svc GROUP BY ALL) v USING (project_id, path)
+        LEFT JOIN (SELECT project_id, path, count(*) AS n FROM sec GROUP BY ALL) x USING (project_id, path)
+        LEFT JOIN (SELECT project_id, path, count(*) AS n FROM trig GROUP BY ALL) t USING (project_id, path)
+        LEFT JOIN (SELECT project_id, path, count(*) FILTER (WHERE is_internal) AS ni,
+                          count(*) FILTER (WHERE NOT is_internal) AS ne FROM imps GROUP BY ALL) i USING (project_id, path)
+        LEFT JOIN (SELECT project_id, path, count(*) AS n FROM rmerged WHERE kind = 'step' GROUP BY ALL) m
+          USING (project_id, path)""",
     "syntax_facts": """SELECT c.project_id, c.path, t.kind, CAST(c.line AS BIGINT) AS line,
         CAST(c.sdepth + t.depth_add AS BIGINT) AS depth, c.function_name AS func_name
         FROM ce c JOIN tflow t ON t.template = c.template""",
@@ -707,6 +730,27 @@ SELECTS["prompt_phase"] = f"""SELECT g.project_id, g.path, g.phase, {lit(PR.SYST
       USING (project_id, path)"""
 
 
+def source_ctes() -> list[tuple[str, str]]:
+    from codeatlas.sources import files as FS
+    codes = [(i, code, tail or "# end") for i, (code, tail, *_r) in enumerate(C.TEMPLATES)]
+    heads = [(h, "\n".join(lines) + "\n") for h, lines in enumerate(C.HEADERS)]
+    extras = [(p, len(c)) for p, c in FS.TREE_EXTRAS]
+    slot_len = (f"length(CASE WHEN in_func AND sif % {C.SLOTS_PER_BLOCK} = 0 THEN 'def f' || CAST(block AS VARCHAR) || '():' "
+                f"ELSE '# ' || CAST(sif AS VARCHAR) END) + 1 + 2 * (CASE WHEN in_func THEN 4 ELSE 0 END) "
+                f"+ length({subst('t.code')}) + 1 + length({subst('t.tail')}) + 1")
+    return [
+        ("tcode", values(codes, ["template", "code", "tail"])),
+        ("theads", values(heads, ["hdr", "header"])),
+        ("textras", values(extras, ["xpath", "xlen"])),
+        ("flen", f"""SELECT c.project_id, c.path, sum({slot_len}) AS body_len, any_value(c.user_id) AS user_id,
+                any_value(c.hdr) AS hdr FROM ce c JOIN tcode t USING (template) GROUP BY c.project_id, c.path"""),
+        ("tree", f"""SELECT project_id, path, body_len + length({subst('h.header').replace('sif', '0')}) AS length
+            FROM (SELECT *, 0 AS sif FROM flen) f JOIN theads h USING (hdr)
+            UNION ALL
+            SELECT p.project_id, x.xpath, x.xlen FROM (SELECT DISTINCT project_id FROM files) p, textras x"""),
+    ]
+
+
 def importance_ctes() -> list[tuple[str, str]]:
     return [
         ("imp_base", """SELECT s.project_id, s.path, CAST(coalesce(d.degree, 0) AS BIGINT) AS degree,
@@ -724,6 +768,6 @@ def importance_ctes() -> list[tuple[str, str]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    ctes = base_ctes() + findings_ctes() + importance_ctes()
+    ctes = base_ctes() + findings_ctes() + importance_ctes() + source_ctes()
     prefix = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes) + "\n"
     return {name: prefix + sel for name, sel in SELECTS.items() if sel is not None}

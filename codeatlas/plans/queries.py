@@ -317,7 +317,63 @@ def responses_merged(spark, sf_dir):
     return _merged(_an(spark, sf_dir)).select("project_id", "path", "kind", "key", "text")
 
 
+# ---------------------------------------------------------------- A: sources
+
+_TREES: dict = {}
+
+
+def _tree(spark, sf_dir) -> str:
+    """The corpus written as a source tree (plus per-project files that the
+    listing rules must prune) under the checkpoint folder; once per session."""
+    import uuid
+    from codeatlas.session import checkpoint_dir
+    from codeatlas.sources import files as FS
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _TREES:
+        a = _an(spark, sf_dir)
+        root = f"{checkpoint_dir(spark)}/trees/{uuid.uuid4().hex}"
+        FS.write_tree(a.source_files.select("project_id", "path", "content")
+                      .unionByName(FS.tree_extras(a.listing)), root)
+        _TREES[key] = root
+    return _TREES[key]
+
+
+def scan_sources(spark, sf_dir):
+    from codeatlas.sources import files as FS
+    return FS.scan(spark, _tree(spark, sf_dir)).select("project_id", "path", *_long("length"), "status")
+
+
+def local_modules(spark, sf_dir):
+    from codeatlas.sources import files as FS
+    return FS.modules_from_listing(FS.listing(spark, _tree(spark, sf_dir)))
+
+
+def analysis_roundtrip(spark, sf_dir):
+    import uuid
+    from codeatlas.session import checkpoint_dir
+    from codeatlas.sources import analysis_json as AJ
+    a = _an(spark, sf_dir)
+    ctx = _merged(a).where(F.col("kind") == "step").select(
+        "project_id", "path", F.col("key").cast("int").alias("line"), "text")
+    docs = AJ.script_documents(a.scripts, a.steps, a.imports, a.services, a.secrets, a.triggers, ctx)
+    folder = f"{checkpoint_dir(spark)}/analysis/{uuid.uuid4().hex}"
+    AJ.write_documents(docs, a.connections, folder)
+    d = AJ.read_scripts(spark, folder)
+    return d.select("project_id", "path", "is_entry_point",
+                    F.size("steps").cast("long").alias("n_steps"),
+                    F.size("services").cast("long").alias("n_services"),
+                    F.size("secrets").cast("long").alias("n_secrets"),
+                    F.size("triggers").cast("long").alias("n_triggers"),
+                    F.size("imports_internal").cast("long").alias("n_internal"),
+                    F.size("imports_external").cast("long").alias("n_external"),
+                    F.coalesce(F.size("contextual_steps"), F.lit(0)).cast("long").alias("n_contextual"),
+                    F.col("steps")[0]["description"].alias("first_step"))
+
+
 QUERIES: dict[str, QueryFn] = {
+    "scan_sources": scan_sources,
+    "local_modules": local_modules,
+    "analysis_roundtrip": analysis_roundtrip,
     "syntax_facts": syntax_facts,
     "imports_split": imports_split,
     "secrets": secrets,
