@@ -1,0 +1,24 @@
+"""Incremental analysis over a watched source tree."""
+
+import os
+import tempfile
+
+from codeatlas.streaming import incremental as S
+
+
+def test_stream_picks_up_new_files(spark):
+    base = tempfile.mkdtemp(prefix="codeatlas-stream-")
+    root, out, ck = f"{base}/src", f"{base}/out", f"{base}/ck"
+    os.makedirs(f"{root}/p1/jobs")
+    with open(f"{root}/p1/jobs/a.py", "w") as fh:
+        fh.write("import requests\nr = requests.get(u)\nprint(r)\n")
+    S.start(spark, root, out, ck).awaitTermination(120)
+    with open(f"{root}/p1/jobs/b.py", "w") as fh:
+        fh.write("import os\nk = os.getenv('API_TOKEN')\n")
+    S.start(spark, root, out, ck).awaitTermination(120)
+    steps = spark.read.parquet(f"{out}/steps")
+    assert sorted((r.path, r.description) for r in steps.collect()) == [
+        ("jobs/a.py", "print()"), ("jobs/a.py", "requests.get()")]
+    secrets = spark.read.parquet(f"{out}/secrets")
+    assert [(r.path, r.secret) for r in secrets.collect()] == [("jobs/b.py", "API_TOKEN")]
+    assert spark.read.parquet(f"{out}/steps").select("batch_id").distinct().count() == 1
