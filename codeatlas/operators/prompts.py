@@ -271,25 +271,28 @@ def parse_responses(responses: DataFrame, steps: DataFrame) -> DataFrame:
         v = F.expr(f"try_variant_get(obj, '$.{name}')")
         return F.when(F.schema_of_variant(v) == "STRING", _strip(F.expr(f"try_variant_get(obj, '$.{name}', 'string')")))
 
-    scalars = r.select("project_id", "path", "phase",
-                       F.explode(F.array(
-                           F.struct(F.lit("summary").alias("kind"), str_field("phase_summary").alias("text")),
-                           F.struct(F.lit("risk").alias("kind"), str_field("risk").alias("text")))).alias("x"))
-    scalars = scalars.select("project_id", "path", "phase", F.col("x.kind").alias("kind"),
-                             F.lit(None).cast("int").alias("line"), F.col("x.text").alias("text")) \
-        .where(F.col("text").isNotNull() & (F.col("text") != ""))
+    # One pass over the parsed object: scalar members and step entries become
+    # candidate rows of a single array, exploded once.
     step_map = F.expr("try_variant_get(obj, '$.steps', 'map<string,variant>')")
-    st = (r.select("project_id", "path", "phase", F.explode(step_map).alias("k", "v"))
-          .where(F.col("k").rlike(r"^\s*[+-]?\d+\s*$") & (F.schema_of_variant("v") == "STRING"))
-          .select("project_id", "path", "phase", F.lit("step").alias("kind"),
-                  F.trim(F.col("k")).try_cast("int").alias("line"),
-                  _strip(F.expr("variant_get(v, '$', 'string')")).alias("text"))
-          .where(F.col("text") != ""))
+    step_rows = F.transform(
+        F.map_entries(F.coalesce(step_map, F.create_map().cast("map<string,variant>"))),
+        lambda e: F.struct(
+            F.lit("step").alias("kind"),
+            F.when(e["key"].rlike(r"^\s*[+-]?\d+\s*$"), F.trim(e["key"]).try_cast("int")).alias("line"),
+            F.when(F.schema_of_variant(e["value"]) == "STRING",
+                   _strip(F.variant_get(e["value"], "$", "string"))).alias("text")))
+    scalars = F.array(
+        F.struct(F.lit("summary").alias("kind"), F.lit(None).cast("int").alias("line"),
+                 str_field("phase_summary").alias("text")),
+        F.struct(F.lit("risk").alias("kind"), F.lit(None).cast("int").alias("line"), str_field("risk").alias("text")))
+    cand = (r.select("project_id", "path", "phase", F.explode(F.concat(scalars, step_rows)).alias("x"))
+            .select("project_id", "path", "phase", "x.kind", "x.line", "x.text")
+            .where(F.col("text").isNotNull() & (F.col("text") != "")
+                   & ((F.col("kind") != "step") | F.col("line").isNotNull())))
     valid = (L.with_phase(steps).select("project_id", "path", "phase", F.col("line_number").alias("line"))
-             .distinct())
-    st = st.join(valid, ["project_id", "path", "phase", "line"], "left_semi")
-    # A repeated key keeps its last value, like a dict built from the object.
-    return scalars.unionByName(st.dropDuplicates(["project_id", "path", "phase", "kind", "line"]))
+             .distinct().withColumn("ok", F.lit(True)))
+    return (cand.join(valid, ["project_id", "path", "phase", "line"], "left")
+            .where((F.col("kind") != "step") | F.col("ok").isNotNull()).drop("ok"))
 
 
 def merge_responses(parsed: DataFrame) -> DataFrame:

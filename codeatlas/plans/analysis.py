@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codeatlas.operators import extract as X
 from codeatlas.operators import links as D
 from codeatlas.operators.facts import syntax_facts
-from codeatlas.session import cut
+from codeatlas.session import cut, cut_table
 from codeatlas.sources import corpus as C
 
 
@@ -61,7 +61,8 @@ class Analysis:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self._cut(syntax_facts(self.source_files))
+        f = syntax_facts(self.source_files)
+        return cut_table(f, "facts", partition_by="kind") if self.materialize else f
 
     @cached_property
     def parsed(self) -> dict[str, DataFrame]:
@@ -87,9 +88,10 @@ class Analysis:
     def signature(self) -> DataFrame:
         return self.parsed["signature"]
 
-    @property
+    @cached_property
     def parsed_steps(self) -> DataFrame:
-        return self.parsed["steps"]
+        st = self.parsed["steps"]
+        return cut_table(st, "parsed_steps") if self.materialize else st
 
     @cached_property
     def steps(self) -> DataFrame:
@@ -99,7 +101,8 @@ class Analysis:
             return self.parsed_steps
         allv = parsed.drop("pos").unionByName(self.extra_steps)
         w = Window.partitionBy("project_id", "path").orderBy("line_number", "k")
-        return self._cut(allv.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("k"))
+        s = allv.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("k")
+        return cut_table(s, "steps") if self.materialize else s
 
     @cached_property
     def scripts(self) -> DataFrame:
