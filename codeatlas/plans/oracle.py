@@ -767,6 +767,12 @@ def importance_ctes() -> list[tuple[str, str]]:
     ]
 
 
+SELECTS["project_secrets"] = "SELECT DISTINCT project_id, secret FROM sec"
+SELECTS["project_entry_points"] = "SELECT project_id, path FROM scripts WHERE is_entry_point"
+SELECTS["scorecard"] = f"""SELECT r.project_id, r.path, r.rank, r.is_key, r.score, h.score AS health, h.color, h.n_findings
+    FROM ({SELECTS["ranking"]}) r JOIN ({SELECTS["health"]}) h USING (project_id, path)"""
+
+
 def oracle_sql() -> dict[str, str]:
     ctes = base_ctes() + findings_ctes() + importance_ctes() + source_ctes()
     prefix = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes) + "\n"

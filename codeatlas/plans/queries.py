@@ -89,6 +89,14 @@ def project_services(spark, sf_dir):
         "project_id", *_long("pos"), "name", "library", "icon")
 
 
+def project_secrets(spark, sf_dir):
+    return RU.project_secrets(_an(spark, sf_dir).secrets).select("project_id", "secret")
+
+
+def project_entry_points(spark, sf_dir):
+    return RU.project_entry_points(_an(spark, sf_dir).scripts).select("project_id", "path")
+
+
 def project_inventory(spark, sf_dir):
     a = _an(spark, sf_dir)
     inv = RU.project_inventory(a.scripts, a.services, a.secrets)
@@ -383,6 +391,8 @@ QUERIES: dict[str, QueryFn] = {
     "steps_io": steps_io,
     "script_services": script_services,
     "project_services": project_services,
+    "project_secrets": project_secrets,
+    "project_entry_points": project_entry_points,
     "project_inventory": project_inventory,
     "import_edges": import_edges,
     "file_sets": file_sets,
