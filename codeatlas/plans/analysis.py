@@ -52,6 +52,18 @@ class Analysis:
             _SHARED[key] = an
         return an
 
+    @classmethod
+    def from_tree(cls, spark: SparkSession, root: str, materialize: bool = True) -> "Analysis":
+        """Analysis of a source tree ``<root>/<project_id>/...``: every scanned
+        script keeps a row (oversized, undecodable or unparsable files get no
+        steps); only admitted files are read and parsed."""
+        from codeatlas.sources import files as FS
+        listing = FS.scan(spark, root).select("project_id", "path")
+        modules_listing = FS.listing(spark, root).select("project_id", "path")
+        an = cls(spark, FS.admitted_sources(spark, root), listing, materialize=materialize)
+        an.__dict__["modules"] = X.local_modules(modules_listing)
+        return an
+
     def _cut(self, df: DataFrame) -> DataFrame:
         return cut(df) if self.materialize else df
 
