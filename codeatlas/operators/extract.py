@@ -7,8 +7,6 @@ in by ``(project_id, path)`` keys.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -202,15 +200,6 @@ def main_signature(facts: DataFrame) -> DataFrame:
 # Step classification
 # --------------------------------------------------------------------------
 
-def _py_repr(s: Column) -> Column:
-    """Python repr() of a str, for the usual printable case."""
-    esc = F.regexp_replace(s, r"\\", r"\\\\")
-    use_double = s.contains("'") & ~s.contains('"')
-    single = F.concat(F.lit("'"), F.regexp_replace(esc, "'", "\\\\'"), F.lit("'"))
-    double = F.concat(F.lit('"'), esc, F.lit('"'))
-    return F.when(use_double, double).otherwise(single)
-
-
 def classify_steps(facts: DataFrame, keys: DataFrame) -> DataFrame:
     """B7–B10 + C3. Steps ordered per script by (line, visit order).
 
@@ -237,8 +226,7 @@ def classify_steps(facts: DataFrame, keys: DataFrame) -> DataFrame:
     call_steps = calls.withColumn("st", step_type).where(F.col("st").isNotNull())
     desc = (F.when(F.col("st").endswith("#"), F.concat(F.lit("."), method, F.lit("()")))
             .when(F.col("st") == "file_io!",
-                  F.when(F.col("arg0_str").isNotNull(),
-                         F.concat(F.lit("open("), _py_repr(F.col("arg0_str")), F.lit(")")))
+                  F.when(F.col("text").isNotNull(), F.concat(F.lit("open("), F.col("text"), F.lit(")")))
                   .otherwise(F.lit("open()")))
             .when(attr, om)
             .otherwise(F.concat(name, F.lit("()"))))
@@ -304,7 +292,7 @@ def enrich_io(steps: DataFrame, facts: DataFrame) -> DataFrame:
                     .groupBy("project_id", "path", "l")
                     .agg(F.min_by("targets", "bfs").alias("targets"), F.min("bfs").alias("a_bfs")))
 
-    opens = (facts.where((F.col("kind") == "call") & (F.col("name") == "open") & F.col("arg0_str").isNotNull())
+    opens = (facts.where((F.col("kind") == "call") & (F.col("name") == "open") & (F.col("arg0_str") != ""))
              .select("project_id", "path", F.col("line").alias("l"), "bfs", F.col("arg0_str").alias("p"),
                      F.col("open_mode").alias("mode")))
     is_write = F.col("mode").isNull() | F.col("mode").contains("w") | F.col("mode").contains("a")
