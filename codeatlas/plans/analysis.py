@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codeatlas.operators import extract as X
 from codeatlas.operators import links as D
 from codeatlas.operators.facts import syntax_facts
-from codeatlas.session import cut, cut_table
+from codeatlas.session import cut_table
 from codeatlas.sources import corpus as C
 
 
@@ -46,8 +46,8 @@ class Analysis:
         key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
         an = _SHARED.get(key)
         if an is None:
-            ce = cut(C.corpus_events(spark, sf_dir))
-            an = cls(spark, C.source_files(spark, sf_dir, ce), cut(C.corpus_listing(spark, sf_dir, ce)),
+            ce = cut_table(C.corpus_events(spark, sf_dir), "corpus_events")
+            an = cls(spark, C.source_files(spark, sf_dir, ce), cut_table(C.corpus_listing(spark, sf_dir, ce), "listing"),
                      launch_steps(spark, sf_dir, ce))
             _SHARED[key] = an
         return an
@@ -64,9 +64,6 @@ class Analysis:
         an.__dict__["modules"] = X.local_modules(modules_listing)
         return an
 
-    def _cut(self, df: DataFrame) -> DataFrame:
-        return cut(df) if self.materialize else df
-
     @cached_property
     def modules(self) -> DataFrame:
         return X.local_modules(self.listing)

@@ -21,7 +21,7 @@ from codeatlas.operators import prompts as I
 from codeatlas.operators import quality as G
 from codeatlas.operators import rollup as RU
 from codeatlas.plans.analysis import Analysis
-from codeatlas.session import cut
+from codeatlas.session import cut_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -196,7 +196,7 @@ def top_types(spark, sf_dir):
 def _responses(a: Analysis) -> DataFrame:
     """The model-reply table (stand-ins built from the steps), materialized
     like the stored table it stands for."""
-    return cut(I.synth_responses(a.steps))
+    return cut_table(I.synth_responses(a.steps), "responses")
 
 
 def _merged(a: Analysis) -> DataFrame:
