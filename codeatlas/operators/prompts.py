@@ -249,9 +249,10 @@ def parse_responses(responses: DataFrame, steps: DataFrame) -> DataFrame:
     only; blank ones dropped; step keys must be integers naming a line of a
     step in that phase.
     """
+    from codeatlas.session import spread
     raw = F.col("raw")
     text = F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
-    r = responses.withColumn("t", text)
+    r = spread(responses).withColumn("t", text)
     lb = F.instr("t", "{")
     rb = F.length("t") - F.instr(F.reverse("t"), "}") + 1
     body = F.when((lb > 0) & (F.instr("t", "}") > 0) & (rb >= lb), F.expr("substring(t, instr(t, '{'), "
