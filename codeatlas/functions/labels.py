@@ -7,8 +7,6 @@ codegen; no Python runs per row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +27,6 @@ def _any(c: Column, needles) -> Column:
     return c.rlike(any_of_pattern(needles))
 
 
-def _lit(s: str) -> Column:
-    return F.lit(s)
-
-
 def capitalize(c: Column) -> Column:
     """Python str.capitalize: first char upper, rest lower."""
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))

@@ -8,7 +8,7 @@ script size) and parse a ``responses(project_id, path, phase, raw)`` table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas import rules as R

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas.functions import labels as L
-from codeatlas.operators import extract as X
 from codeatlas.operators import graph as H
 from codeatlas.operators import links as D
 from codeatlas.operators import profile as P

@@ -37,21 +37,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
-def cut(df):
-    """Cut lineage: reliable checkpoint into the shared checkpoint folder.
-
-    Used for tables that many downstream plans reuse (facts, steps,
-    connections), so each is computed once and executor loss after the cut
-    never replays the parse.
-    """
-    spark = df.sparkSession
-    d = checkpoint_dir(spark)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(d)
-    return df.checkpoint(eager=True)
-
-
 def spread(df, keys=("project_id", "path")):
     """Hash-spread ``df`` by ``keys`` when it has fewer partitions than twice
     the cluster's cores (small inputs packed into a few splits, or AQE-coalesced
