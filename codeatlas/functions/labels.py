@@ -147,7 +147,7 @@ def translate_trigger(ttype: Column, detail: Column) -> Column:
     t = F.lower(ttype)
     cron = F.when(F.regexp_extract(detail, r"^\*/(\d+)\s", 1) != "",
                   F.concat(F.lit("Runs every "),
-                           F.regexp_extract(detail, r"^\*/(\d+)\s", 1).cast("bigint").cast("string"),
+                           F.regexp_extract(detail, r"^\*/(\d+)\s", 1).try_cast("decimal(38,0)").cast("string"),
                            F.lit(" minutes"))) \
         .otherwise(F.lit("Runs on a schedule"))
     for pattern, human in reversed(R.CRON_PATTERNS):
