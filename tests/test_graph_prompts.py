@@ -42,3 +42,19 @@ def test_response_parsing(spark):
     got = sorted((r.kind, r.line, r.text) for r in I.parse_responses(resp, s).collect())
     assert got == sorted([("summary", None, "Sums"), ("step", 1, "a"), ("summary", None, "S2"),
                           ("step", 2, "two"), ("risk", None, "R")])
+
+
+def test_importance_step_bonus_capped(spark):
+    scripts = spark.createDataFrame([("p", "a.py", True), ("p", "b.py", False)],
+                                    "project_id string, path string, is_entry_point boolean")
+    many = steps_df(spark, [("transform", "len()")] * 130, path="a.py")
+    few = steps_df(spark, [("transform", "len()")] * 39, path="b.py")
+    services = spark.createDataFrame([("p", "a.py", 0, "OpenAI", "openai", "openai")],
+                                     "project_id string, path string, pos int, name string, library string, icon string")
+    conns = spark.createDataFrame([("p", "a.py", "a.py", "subprocess", "x", 0), ("p", "b.py", "a.py", "import", "y", 1)],
+                                  "project_id string, source string, target string, type string, detail string, pos int")
+    got = {r.path: (r.degree, r.score) for r in H.importance(scripts, services, many.unionByName(few), conns).collect()}
+    # a.py: self edge counts twice + one incoming = 3, entry 2, one service, 130 // 20 = 6 capped at 5
+    assert got["a.py"] == (3, 11)
+    # b.py: one outgoing edge, 39 // 20 = 1
+    assert got["b.py"] == (1, 2)

@@ -106,3 +106,11 @@ def test_connection_verbs(spark):
     df = spark.createDataFrame([("import",), ("file_io",), ("subprocess",), ("trigger",), ("other",)], "t string")
     got = [r.v for r in df.select(L.translate_connection(F.col("t")).alias("v")).collect()]
     assert got == ["uses", "shares data with", "launches", "triggers", "other"]
+
+
+def test_condition_length_boundary(spark):
+    sixty = "x" * 60
+    sixty_one = "y" * 61
+    got = _labels(spark, [("decision", f"if {sixty}"), ("decision", f"if {sixty_one}")])
+    assert got[0][0] == f"Checks: {sixty}"
+    assert got[1][0] == "Checks: " + "y" * 57 + "..."
