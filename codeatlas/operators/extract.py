@@ -287,33 +287,39 @@ def enrich_io(steps: DataFrame, facts: DataFrame) -> DataFrame:
     cand = cand.select("project_id", "path", "bfs", "targets", F.col("c.o").alias("o"), F.col("c.l").alias("l"))
     assign_at = (cand.join(step_lines, ["project_id", "path", "l"], "left_semi")
                  .groupBy("project_id", "path", "bfs")
-                 .agg(F.min_by(F.col("l"), F.col("o")).alias("l"), F.first("targets").alias("targets")))
-    first_assign = (assign_at.where(F.size("targets") > 0)
-                    .groupBy("project_id", "path", "l")
-                    .agg(F.min_by("targets", "bfs").alias("targets"), F.min("bfs").alias("a_bfs")))
-
+                 .agg(F.min_by(F.col("l"), F.col("o")).alias("l"), F.first("targets").alias("targets"))
+                 .where(F.size("targets") > 0))
+
+    # All per-line events in one table, aggregated once per line.
+    ev_cols = ["project_id", "path", "l", "bfs", "targets", "p", "mode", "names"]
+    nul_arr = F.lit(None).cast("array<string>")
+    nul_str = F.lit(None).cast("string")
+    assigns = assign_at.select("project_id", "path", "l", "bfs", "targets", nul_str.alias("p"),
+                               nul_str.alias("mode"), nul_arr.alias("names"))
     opens = (facts.where((F.col("kind") == "call") & (F.col("name") == "open") & (F.col("arg0_str") != ""))
-             .select("project_id", "path", F.col("line").alias("l"), "bfs", F.col("arg0_str").alias("p"),
-                     F.col("open_mode").alias("mode")))
-    is_write = F.col("mode").isNull() | F.col("mode").contains("w") | F.col("mode").contains("a")
-    is_read = F.col("mode").isNull() | ~(F.col("mode").contains("w") | F.col("mode").contains("a"))
-    open_io = (opens.groupBy("project_id", "path", "l").agg(
-        F.array_sort(F.collect_list(F.when(is_write, F.struct("bfs", "p")))).alias("w"),
-        F.array_sort(F.collect_list(F.when(is_read, F.struct("bfs", "p")))).alias("r")))
-
+             .select("project_id", "path", F.col("line").alias("l"), "bfs", nul_arr.alias("targets"),
+                     F.col("arg0_str").alias("p"), F.col("open_mode").alias("mode"), nul_arr.alias("names")))
     conds = (facts.where(F.col("kind").isin("if", "while", "for") & (F.size("names") > 0))
-             .groupBy("project_id", "path", F.col("line").alias("l"))
-             .agg(F.min_by("names", "bfs").alias("cond_names")))
+             .select("project_id", "path", F.col("line").alias("l"), "bfs", nul_arr.alias("targets"),
+                     nul_str.alias("p"), nul_str.alias("mode"), "names"))
+    events = assigns.select(*ev_cols).unionByName(opens.select(*ev_cols)).unionByName(conds.select(*ev_cols))
+    is_open = F.col("p").isNotNull()
+    is_write = is_open & (F.col("mode").isNull() | F.col("mode").contains("w") | F.col("mode").contains("a"))
+    is_read = is_open & (F.col("mode").isNull() | ~(F.col("mode").contains("w") | F.col("mode").contains("a")))
+    per_line = events.groupBy("project_id", "path", "l").agg(
+        F.min_by("targets", F.when(F.col("targets").isNotNull(), F.col("bfs"))).alias("targets"),
+        F.min(F.when(F.col("targets").isNotNull(), F.col("bfs"))).alias("a_bfs"),
+        F.array_sort(F.collect_list(F.when(is_write, F.struct("bfs", "p")))).alias("w"),
+        F.array_sort(F.collect_list(F.when(is_read, F.struct("bfs", "p")))).alias("r"),
+        F.min_by("names", F.when(F.col("names").isNotNull(), F.col("bfs"))).alias("cond_names"))
 
-    s = (steps.withColumnRenamed("line_number", "l")
-         .join(first_assign, ["project_id", "path", "l"], "left")
-         .join(open_io, ["project_id", "path", "l"], "left")
-         .join(conds, ["project_id", "path", "l"], "left"))
+    s = steps.withColumnRenamed("line_number", "l").join(per_line, ["project_id", "path", "l"], "left")
     is_file = F.col("type") == "file_io"
-    writes = F.when(is_file, F.coalesce(F.col("w"), F.array()))
-    reads = F.when(is_file, F.coalesce(F.col("r"), F.array()))
-    w_paths = F.array_distinct(F.transform(F.coalesce(writes, F.array()), lambda x: x["p"]))
-    early_write = F.exists(F.coalesce(writes, F.array()), lambda x: x["bfs"] < F.col("a_bfs"))
+    empty_ev = F.array().cast("array<struct<bfs:int,p:string>>")
+    writes = F.when(is_file, F.coalesce(F.col("w"), empty_ev)).otherwise(empty_ev)
+    reads = F.when(is_file, F.coalesce(F.col("r"), empty_ev)).otherwise(empty_ev)
+    w_paths = F.array_distinct(F.transform(writes, lambda x: x["p"]))
+    early_write = F.exists(writes, lambda x: x["bfs"] < F.col("a_bfs"))
     targets = F.col("targets")
     outputs = (F.when(targets.isNotNull() & ~early_write,
                       F.concat(targets, F.filter(w_paths, lambda p: ~F.array_contains(targets, p))))
