@@ -45,10 +45,27 @@ def pruned(rel: Column) -> Column:
     return F.exists(dirs, lambda d: d.isin(list(R.SKIP_DIRS)) | d.startswith("."))
 
 
+def _load(spark: SparkSession, root: str) -> DataFrame:
+    """binaryFile rows under ``root``; a missing root gives no rows. A single
+    ``.py`` file is a one-script project named after its folder."""
+    from pyspark.errors import AnalysisException
+    reader = spark.read.format("binaryFile")
+    if not root.endswith(".py"):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py")
+    try:
+        return reader.load(root)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+
+
+def _project_root(root: str) -> str:
+    """Folder whose children are project folders (the grandparent of a single file)."""
+    return root.rsplit("/", 2)[0] if root.endswith(".py") else root
+
+
 def _spark_listed(spark: SparkSession, root: str) -> DataFrame:
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.py").load(root).select("path", "length"))
-    pid, rel = _rel_parts(root)
+    raw = _load(spark, root).select("path", "length")
+    pid, rel = _rel_parts(_project_root(root))
     return raw.select(pid.alias("project_id"), rel.alias("path"), "length").where(~pruned(F.col("path")))
 
 
@@ -100,6 +117,8 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     ``_``, e.g. ``__init__.py`` or ``_utils/``) come from a walk with one task
     per project folder."""
     main = _spark_listed(spark, root)
+    if root.endswith(".py"):
+        return main
     extra = _underscore_entries(spark, root, main, with_content=False).select("project_id", "path", "length")
     return main.unionByName(extra)
 
@@ -118,14 +137,15 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 def admitted_sources(spark: SparkSession, root: str) -> DataFrame:
     """(project_id, path, content) of admitted scripts; the size filter is
     pushed to the file listing, so oversized files are never read."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.py").load(root)
-           .where(F.col("length") <= R.MAX_FILE_SIZE))
-    pid, rel = _rel_parts(root)
+    raw = _load(spark, root).where(F.col("length") <= R.MAX_FILE_SIZE)
+    pid, rel = _rel_parts(_project_root(root))
     main = raw.select(pid.alias("project_id"), rel.alias("path"), "length", "content").where(~pruned(F.col("path")))
-    extra = _underscore_entries(spark, root, main.select("project_id"), with_content=True) \
-        .where(F.col("length") <= R.MAX_FILE_SIZE)
-    both = main.unionByName(extra)
+    if root.endswith(".py"):
+        both = main
+    else:
+        extra = _underscore_entries(spark, root, main.select("project_id"), with_content=True) \
+            .where(F.col("length") <= R.MAX_FILE_SIZE)
+        both = main.unionByName(extra)
     name = F.substring_index("path", "/", -1)
     return (both.where(~((name == "__init__.py") & (F.col("length") == 0)))
             .select("project_id", "path", "content"))

@@ -65,3 +65,12 @@ def test_analysis_json_round_trip(spark):
     assert [s.description for s in back["main.py"].steps] == ["requests.get()"]
     assert back["broken.py"].steps == [] and back["broken.py"].secrets == []
     assert AJ.read_connections(spark, folder).count() == 2
+
+
+def test_single_file_and_missing_root(spark):
+    root = _tree()
+    one = FS.scan(spark, f"{root}/p1/main.py").collect()
+    assert [(r.project_id, r.path) for r in one] == [("p1", "main.py")]
+    an = Analysis.from_tree(spark, f"{root}/p1/main.py", materialize=False)
+    assert [r.description for r in an.steps.collect()] == ["requests.get()"]
+    assert FS.scan(spark, f"{root}/nowhere").count() == 0
