@@ -194,8 +194,10 @@ def top_types(spark, sf_dir):
 
 def _responses(a: Analysis) -> DataFrame:
     """The model-reply table (stand-ins built from the steps), materialized
-    like the stored table it stands for."""
-    return cut_table(I.synth_responses(a.steps), "responses")
+    once per analysis like the stored table it stands for."""
+    if "responses" not in a.__dict__:
+        a.__dict__["responses"] = cut_table(I.synth_responses(a.steps), "responses")
+    return a.__dict__["responses"]
 
 
 def _merged(a: Analysis) -> DataFrame:
