@@ -43,7 +43,7 @@ class Analysis:
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "Analysis":
         """Analysis of the corpus derived from ``sf_dir``; one per session and
         folder, so the registered queries share its materialized tables."""
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
         an = _SHARED.get(key)
         if an is None:
             ce = cut_table(C.corpus_events(spark, sf_dir), "corpus_events")
