@@ -36,3 +36,8 @@ def test_entry_flagship(spark):
     df = E.entry(spark)
     assert df.columns == ["project_id", "path", "rank", "is_key", "score", "health", "color", "n_findings"]
     assert df.count() > 0
+
+
+def test_every_query_has_oracle_sql():
+    import __spark_entry__ as E
+    assert set(E.queries()) == set(E.oracle_sql())
