@@ -80,7 +80,8 @@ def pack_lengths(lengths: list[int], window: int = WINDOW, max_waste: int = MAX_
         if n > cut:
             rest.append((doc, cut, n - cut))
     rest.sort(key=lambda p: (-p[2], p[0]))
-    room, open_: list[list[Piece]] | Room = Room(window), []
+    room = Room(window)
+    open_: list[list[Piece]] = []
     for piece in rest:
         found = room.tightest(piece[2])
         if found is None:

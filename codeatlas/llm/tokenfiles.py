@@ -154,7 +154,7 @@ def write_documents(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k
         out, n_ids = None, 0
         for batch in it:
             for doc_id, got in zip(batch.column(0).to_pylist(), pieces.all(batch.column(1).to_pylist())):
-                out = out or Writer(store.open_output_stream(name))
+                out = out or Writer(store.open_output_stream(name, compression=None))
                 ids = b"".join(got) + end
                 out.add(doc_id, ids)
                 n_ids += len(ids) // 4

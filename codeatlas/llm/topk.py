@@ -71,7 +71,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                 block += 1
                 yield pa.RecordBatch.from_pylist([row])
 
-    return rows.mapInArrow(run, "block long, ids binary, width int, small boolean, data binary" + ", cutoff binary" * with_cut)
+    return rows.mapInArrow(run, "block long, ids binary, width long, small boolean, data binary" + ", cutoff binary" * with_cut)
 
 
 def _matrix(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
