@@ -10,15 +10,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 
-MAX_KEPT = 400_000     # pieces that a worker keeps
+MAX_KEPT = 600_000     # pieces that a worker keeps
 MAX_PIECE = 48         # longer pieces are computed again each time
 GROUP_CHARS = 1 << 20  # characters of text that are looked up together
+JOINED = 32           # pieces that the library encodes as one text
 
 _RUNS = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile(r"[^\S \n]")
+_MARKS = ".,;:!?%&$#*|)]}"
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,20 +47,37 @@ class Pieces:
         self.compute, self.spaced = compute, spaced
         self.inner: dict = {}
         self.literal: dict = {}
-
-    def _fill(self, into: dict, keys: set, made: Callable[[str], str]) -> dict:
-        new = list(keys)
-        got = dict(zip(new, self.compute([made(k) for k in new]))) if new else {}
-        if len(into) + len(got) > MAX_KEPT:
-            into.clear()
-        into.update((k, v) for k, v in got.items() if len(k) <= MAX_PIECE)
-        return got
+        self.marks: dict = {}
+
+    def _learn(self, into: dict, keys: Iterable[str], made: Callable[[str], str]) -> None:
+        """Put the values of new pieces into ``into``. Closing marks after a
+        letter or digit are a pre-token of their own, so a piece is computed
+        without them and joined with the (few) runs of marks."""
+        split = {}
+        for k in keys:
+            base = k.rstrip(_MARKS)
+            if base and len(base) < len(k) and base[-1].isalnum() and len(base[-1].lower()) == 1:
+                split[k] = base
+        new = [k for k in {split.get(k, k) for k in keys} if k not in into]
+        into.update(zip(new, self.compute([made(k) for k in new])))
+        if split:
+            tails = {k[len(base):] for k, base in split.items()}
+            fresh = [t for t in tails if t not in self.marks]
+            self.marks.update(zip(fresh, self.compute(fresh)))
+            into.update((k, into[base] + self.marks[k[len(base):]]) for k, base in split.items())
 
     def _values(self, texts: list[list[str]], into: dict, made: Callable[[str], str]) -> list[list]:
-        need = set().union(*texts)
-        held = {k: into[k] for k in need if k in into}
-        held.update(self._fill(into, need - held.keys(), made))
-        return [list(map(held.__getitem__, parts)) for parts in texts]
+        need = set().union(*texts).difference(into)
+        if need:
+            self._learn(into, need, made)
+        out = [list(map(into.__getitem__, parts)) for parts in texts]
+        for k in [k for k in need if len(k) > MAX_PIECE]:
+            del into[k]
+        for table in (into, self.marks):
+            if len(table) > MAX_KEPT:  # the first half stays: what came early is what comes often
+                for k in list(islice(table, MAX_KEPT // 2, None)):
+                    del table[k]
+        return out
 
     def group(self, texts: list[str]) -> list[list]:
         """The piece values of each text, in order."""
@@ -69,7 +89,7 @@ class Pieces:
             parts = text.replace("\n", " \n").split(" ")
             head = parts.pop(0)
             distinct = set(parts)
-            odd = "" in distinct or "\n" in distinct or any(_ODD.search(p) for p in distinct if p not in self.inner)
+            odd = "" in distinct or "\n" in distinct or bool(_ODD.search(" ".join(distinct.difference(self.inner))))
             first.append(_RUNS.findall(text) if odd else [head] if head else [])
             rest.append([] if odd else parts)
         heads = self._values(first, self.literal, str)
@@ -101,10 +121,25 @@ def encoder(path: str, spaced: bool) -> Pieces:
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
 
+        special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
+        mark, mark_id = next(iter(special.items()), (None, -1))
+
         def compute(pieces: list[str]) -> list[bytes]:
-            out = []
-            for lo in range(0, len(pieces), 10_000):
-                out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(pieces[lo:lo + 10_000], add_special_tokens=False)]
+            """Many pieces go through the library as one text, with a special
+            token between them; pieces that hold one go alone."""
+            out: list[bytes | None] = [None] * len(pieces)
+            plain = [i for i, p in enumerate(pieces) if mark is not None and not any(m in p for m in special)]
+            groups = [plain[lo:lo + JOINED] for lo in range(0, len(plain), JOINED)]
+            for lo in range(0, len(groups), 64):
+                for group, got in zip(groups[lo:lo + 64], tok.encode_batch_fast([mark.join(pieces[i] for i in g) for g in groups[lo:lo + 64]], add_special_tokens=False)):
+                    ids = np.array(got.ids, "<u4")
+                    cuts = np.flatnonzero(ids == mark_id)
+                    raw = ids.tobytes()
+                    for i, a, b in zip(group, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]):
+                        out[i] = raw[a:b]
+            alone = [i for i, x in enumerate(out) if x is None]
+            for i, got in zip(alone, tok.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)):
+                out[i] = np.array(got.ids, "<u4").tobytes()
             return out
         _encoders[path, spaced] = Pieces(compute, spaced)
     return _encoders[path, spaced]
