@@ -97,8 +97,9 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 @dataclass
 class Parser:
-    """``steps[state * 64 + symbol]`` is twice the next state, plus one where a
-    phrase ended before the symbol; ``roots`` has each language's root."""
+    """``steps[state * 64 + symbol]`` is four times the next state plus the phrases
+    that the symbol ended: one before it where it has no match, and the symbol
+    itself where no text of the language has it. ``roots``: each language's root."""
     langs: list[str]
     letters: str
     steps: np.ndarray
@@ -121,8 +122,8 @@ class Parser:
             count = np.zeros(state.shape, np.int32)
             for row in lane:
                 step = self.steps[(state << 6) + row]
-                state = step >> 1
-                count += step & 1
+                state = step >> 2
+                count += step & 3
             count += state != self.roots[:, None]
             for k in range(len(self.langs)):
                 out[k] += np.bincount(owner[lo:lo + width], count[k], len(sizes)).astype(np.int64)
@@ -143,10 +144,11 @@ def build(samples: dict[str, str]) -> Parser:
         step = np.full((len(nexts), 64), -1, np.int64)
         for s, moves in enumerate(nexts):
             step[s, list(moves)] = list(moves.values())
-        fresh = np.where(step[0] >= 0, step[0], 0)
-        step = np.where(step >= 0, 2 * (step + base), 2 * (fresh[None, :] + base) + 1)
-        step[0] = np.where(np.isin(np.arange(64), list(nexts[0])), step[0], 2 * base + 1)
-        step[:, PAD] = 2 * (np.arange(len(nexts)) + base)
+        known = step[0] >= 0
+        restart = np.where(known, 4 * (step[0] + base) + 1, 4 * base + 2)
+        step[1:] = np.where(step[1:] >= 0, 4 * (step[1:] + base), restart[None, :])
+        step[0] = np.where(known, 4 * (step[0] + base), 4 * base + 1)
+        step[:, PAD] = 4 * (np.arange(len(nexts)) + base)
         parts.append(step.astype(np.int32))
         roots.append(base)
         base += len(nexts)

@@ -65,14 +65,15 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float
 def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, seed: str = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) repeated to the target weights, with
     ``copy`` (from 1) and ``shuffle_key``, dealt and sorted by the latter."""
-    rates = cut_table(source_rates(docs, weights, alpha), "mix_rates")
+    rates = cut_table(source_rates(docs.select("source", "text"), weights, alpha), "mix_rates")
     small = rates.count() <= BROADCAST_SOURCES  # beyond it, a shuffled join whose hot source AQE splits
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    chances = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(F.lit(seed), key, k.cast("string")))
+    # the input's columns travel as one struct, so that none can clash
+    rows = docs.select(F.col("source"), key.alias("key"), F.struct(*docs.columns).alias("row"))
+    chances = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(F.lit(seed), F.col("key"), k.cast("string")))
     n = F.aggregate(chances, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
-    rest = docs.select(*[c for c in docs.columns if c not in ("copy", "shuffle_key")])
-    drawn = (rest.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("r_source")))
-             .withColumn("__n", n).where("__n > 0").drop("r_source", "parts", "cdf"))
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    dealt = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string"), F.lit("order"))))
-    return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = rows.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("r_source"))).select("row", "key", n.alias("n")).where("n > 0")
+    copies = drawn.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    dealt = copies.select("row", "copy", F.md5(F.concat_ws(":", F.lit(seed), F.col("key"), F.col("copy").cast("string"), F.lit("order"))).alias("shuffle_key"))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("copy", "shuffle_key")]
+    return dealt.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*kept, "copy", "shuffle_key")

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas.llm.common import mixed, shingle_set, text_chunks, words
@@ -244,12 +244,12 @@ def drop_near(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Dat
     """``docs`` with one row of each near-duplicate group, all columns kept."""
     found = near_duplicates(docs, shingle_words, percent).where("doc_id is not null")
     ids = cut_table(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "kept")
-    left = docs.join(ids.where("not kept").select(F.col("doc_id").alias("gone")), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
-    again = ids.where("kept and n > 1")
+    gone = ids.where("not kept").select("doc_id")
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    again = ids.where("kept and n > 1").select("doc_id")
     if again.isEmpty():
         return left
-    some = again.select(F.col("doc_id").alias("again"))
-    once = left.join(some, F.col("doc_id").cast("long") == F.col("again"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return once.union(left.join(some, F.col("doc_id").cast("long") == F.col("again"), "left_semi")
-                      .withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"))
+    once = left.join(again, left["doc_id"].cast("long") == again["doc_id"], "left_anti")
+    twice = left.join(again, left["doc_id"].cast("long") == again["doc_id"], "left_semi")
+    return once.union(twice.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row"))
+                      .select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeatlas.llm.common import batches
 from codeatlas.llm.vocab import encoder, tokenizer_path
+from codeatlas.sources.files import filesystem
 
 # FIXED VALUES: magic numbers of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -45,13 +45,6 @@ _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n_ids", "<i8")])
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder named as Spark names it."""
-    if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri.removeprefix("file:")
-
-
 class Writer:
     """Writes one file; ``add`` takes documents in order."""
 
