@@ -11,10 +11,6 @@ from codeatlas.functions import labels as L
 EM = "—"
 
 
-def truncate(c: Column, max_len: int) -> Column:
-    return F.when(F.length(c) > max_len, F.concat(F.substring(c, 1, max_len - 3), F.lit("..."))).otherwise(c)
-
-
 def importance(scripts: DataFrame, services: DataFrame, steps: DataFrame, conns: DataFrame) -> DataFrame:
     """H1. edges touching the script (a self edge counts twice) + 2 if entry
     point + services + min(steps // 20, 5)."""
@@ -73,13 +69,13 @@ def _prefix(step_type: Column) -> Column:
 
 def flow_nodes(steps: DataFrame) -> DataFrame:
     """H5. One node per step, grouped by function (``_module_`` at top level),
-    technical label (type prefix + description) and business label (E1),
-    both cut to 60 characters."""
+    technical label (type prefix + description) and business label (E1), both
+    in full: cutting them is up to what renders them."""
     s = L.with_label(steps)
     return s.select("project_id", "path", "pos", "line_number", "type",
                     F.coalesce("function_name", F.lit("_module_")).alias("function"),
-                    truncate(F.concat(_prefix(F.col("type")), F.col("description")), 60).alias("label_tech"),
-                    truncate(F.col("label"), 60).alias("label_biz"))
+                    F.concat(_prefix(F.col("type")), F.col("description")).alias("label_tech"),
+                    F.col("label").alias("label_biz"))
 
 
 def flow_edges(steps: DataFrame) -> DataFrame:
@@ -121,9 +117,8 @@ def flow_compact(steps: DataFrame, threshold: int = R.COMPACT_THRESHOLD) -> Data
     head = F.concat(F.lit(f" {EM} "), F.col("total").cast("string"), F.lit(" steps ("))
     return g.select("project_id", "path", F.col("function_name").alias("function"),
                     F.col("total").cast("long").alias("n_steps"),
-                    truncate(F.concat(F.col("function_name"), F.lit("()"), head, summary_t, F.lit(")")), 100)
-                    .alias("label_tech"),
-                    truncate(F.concat(F.col("function_name"), head, summary_b, F.lit(")")), 100).alias("label_biz"))
+                    F.concat(F.col("function_name"), F.lit("()"), head, summary_t, F.lit(")")).alias("label_tech"),
+                    F.concat(F.col("function_name"), head, summary_b, F.lit(")")).alias("label_biz"))
 
 
 def phase_pipeline(steps: DataFrame) -> DataFrame:

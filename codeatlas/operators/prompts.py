@@ -247,12 +247,13 @@ def parse_responses(responses: DataFrame, steps: DataFrame) -> DataFrame:
     ``{`` to the last ``}``; it must parse as exactly one JSON object (wrapped
     in ``[...]`` so trailing data fails, as a strict parser would). Strings
     only; blank ones dropped; step keys must be integers naming a line of a
-    step in that phase.
+    step in that phase. A key that an object repeats counts with its last value
+    (this needs ``spark.sql.variant.allowDuplicateKeys``, set here).
     """
-    from codeatlas.session import spread
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     raw = F.col("raw")
     text = F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
-    r = spread(responses).withColumn("t", text)
+    r = responses.withColumn("t", text)
     lb = F.instr("t", "{")
     rb = F.length("t") - F.instr(F.reverse("t"), "}") + 1
     body = F.when((lb > 0) & (F.instr("t", "}") > 0) & (rb >= lb), F.expr("substring(t, instr(t, '{'), "

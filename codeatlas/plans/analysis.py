@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeatlas import rules as R
 from codeatlas.operators import extract as X
 from codeatlas.operators import links as D
 from codeatlas.operators.facts import syntax_facts
@@ -47,21 +48,25 @@ class Analysis:
         an = _SHARED.get(key)
         if an is None:
             ce = cut_table(C.corpus_events(spark, sf_dir), "corpus_events")
-            an = cls(spark, C.source_files(spark, sf_dir, ce), cut_table(C.corpus_listing(spark, sf_dir, ce), "listing"),
+            # the derived contents come out of a few coalesced partitions; real trees are parsed where they are read
+            files = C.source_files(spark, sf_dir, ce).repartition(2 * spark.sparkContext.defaultParallelism, "project_id", "path")
+            an = cls(spark, files, cut_table(C.corpus_listing(spark, sf_dir, ce), "listing"),
                      launch_steps(spark, sf_dir, ce))
             _SHARED[key] = an
         return an
 
     @classmethod
-    def from_tree(cls, spark: SparkSession, root: str, materialize: bool = True) -> "Analysis":
+    def from_tree(cls, spark: SparkSession, root: str, materialize: bool = True, max_file_size: int | None = R.MAX_FILE_SIZE) -> "Analysis":
         """Analysis of a source tree ``<root>/<project_id>/...``: every scanned
         script keeps a row (oversized, undecodable or unparsable files get no
-        steps); only admitted files are read and parsed."""
+        steps) and its status in ``status``; only admitted files are read and
+        parsed. ``max_file_size`` in bytes, None for no limit."""
         from codeatlas.sources import files as FS
-        listing = FS.scan(spark, root).select("project_id", "path")
-        modules_listing = FS.listing(spark, root).select("project_id", "path")
-        an = cls(spark, FS.admitted_sources(spark, root), listing, materialize=materialize)
-        an.__dict__["modules"] = X.local_modules(modules_listing)
+        files = FS.listing(spark, root)
+        scanned = FS.scan(spark, root, files, max_file_size)
+        an = cls(spark, FS.admitted_sources(spark, root, scanned), scanned.select("project_id", "path"), materialize=materialize)
+        an.status = scanned.select("project_id", "path", "length", "status")
+        an.__dict__["modules"] = X.local_modules(FS.module_scope(spark, root, files).select("project_id", "path"))
         return an
 
     @cached_property

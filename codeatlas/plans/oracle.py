@@ -474,10 +474,6 @@ def _pattern(label: str, n: str, first_type: str) -> str:
         ELSE 'Repeated ' || ({biz}) || ' {EM} this pattern appears ' || {ns} || ' times across the script' END)"""
 
 
-def _trunc(x: str, n: int) -> str:
-    return f"(CASE WHEN length({x}) > {n} THEN substring({x}, 1, {n - 3}) || '...' ELSE {x} END)"
-
-
 def _prefix(t: str) -> str:
     return "(CASE " + " ".join(f"WHEN {t} = {lit(x[0])} THEN {lit(x[4])}" for x in R.TYPE_LABELS) + " ELSE '' END)"
 
@@ -618,8 +614,8 @@ SELECTS: dict[str, str] = {
     "graph_edges": f"""SELECT project_id, source, target, type, {translate_connection('type')} AS verb,
         CAST(pos AS BIGINT) AS pos FROM conns""",
     "flow_nodes": f"""SELECT project_id, path, CAST(pos AS BIGINT) AS pos, CAST(line_number AS BIGINT) AS line_number, type,
-        coalesce(function_name, '_module_') AS function, {_trunc(_prefix('type') + ' || description', 60)} AS label_tech,
-        {_trunc('label', 60)} AS label_biz FROM lab""",
+        coalesce(function_name, '_module_') AS function, {_prefix('type')} || description AS label_tech,
+        label AS label_biz FROM lab""",
     "flow_edges": """SELECT project_id, path, function, CAST(pos AS BIGINT) AS src_pos, CAST(nxt AS BIGINT) AS dst_pos FROM (
         SELECT project_id, path, coalesce(function_name, '_module_') AS function, pos,
                lead(pos) OVER (PARTITION BY project_id, path, coalesce(function_name, '_module_') ORDER BY pos) AS nxt
@@ -640,8 +636,8 @@ SELECTS: dict[str, str] = {
 _compact_t = "CASE " + " ".join(f"WHEN type = {lit(t[0])} THEN {lit(t[5])}" for t in R.TYPE_LABELS) + " ELSE type END"
 _compact_b = "CASE " + " ".join(f"WHEN type = {lit(t[0])} THEN {lit(t[1])}" for t in R.TYPE_LABELS) + " ELSE type END"
 SELECTS["flow_compact"] = f"""SELECT project_id, path, function_name AS function, CAST(total AS BIGINT) AS n_steps,
-    {_trunc(f"function_name || '() {EM} ' || CAST(total AS VARCHAR) || ' steps (' || pt || more || ')'", 100)} AS label_tech,
-    {_trunc(f"function_name || ' {EM} ' || CAST(total AS VARCHAR) || ' steps (' || pb || more || ')'", 100)} AS label_biz
+    function_name || '() {EM} ' || CAST(total AS VARCHAR) || ' steps (' || pt || more || ')' AS label_tech,
+    function_name || ' {EM} ' || CAST(total AS VARCHAR) || ' steps (' || pb || more || ')' AS label_biz
     FROM (
         SELECT project_id, path, function_name, total,
                string_agg(CAST(n AS VARCHAR) || ' ' || ({_compact_t}), ', ' ORDER BY rk) FILTER (WHERE rk <= 4) AS pt,

@@ -37,19 +37,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
-def spread(df, keys=("project_id", "path")):
-    """Hash-spread ``df`` by ``keys`` when it has fewer partitions than twice
-    the cluster's cores (small inputs packed into a few splits, or AQE-coalesced
-    shuffle outputs, would leave CPU-heavy row work on one or two tasks). On
-    large inputs it returns ``df`` unchanged, so no shuffle is added."""
-    spark = df.sparkSession
-    want = 2 * spark.sparkContext.defaultParallelism
-    cols = [k for k in keys if k in df.columns]
-    if not cols or df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *cols)
-
-
 def cut_table(df, name: str, partition_by: str | None = None):
     """Cut lineage by writing a parquet table into the shared checkpoint folder
     and reading it back: later scans get column pruning, pushed filters and
@@ -75,6 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         return conf_dir.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="codeatlas-ckpt-", dir=os.environ.get("CODEATLAS_SCRATCH", "/tmp"))
     try:
         spark.conf.set("spark.checkpoint.dir", local)

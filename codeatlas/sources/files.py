@@ -1,20 +1,26 @@
-"""A1, A2, A5: source trees read with Spark's ``binaryFile`` source.
+"""A1, A2, A5: source trees on any file system that ``pyarrow.fs`` opens.
 
-Layout: ``<root>/<project_id>/<relative path>``. The listing reads only
-``path`` and ``length`` (binaryFile prunes the ``content`` column when it is
-not selected), pruning happens on path columns before any content is read,
-and the size cap is a filter on ``length``.
+Layout: ``<root>/<project_id>/<relative path>`` (files directly under the root
+form the project ``''``). Folders are listed level by level in tasks, each once
+and with hidden and ``_`` names, into a table with one row a file. Contents are
+read in the tasks that parse them, from the listed rows; only the listing is
+shuffled.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeatlas import rules as R
+from codeatlas.session import cut_table
 
 try:
     from pyspark import cloudpickle as _cp
@@ -22,133 +28,128 @@ try:
 except (ImportError, AttributeError, ValueError):  # pragma: no cover
     pass
 
+ENTRIES = "uri string, project_id string, path string, is_dir boolean, length long"
+_READ_BYTES = 16 << 20  # contents that a task holds at a time, or one larger file
+
+
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a place named as Spark names it."""
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri.removeprefix("file:")
+
+
+def _kept_folder(store: pafs.FileSystem, path: str, name: str, in_project: bool) -> bool:
+    if in_project and (name in R.SKIP_DIRS or name.startswith(".")):
+        return False
+    # a link to a folder above itself would be listed without end
+    return not (isinstance(store, pafs.LocalFileSystem) and os.path.islink(path)
+                and (os.path.realpath(os.path.dirname(path)) + "/").startswith(os.path.realpath(path) + "/"))
+
+
+def _children(root: str):
+    """Entries of each listed folder: subfolders to list next and ``.py`` files."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = filesystem(root)
+        for batch in batches:
+            for folder in batch.to_pylist():
+                try:
+                    found = store.get_file_info(pafs.FileSelector(folder["uri"]))
+                except OSError:  # a folder that can't be read has no scripts; the root itself is checked by the caller
+                    continue
+                rows = []
+                for e in sorted(found, key=lambda e: e.base_name):
+                    if e.type == pafs.FileType.Directory:
+                        if _kept_folder(store, e.path, e.base_name, folder["project_id"] is not None):
+                            project = e.base_name if folder["project_id"] is None else folder["project_id"]
+                            rows.append((e.path, project, "" if folder["project_id"] is None else folder["path"] + e.base_name + "/", True, None))
+                    elif e.type == pafs.FileType.File and os.path.splitext(e.base_name)[1] == ".py":
+                        rows.append((e.path, folder["project_id"] or "", folder["path"] + e.base_name, False, e.size))
+                if rows:
+                    cols = list(zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()),
+                                                      pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.int64())],
+                                                     ["uri", "project_id", "path", "is_dir", "length"])
+    return run
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
 
-
-def _rel_parts(root: str) -> tuple[Column, Column]:
-    """(project_id, relative path) from binaryFile's absolute ``path`` URI."""
-    base = _local(root).rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), "^" + _regex_quote(base), "")
-    return F.split_part(rel, F.lit("/"), F.lit(1)), F.regexp_replace(rel, r"^[^/]*/", "")
-
-
-def _regex_quote(s: str) -> str:
-    return r"\Q" + s + r"\E"
-
-
-def pruned(rel: Column) -> Column:
-    """True when a directory segment of the relative path is skipped
-    (known tool/build folders or hidden folders)."""
-    dirs = F.slice(F.split(rel, "/"), 1, F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0)))
-    return F.exists(dirs, lambda d: d.isin(list(R.SKIP_DIRS)) | d.startswith("."))
-
-
-def _load(spark: SparkSession, root: str) -> DataFrame:
-    """binaryFile rows under ``root``; a missing root gives no rows. A single
-    ``.py`` file is a one-script project named after its folder."""
-    from pyspark.errors import AnalysisException
-    reader = spark.read.format("binaryFile")
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(uri, project_id, path, length) of every ``.py`` file under ``root`` but
+    for skipped and hidden folders (empty ``__init__.py`` included; see
+    ``scan``). A missing root has no files; a root that can't be reached raises.
+    A single ``.py`` file is listed with its folder as the project."""
+    store, path = filesystem(root.rstrip("/"))
+    info = store.get_file_info(path)
+    if info.type == pafs.FileType.NotFound:
+        return spark.createDataFrame([], ENTRIES).drop("is_dir")
+    if info.type == pafs.FileType.File:
+        project = os.path.basename(os.path.dirname(path))
+        return spark.createDataFrame([(path, project, info.base_name, False, info.size)], ENTRIES).drop("is_dir")
+    return _listed(spark, root, [(path, None, "", True, None)])
+
+
+def _listed(spark: SparkSession, root: str, start: list[tuple]) -> DataFrame:
+    level, levels = spark.createDataFrame(start, ENTRIES), []
+    while True:
+        found = cut_table(level.repartition("uri").mapInArrow(_children(root), ENTRIES), "listing")
+        levels.append(found.where(~F.col("is_dir")))
+        level = found.where("is_dir")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels).drop("is_dir")
+
+
+def module_scope(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """Files whose names are local modules: the listing itself, and for a single
+    file all of its folder."""
     if not root.endswith(".py"):
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py")
-    try:
-        return reader.load(root)
-    except AnalysisException:
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-
-
-def _project_root(root: str) -> str:
-    """Folder whose children are project folders (the grandparent of a single file)."""
-    return root.rsplit("/", 2)[0] if root.endswith(".py") else root
-
-
-def _spark_listed(spark: SparkSession, root: str) -> DataFrame:
-    raw = _load(spark, root).select("path", "length")
-    pid, rel = _rel_parts(_project_root(root))
-    return raw.select(pid.alias("project_id"), rel.alias("path"), "length").where(~pruned(F.col("path")))
-
-
-UNDERSCORE_SCHEMA = "project_id string, path string, length long, content binary"
-
-
-def _walk_underscore(root: str, with_content: bool):
-    """Per project folder, the ``.py`` entries Spark's file listing hides
-    (a path component starting with ``_``), walked with the same pruning."""
-    import pandas as pd
-    base_root = _local(root)
-    skip = set(R.SKIP_DIRS)
-    max_size = R.MAX_FILE_SIZE
-
-    def fn(batches):
-        for pdf in batches:
-            rows = []
-            for pid in pdf["project_id"]:
-                base = os.path.join(base_root, pid)
-                for dirpath, dirnames, filenames in os.walk(base, followlinks=False):
-                    dirnames[:] = sorted(d for d in dirnames if d not in skip and not d.startswith("."))
-                    rel_dir = os.path.relpath(dirpath, base)
-                    parts = [] if rel_dir == "." else rel_dir.split(os.sep)
-                    under = any(x.startswith("_") for x in parts)
-                    for f in filenames:
-                        if f.endswith(".py") and (under or f.startswith("_")):
-                            full = os.path.join(dirpath, f)
-                            size = os.path.getsize(full)
-                            data = None
-                            if with_content and size <= max_size:
-                                with open(full, "rb") as fh:
-                                    data = fh.read()
-                            rows.append((pid, "/".join(parts + [f]), size, data))
-            yield pd.DataFrame(rows, columns=["project_id", "path", "length", "content"])
-    return fn
-
-
-def _underscore_entries(spark: SparkSession, root: str, projects: DataFrame, with_content: bool) -> DataFrame:
-    n = max(2 * spark.sparkContext.defaultParallelism, 1)
-    return (projects.select("project_id").distinct().repartition(n, "project_id")
-            .mapInPandas(_walk_underscore(root, with_content), UNDERSCORE_SCHEMA))
+        return files
+    _, path = filesystem(root)
+    folder = os.path.dirname(path)
+    return _listed(spark, root, [(folder, os.path.basename(folder), "", True, None)])
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(project_id, path, length) of every ``.py`` under ``root`` after
-    directory pruning (empty ``__init__.py`` still included; see ``scan``).
-
-    Spark's file listing covers the bulk; names it treats as hidden (leading
-    ``_``, e.g. ``__init__.py`` or ``_utils/``) come from a walk with one task
-    per project folder."""
-    main = _spark_listed(spark, root)
-    if root.endswith(".py"):
-        return main
-    extra = _underscore_entries(spark, root, main, with_content=False).select("project_id", "path", "length")
-    return main.unionByName(extra)
-
-
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """A1 + A2. Scripts to analyse: pruned listing without empty
-    ``__init__.py``, with an admission status: ``too_large`` above the size
-    cap, else ``ok`` (decode and syntax errors surface as error facts)."""
-    lst = listing(spark, root)
+def scan(spark: SparkSession, root: str, files: DataFrame | None = None, max_file_size: int | None = R.MAX_FILE_SIZE) -> DataFrame:
+    """A1 + A2. Scripts to analyse: the listing without empty ``__init__.py``,
+    with an admission status: ``too_large`` above ``max_file_size`` bytes (None:
+    no limit), else ``ok`` (decode and syntax errors surface as error facts)."""
+    lst = listing(spark, root) if files is None else files
     name = F.substring_index("path", "/", -1)
     lst = lst.where(~((name == "__init__.py") & (F.col("length") == 0)))
-    status = F.when(F.col("length") > R.MAX_FILE_SIZE, F.lit("too_large")).otherwise(F.lit("ok"))
-    return lst.withColumn("status", status)
-
-
-def admitted_sources(spark: SparkSession, root: str) -> DataFrame:
-    """(project_id, path, content) of admitted scripts; the size filter is
-    pushed to the file listing, so oversized files are never read."""
-    raw = _load(spark, root).where(F.col("length") <= R.MAX_FILE_SIZE)
-    pid, rel = _rel_parts(_project_root(root))
-    main = raw.select(pid.alias("project_id"), rel.alias("path"), "length", "content").where(~pruned(F.col("path")))
-    if root.endswith(".py"):
-        both = main
-    else:
-        extra = _underscore_entries(spark, root, main.select("project_id"), with_content=True) \
-            .where(F.col("length") <= R.MAX_FILE_SIZE)
-        both = main.unionByName(extra)
-    name = F.substring_index("path", "/", -1)
-    return (both.where(~((name == "__init__.py") & (F.col("length") == 0)))
-            .select("project_id", "path", "content"))
+    large = F.lit(False) if max_file_size is None else F.col("length") > max_file_size
+    return lst.withColumn("status", F.when(large, F.lit("too_large")).otherwise(F.lit("ok")))
+
+
+def _contents(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = filesystem(root)
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            a, b, c = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.binary())], ["project_id", "path", "content"])
+
+        held, size = [], 0
+        for batch in batches:
+            for x in batch.to_pylist():
+                try:
+                    with store.open_input_stream(x["uri"], compression=None) as f:
+                        data = f.read()
+                except OSError:
+                    data = None  # becomes an error fact of this file alone
+                held.append((x["project_id"], x["path"], data))
+                size += len(data or b"")
+                if size >= _READ_BYTES:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+    return run
+
+
+def admitted_sources(spark: SparkSession, root: str, scanned: DataFrame | None = None) -> DataFrame:
+    """(project_id, path, content) of admitted scripts. Listed rows are dealt
+    over the tasks, which open the files; contents don't move."""
+    files = (scan(spark, root) if scanned is None else scanned).where("status = 'ok'").select("uri", "project_id", "path")
+    return files.repartition("uri").mapInArrow(_contents(root), "project_id string, path string, content binary")
 
 
 def modules_from_listing(lst: DataFrame) -> DataFrame:
@@ -162,23 +163,19 @@ def modules_from_listing(lst: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _write_rows(root: str):
-    base = _local(root)
-
     def write(rows):
+        store, base = filesystem(root)
         for r in rows:
-            target = os.path.join(base, r["project_id"], r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "w", encoding="utf-8") as fh:
-                fh.write(r["content"])
+            target = f"{base}/{r['project_id']}/{r['path']}"
+            store.create_dir(os.path.dirname(target), recursive=True)
+            with store.open_output_stream(target, compression=None) as f:
+                f.write(r["content"].encode("utf-8"))
     return write
 
 
 def write_tree(files: DataFrame, root: str) -> None:
-    """Write ``(project_id, path, content)`` rows as files under ``root``.
-
-    Each task writes its own files; ``root`` must be a folder every executor
-    sees (a shared mount), as for the checkpoint folder.
-    """
+    """Write ``(project_id, path, content)`` rows as files under ``root``, a
+    folder that all executors share."""
     files.select("project_id", "path", "content").foreachPartition(_write_rows(root))
 
 

@@ -39,5 +39,6 @@ def test_entry_flagship(spark):
 
 
 def test_every_query_has_oracle_sql():
-    import __spark_entry__ as E
-    assert set(E.queries()) == set(E.oracle_sql())
+    from codeatlas.plans.oracle import oracle_sql
+    from codeatlas.plans.queries import QUERIES
+    assert set(QUERIES) == set(oracle_sql())

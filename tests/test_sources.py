@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from codeatlas.plans.analysis import Analysis
 from codeatlas.sources import analysis_json as AJ
 from codeatlas.sources import files as FS
@@ -74,3 +76,43 @@ def test_single_file_and_missing_root(spark):
     an = Analysis.from_tree(spark, f"{root}/p1/main.py", materialize=False)
     assert [r.description for r in an.steps.collect()] == ["requests.get()"]
     assert FS.scan(spark, f"{root}/nowhere").count() == 0
+
+
+def test_listing_keeps_every_name_once_and_any_uri(spark):
+    root = tempfile.mkdtemp(prefix="codeatlas-tree-")
+    for rel in ("p/.hid.py", "p/_a=b.py", "p/sub/_x.py", "p/.hidden/no.py", "q/__main__.py", "q/notes.py.txt"):
+        os.makedirs(os.path.dirname(f"{root}/{rel}"), exist_ok=True)
+        with open(f"{root}/{rel}", "w") as fh:
+            fh.write("print(1)\n")
+    os.symlink(root + "/p", root + "/p/sub/loop")
+    want = [("p", ".hid.py"), ("p", "_a=b.py"), ("p", "sub/_x.py"), ("q", "__main__.py")]
+    for name in (root, "file://" + root, "file:" + root):
+        assert sorted((r.project_id, r.path) for r in FS.scan(spark, name).collect()) == want
+    assert sorted(r.path for r in Analysis.from_tree(spark, "file://" + root, materialize=False).steps.collect()) == sorted(p for _, p in want)
+    assert {r.status for r in FS.scan(spark, root, max_file_size=3).collect()} == {"too_large"}
+    assert {r.status for r in FS.scan(spark, root, max_file_size=None).collect()} == {"ok"}
+
+
+def test_unreachable_root_raises(spark):
+    with pytest.raises(Exception):
+        FS.listing(spark, "nosuchscheme://host/tree")
+
+
+def test_single_file_sees_its_siblings(spark):
+    root = _tree()
+    an = Analysis.from_tree(spark, f"{root}/p1/main.py", materialize=False)
+    assert {r["import"] for r in an.imports.where("is_internal").collect()} == {"helper", "_util"}
+
+
+def test_bad_files_stay_alone(spark):
+    rows = [("p", "a.py", "import os\nk = os.getenv('\\ud800')\nprint(1)\n"), ("p", "b.py", "def main(x=" + "+".join(["1"] * 3000) + "):\n    pass\n"),
+            ("p", "c.py", "def main(x=[1, {'a': y}], z={None: 2}):\n    (a, *b), c.d, e = f = open(p, mode='a')\n"), ("p", "d.py", None)]
+    from codeatlas.operators.facts import syntax_facts
+    facts = syntax_facts(spark.createDataFrame(rows, "project_id string, path string, content string")).collect()
+    by = {p: [r for r in facts if r.path == p] for p in ("a.py", "b.py", "c.py", "d.py")}
+    assert [r.arg0_str for r in by["a.py"] if r.kind == "call" and r.method == "getenv"] == ["\\ud800"]
+    assert by["b.py"] and by["d.py"][0].kind == "error"
+    assert [r.text2 for r in by["c.py"] if r.kind == "param"] == ['[1, {"a": "y"}]', '{"null": 2}']
+    call, = [r for r in by["c.py"] if r.kind == "call"]
+    assert call.open_mode == "a" and call.flag is False and call.arg0_str is None
+    assert [r.names for r in by["c.py"] if r.kind == "assign"] == [["e", "f"]]
