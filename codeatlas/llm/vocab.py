@@ -66,8 +66,8 @@ class Pieces:
             self.marks.update(zip(fresh, self.compute(fresh)))
             into.update((k, into[base] + self.marks[k[len(base):]]) for k, base in split.items())
 
-    def _values(self, texts: list[list[str]], into: dict, made: Callable[[str], str]) -> list[list]:
-        need = set().union(*texts).difference(into)
+    def _values(self, texts: list[list[str]], distinct: list, into: dict, made: Callable[[str], str]) -> list[list]:
+        need = set().union(*distinct).difference(into)
         if need:
             self._learn(into, need, made)
         out = [list(map(into.__getitem__, parts)) for parts in texts]
@@ -82,9 +82,11 @@ class Pieces:
     def group(self, texts: list[str]) -> list[list]:
         """The piece values of each text, in order."""
         if not self.spaced:
-            return self._values([[p for p in t.replace("\n", " ").split(" ") if p] for t in texts], self.inner, str)
+            parts = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
+            return self._values(parts, parts, self.inner, str)
         first: list[list[str]] = []
         rest: list[list[str]] = []
+        kinds: list[set[str]] = []
         for text in texts:
             parts = text.replace("\n", " \n").split(" ")
             head = parts.pop(0)
@@ -92,8 +94,9 @@ class Pieces:
             odd = "" in distinct or "\n" in distinct or bool(_ODD.search(" ".join(distinct.difference(self.inner))))
             first.append(_RUNS.findall(text) if odd else [head] if head else [])
             rest.append([] if odd else parts)
-        heads = self._values(first, self.literal, str)
-        tails = self._values(rest, self.inner, lambda p: p if p[0] == "\n" else " " + p)
+            kinds.append(set() if odd else distinct)
+        heads = self._values(first, first, self.literal, str)
+        tails = self._values(rest, kinds, self.inner, lambda p: p if p[0] == "\n" else " " + p)
         return [a + b for a, b in zip(heads, tails)]
 
     def all(self, texts: Iterable[str | None]) -> Iterable[list]:
