@@ -47,10 +47,10 @@ def graph_nodes(scripts: DataFrame) -> DataFrame:
     entry flag."""
     parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     s = scripts.select("project_id", "path", "is_entry_point", parent.alias("dir"))
-    ndirs = s.groupBy("project_id").agg(F.count_distinct("dir").alias("n_dirs"))
-    return (s.join(ndirs, "project_id")
+    dirs = s.groupBy("project_id").agg((F.min("dir") != F.max("dir")).alias("several"))
+    return (s.join(dirs, "project_id")
             .select("project_id", "path", F.substring_index("path", "/", -1).alias("name"),
-                    F.when((F.col("dir") != "") & (F.col("n_dirs") > 1), F.col("dir")).alias("group"),
+                    F.when((F.col("dir") != "") & F.col("several"), F.col("dir")).alias("group"),
                     "is_entry_point"))
 
 
@@ -121,6 +121,28 @@ def flow_compact(steps: DataFrame, threshold: int = R.COMPACT_THRESHOLD) -> Data
                     F.concat(F.col("function_name"), head, summary_b, F.lit(")")).alias("label_biz"))
 
 
+def _outside_collapsed(steps: DataFrame, threshold: int) -> DataFrame:
+    """Steps that are not inside a function that collapses."""
+    long = (steps.where(F.col("function_name").isNotNull()).groupBy("project_id", "path", "function_name")
+            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold).drop("n"))
+    return steps.join(long, ["project_id", "path", "function_name"], "left_anti").select(*steps.columns)
+
+
+def compact_nodes(steps: DataFrame, threshold: int = R.COMPACT_THRESHOLD) -> DataFrame:
+    """H7. Nodes of the compact view: one for each collapsed function (``pos``
+    null) and one for each step outside them."""
+    folded = flow_compact(steps, threshold).select(
+        "project_id", "path", "function", F.lit(None).cast("int").alias("pos"), "n_steps", "label_tech", "label_biz")
+    single = flow_nodes(_outside_collapsed(steps, threshold)).select(
+        "project_id", "path", "function", "pos", F.lit(1).cast("long").alias("n_steps"), "label_tech", "label_biz")
+    return folded.unionByName(single)
+
+
+def compact_edges(steps: DataFrame, threshold: int = R.COMPACT_THRESHOLD) -> DataFrame:
+    """H7. Edges of the compact view: those inside functions that stay open."""
+    return flow_edges(_outside_collapsed(steps, threshold))
+
+
 def phase_pipeline(steps: DataFrame) -> DataFrame:
     """H8. Phases present, in order, with counts and the next present phase."""
     s = L.with_phase(steps)

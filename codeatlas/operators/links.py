@@ -77,28 +77,28 @@ def file_edges(steps: DataFrame) -> DataFrame:
 def launch_edges(scripts: DataFrame, steps: DataFrame) -> DataFrame:
     """D6. api_call step whose description contains a script path -> subprocess edge.
 
-    Exact without comparing every step with every script: a path ending in
-    ``.py`` can only occur in a description as a substring ending at one of
-    its ``.py`` occurrences, so those substrings are generated and equi-joined
-    on the path. Paths not ending in ``.py`` (only possible from imported
-    analyses) take a residual ``instr`` join restricted to those few paths.
+    Exact without comparing every step with every script: a path can only occur
+    in a description as a substring that has the length and the last characters
+    of a path of the project. These (length, ending) pairs are few, so only such
+    substrings are generated, and they are equi-joined on the path.
     """
     api = steps.where(F.col("type") == "api_call").select(
         "project_id", F.col("path").alias("source"), "pos", "description")
+    targets = scripts.select("project_id", F.col("path").alias("target")).where(F.col("target") != "")
+    kinds = targets.groupBy("project_id").agg(F.collect_set(F.struct(
+        F.length("target").alias("n"), F.right("target", F.lit(3)).alias("ending"))).alias("kinds"))
     d = F.col("description")
-    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(d) - 2, F.lit(1))),
-                    lambda i: F.substring(d, i, 3) == ".py")
-    cands = F.array_distinct(F.flatten(F.transform(
-        ends, lambda i: F.transform(F.sequence(F.lit(1), i), lambda s: F.substring(d, s, i + 3 - s)))))
-    exploded = api.where(d.contains(".py")).select("project_id", "source", "pos",
-                                                   F.explode(cands).alias("target"))
-    targets = scripts.select("project_id", F.col("path").alias("target"))
-    py_hits = exploded.join(targets.where(F.col("target").endswith(".py")), ["project_id", "target"])
-    other = targets.where(~F.col("target").endswith(".py"))
-    other_hits = (api.join(other, "project_id")
-                  .where(F.instr(F.col("description"), F.col("target")) > 0)
-                  .select("project_id", "target", "source", "pos"))
-    hits = py_hits.unionByName(other_hits)
+
+    def of_kind(k: Column) -> Column:
+        m = F.length(k["ending"])
+        starts = F.filter(F.sequence(F.lit(1), F.length(d) - k["n"] + 1),
+                          lambda s: F.substring(d, s + k["n"] - m, m) == k["ending"])
+        return F.transform(starts, lambda s: F.substring(d, s, k["n"]))
+
+    fitting = F.filter("kinds", lambda k: (k["n"] <= F.length(d)) & d.contains(k["ending"]))
+    cands = F.array_distinct(F.flatten(F.transform(fitting, of_kind)))
+    hits = (api.join(kinds, "project_id").select("project_id", "source", "pos", F.explode(cands).alias("target"))
+            .join(targets, ["project_id", "target"]))
     return hits.groupBy("project_id", "source", "target").agg(F.min("pos").alias("pos")).select(
         "project_id", "source", "target", F.lit("subprocess").alias("type"),
         F.concat("source", F.lit(" runs "), "target", F.lit(" via subprocess")).alias("detail"),

@@ -248,7 +248,8 @@ def parse_responses(responses: DataFrame, steps: DataFrame) -> DataFrame:
     in ``[...]`` so trailing data fails, as a strict parser would). Strings
     only; blank ones dropped; step keys must be integers naming a line of a
     step in that phase. A key that an object repeats counts with its last value
-    (this needs ``spark.sql.variant.allowDuplicateKeys``, set here).
+    (this needs ``spark.sql.variant.allowDuplicateKeys``, set here); of several
+    keys for one line the plain number counts.
     """
     responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     raw = F.col("raw")
@@ -276,12 +277,21 @@ def parse_responses(responses: DataFrame, steps: DataFrame) -> DataFrame:
     # One pass over the parsed object: scalar members and step entries become
     # candidate rows of a single array, exploded once.
     step_map = F.expr("try_variant_get(obj, '$.steps', 'map<string,variant>')")
+
+    def line_of(key: Column) -> Column:
+        return F.when(key.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(key).try_cast("int"))
+
+    def plainer(key: Column) -> Column:
+        """Another key writes the same line plainly ("1" beside "+1")."""
+        plain = line_of(key).cast("string")
+        return F.coalesce((key != plain) & (F.schema_of_variant(F.try_element_at(step_map, plain)) == "STRING"), F.lit(False))
+
     step_rows = F.transform(
         F.map_entries(F.coalesce(step_map, F.create_map().cast("map<string,variant>"))),
         lambda e: F.struct(
             F.lit("step").alias("kind"),
-            F.when(e["key"].rlike(r"^\s*[+-]?\d+\s*$"), F.trim(e["key"]).try_cast("int")).alias("line"),
-            F.when(F.schema_of_variant(e["value"]) == "STRING",
+            line_of(e["key"]).alias("line"),
+            F.when((F.schema_of_variant(e["value"]) == "STRING") & ~plainer(e["key"]),
                    _strip(F.variant_get(e["value"], "$", "string"))).alias("text")))
     scalars = F.array(
         F.struct(F.lit("summary").alias("kind"), F.lit(None).cast("int").alias("line"),
@@ -299,13 +309,14 @@ def parse_responses(responses: DataFrame, steps: DataFrame) -> DataFrame:
 
 def merge_responses(parsed: DataFrame) -> DataFrame:
     """I6. Per script: phase summaries and risks by phase; contextual step text
-    per line, later phases (display order) overwriting earlier ones.
+    per line, later phases (display order) overwriting earlier ones (several
+    texts of one phase and line: the greatest).
     Flat rows (project_id, path, kind, key, text)."""
     p = parsed.withColumn("phase_ord", L.phase_ord(F.col("phase")))
     maps = p.where(F.col("kind") != "step").select("project_id", "path", "kind",
                                                    F.col("phase").alias("key"), "text")
     steps = (p.where(F.col("kind") == "step").groupBy("project_id", "path", "line")
-             .agg(F.max_by("text", "phase_ord").alias("text"))
+             .agg(F.max_by("text", F.struct("phase_ord", "text")).alias("text"))
              .select("project_id", "path", F.lit("step").alias("kind"), F.col("line").cast("string").alias("key"),
                      "text"))
     return maps.unionByName(steps)

@@ -652,6 +652,19 @@ SELECTS["flow_compact"] = f"""SELECT project_id, path, function_name AS function
         WHERE total > {R.COMPACT_THRESHOLD}
         GROUP BY project_id, path, function_name, total)"""
 
+_open_functions = f"""(SELECT * FROM (
+    SELECT *, coalesce(function_name, '_module_') AS function,
+           count(*) OVER (PARTITION BY project_id, path, function_name) AS in_function FROM {{0}})
+    WHERE function_name IS NULL OR in_function <= {R.COMPACT_THRESHOLD})"""
+SELECTS["compact_nodes"] = f"""SELECT project_id, path, function, CAST(NULL AS BIGINT) AS pos, n_steps, label_tech, label_biz
+    FROM ({SELECTS["flow_compact"]})
+    UNION ALL
+    SELECT project_id, path, function, CAST(pos AS BIGINT), CAST(1 AS BIGINT), {_prefix('type')} || description, label
+    FROM {_open_functions.format('lab')}"""
+SELECTS["compact_edges"] = f"""SELECT project_id, path, function, CAST(pos AS BIGINT) AS src_pos, CAST(nxt AS BIGINT) AS dst_pos FROM (
+        SELECT project_id, path, function, pos, lead(pos) OVER (PARTITION BY project_id, path, function ORDER BY pos) AS nxt
+        FROM {_open_functions.format('st')}) WHERE nxt IS NOT NULL"""
+
 SELECTS["prompt_script"] = f"""SELECT s.project_id, s.path, {lit(PR.SYSTEM_PROMPT)} AS system,
     {_nl(PR.SCRIPT_OBJECTIVE)} || 'Script: ' || s.path || chr(10)
     || 'Entry point: ' || CASE WHEN s.is_entry_point THEN 'Yes' ELSE 'No' END || chr(10)

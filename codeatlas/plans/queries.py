@@ -288,6 +288,16 @@ def flow_compact(spark, sf_dir):
     return H.flow_compact(_an(spark, sf_dir).steps)
 
 
+def compact_nodes(spark, sf_dir):
+    return H.compact_nodes(_an(spark, sf_dir).steps).select(
+        "project_id", "path", "function", *_long("pos", "n_steps"), "label_tech", "label_biz")
+
+
+def compact_edges(spark, sf_dir):
+    return H.compact_edges(_an(spark, sf_dir).steps).select(
+        "project_id", "path", "function", *_long("src_pos", "dst_pos"))
+
+
 def phase_pipeline(spark, sf_dir):
     return H.phase_pipeline(_an(spark, sf_dir).steps).select(
         "project_id", "path", "phase", "phase_label", *_long("phase_ord", "n_steps"), "caption", "next_phase")
@@ -425,6 +435,8 @@ QUERIES: dict[str, QueryFn] = {
     "flow_nodes": flow_nodes,
     "flow_edges": flow_edges,
     "flow_compact": flow_compact,
+    "compact_nodes": compact_nodes,
+    "compact_edges": compact_edges,
     "phase_pipeline": phase_pipeline,
     "prompt_script": prompt_script,
     "prompt_project": prompt_project,

@@ -15,6 +15,16 @@ def test_compact_boundary(spark):
     assert r.label_biz == "g — 9 steps (6 Data Processing, 2 External Service, 1 Log/Notify)"
 
 
+def test_compact_view_keeps_open_functions(spark):
+    s = steps_df(spark, [("transform", "len()", None, "long")] * 9 + [("transform", "int()", None, "short")] * 2
+                 + [("output", "print()")] * 10)
+    nodes = H.compact_nodes(s).collect()
+    assert [(n.function, n.n_steps) for n in nodes if n.pos is None] == [("long", 9)]
+    assert sorted(n.pos for n in nodes if n.pos is not None) == list(range(9, 21))
+    got = sorted((e.function, e.src_pos, e.dst_pos) for e in H.compact_edges(s).collect())
+    assert got == [("_module_", k, k + 1) for k in range(11, 20)] + [("short", 9, 10)]
+
+
 def test_flow_edges_stay_in_function(spark):
     s = steps_df(spark, [("transform", "len()", None, "a"), ("transform", "int()", None, "b"),
                          ("transform", "str()", None, "a"), ("output", "print()")])
@@ -44,6 +54,15 @@ def test_response_parsing(spark):
                           ("step", 2, "two"), ("risk", None, "R")])
 
 
+def test_several_keys_for_one_line(spark):
+    s = steps_df(spark, [("transform", "len()"), ("transform", "int()")])
+    raw = '{"steps": {"+1": "signed", "1": "plain", " 2": "spaced", "+3": "none"}}'
+    resp = spark.createDataFrame([("p", "s.py", "processing", raw)], "project_id string, path string, phase string, raw string")
+    parsed = I.parse_responses(resp, s)
+    assert sorted((r.line, r.text) for r in parsed.collect()) == [(1, "plain"), (2, "spaced")]
+    assert sorted((r.key, r.text) for r in I.merge_responses(parsed).collect()) == [("1", "plain"), ("2", "spaced")]
+
+
 def test_importance_step_bonus_capped(spark):
     scripts = spark.createDataFrame([("p", "a.py", True), ("p", "b.py", False)],
                                     "project_id string, path string, is_entry_point boolean")

@@ -52,6 +52,13 @@ def test_launch_edges_py_and_other_paths(spark):
     assert got == [("a.py", "a.py"), ("a.py", "deploy.sh"), ("a.py", "jobs/run.py"), ("a.py", "run.py")]
 
 
+def test_launch_edges_short_paths_and_other_projects(spark):
+    scripts = spark.createDataFrame([("p", "x"), ("p", "run"), ("q", "b.py"), ("p", "long/way/to/b.py")], "project_id string, path string")
+    st = _steps(spark, [("a.py", 0, "api_call", "run x", [], []), ("a.py", 1, "api_call", "b.py", [], []), ("a.py", 2, "api_call", "", [], [])])
+    got = sorted((r.project_id, r.source, r.target) for r in D.launch_edges(scripts, st).collect())
+    assert got == [("p", "a.py", "run"), ("p", "a.py", "x")]
+
+
 def test_import_edges_last_path_wins_and_no_self(spark):
     scripts = _scripts(spark, ["a/util.py", "b/util.py", "main.py"])
     imps = spark.createDataFrame([("p", "main.py", "util.helpers", True), ("p", "b/util.py", "util", True),
