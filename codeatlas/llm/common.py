@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20  # text bytes that a task turns into numpy arrays at a time
+BATCH_BYTES = 4 << 20  # bytes of an Arrow batch, unless one row is larger
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Let Arrow batches of the session end at BATCH_BYTES as well as at their
+    number of rows, so that a task's memory does not grow with wide rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n`` (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -424,6 +424,28 @@ def test_main_text(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_alignment_is_a_longest_common_subsequence():
+    from codeatlas.llm.wrappers import align
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a, b = (rng.choice(list("abcd"), rng.integers(0, 14)).tolist() for _ in "xy")
+        pairs = align(a, b)
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in np.ndindex(len(a), len(b)):
+            best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        assert len(pairs) == best[-1, -1] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    long = [f"p{i}" for i in range(3000)]
+    assert len(align(long, long[::-1])) == 1
+
+
+def test_raw_elements_and_named_boilerplate():
+    from codeatlas.llm.wrappers import extract
+    page = ("<article class=with-sidebar>İİİİ<SCRIPT>x</ScRiPt><p>body</p><div class='post-comments'>c</div><div class='site-nav'>n</div>"
+            "<div class='no-ads'>kept</div></article>")
+    assert extract(page, None) == "İİİİ body kept"
+
+
 def test_wrapper_expression():
     from codeatlas.llm import wrappers as W
     pages = ["<body><h1>a</h1><ul><li>x<li>y</ul><p>same", "<body><h1>b</h1><div class=ad>z</div><ul><li>x</ul><p>same", "<body><h1>c</h1><ul><li>q<li>y</ul><p>same"]
