@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import fold
+from codeatlas.llm.common import bounded_batches, fold
 
 ALPHABET = 61  # most frequent letters; the others share a symbol
 OTHER, PAD = 62, 63
@@ -188,6 +188,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_langs: int =
 def languages(docs: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``. The score
     is the runner-up's share of phrases against the winner's (0.5 to 1)."""
+    bounded_batches(docs)
     made = docs.sparkSession.sparkContext.broadcast(train(docs, **bounds))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import mixed, shingle_set, text_chunks, words
+from codeatlas.llm.common import bounded_batches, mixed, shingle_set, text_chunks, words
 from codeatlas.session import cut_table
 
 BINS, BANDS, ROWS = 256, 42, 6
@@ -163,6 +163,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``
     (doc_id, text, ...)."""
+    bounded_batches(docs)
     sigs = cut_table(signatures(docs, shingle_words), "signatures")
     sets = cut_table(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2", "n_shingles")
                      .agg(F.min(F.struct("doc_id", "bands")).alias("x"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import batches
+from codeatlas.llm.common import batches, bounded_batches
 from codeatlas.llm.vocab import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -114,6 +114,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = EN
     """One row for each piece: doc_id, start and length (ids), doc_tokens,
     sequence_id, offset in the sequence, ids (little-endian 32-bit). Sequence
     ids are unique: the task's number and the sequence's number in it."""
+    bounded_batches(docs)
     end = end_id.to_bytes(4, "little")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import ngrams, text_chunks, words
+from codeatlas.llm.common import bounded_batches, ngrams, text_chunks, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -128,6 +128,7 @@ def cascade(t: Texts, rows: np.ndarray, rules: tuple[Rule, ...]) -> np.ndarray:
 def profile(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, seconds a row, share rejected) on a random sample of about
     ``sample_rows`` rows; one row for each rule reaches the driver."""
+    bounded_batches(docs)
     n = docs.count()
     if not n:
         return [(r.name, 0.0, 0.0) for r in rules]

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeatlas.llm.common import bounded_batches
 from codeatlas.llm.vocab import Pieces, tokenizer_path
 
 # FIXED VALUES: the pre-token pattern of byte-level BPE vocabularies.
@@ -134,6 +135,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
             tokens = [sum(v) for v in pieces.all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    bounded_batches(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     return (docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
             .mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit))

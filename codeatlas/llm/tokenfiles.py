@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import batches
+from codeatlas.llm.common import batches, bounded_batches
 from codeatlas.llm.vocab import encoder, tokenizer_path
 from codeatlas.sources.files import filesystem
 
@@ -133,6 +133,7 @@ class Reader:
 def write_documents(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end_id: int = END_ID) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into ``folder`` and return the table of
     files: part (ascending with the ids), path, n_docs, n_ids."""
+    bounded_batches(docs)
     end = end_id.to_bytes(4, "little")
     spark = docs.sparkSession
     fs, path = filesystem(folder)

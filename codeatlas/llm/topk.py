@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import batches
+from codeatlas.llm.common import batches, bounded_batches
 from codeatlas.session import cut_table
 
 LISTS = 2
@@ -165,6 +165,7 @@ def collect_and_resolve(qid, q, xid, x, cutoff, k):
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id divisible by
     ``every``) its ``k`` best other rows, ties to the smaller id."""
+    bounded_batches(vectors)
     rows = cut_table(quantized(vectors, scale), "vectors")
     x = cut_table(blocks(rows, ROW_BLOCK), "row_blocks")
     slices = max(1, -(-x.count() // SLICE_BLOCKS))
