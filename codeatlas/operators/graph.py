@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeatlas import rules as R
 from codeatlas.functions import labels as L
+from codeatlas.operators.numbering import numbered
 
 EM = "—"
 
@@ -33,12 +34,10 @@ def importance(scripts: DataFrame, services: DataFrame, steps: DataFrame, conns:
 
 def ranking(importance_df: DataFrame) -> DataFrame:
     """H2. Rank by score desc (ties in path order); the top max(1, n // 3) are key."""
-    wp = Window.partitionBy("project_id")
-    w = wp.orderBy(F.desc("score"), F.asc("path"))
-    n = F.count(F.lit(1)).over(wp)
-    return importance_df.select(
-        "project_id", "path", "score", F.row_number().over(w).cast("long").alias("rank"),
-        (F.row_number().over(w) <= F.greatest(F.lit(1), F.floor(n / R.KEY_SCRIPT_DIVISOR))).alias("is_key"))
+    ranked = numbered(importance_df, "project_id", [F.desc("score"), F.asc("path")], "ranking")
+    return ranked.select(
+        "project_id", "path", "score", F.col("nth").cast("long").alias("rank"),
+        (F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("of") / R.KEY_SCRIPT_DIVISOR))).alias("is_key"))
 
 
 def graph_nodes(scripts: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ file path, script path); no pairwise comparison of scripts is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeatlas.operators.numbering import numbered
+
 
 def file_stem(path: Column) -> Column:
     """PurePath(path).stem: last component without its last suffix."""
@@ -114,6 +116,6 @@ def connections(scripts: DataFrame, imports_df: DataFrame, steps: DataFrame) ->
             .unionByName(launch_edges(scripts, steps)))
     first = (allv.groupBy("project_id", "source", "target", "type")
              .agg(F.min_by("detail", "ord").alias("detail"), F.min("ord").alias("ord")))
-    w = Window.partitionBy("project_id").orderBy("source", "ord")
-    return first.select("project_id", "source", "target", "type", "detail",
-                        (F.row_number().over(w) - 1).cast("int").alias("pos"))
+    order = [F.col("source"), F.col("ord"), F.col("target"), F.col("type")]
+    return numbered(first, "project_id", order, "connections").select(
+        "project_id", "source", "target", "type", "detail", (F.col("nth") - 1).cast("int").alias("pos"))
