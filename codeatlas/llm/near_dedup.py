@@ -12,7 +12,12 @@
    is still apart, until a round finds no link. Small buckets (at most SMALL
    members) are then settled pair by pair where components still differ, which
    is at most SMALL/2 pairs a row.
-4. Components are smallest reachable ids (large-star and small-star steps).
+4. What larger buckets still hold apart is settled by an exact prefix-filter
+   join: shingles are ordered from rare to common, and two sets that are similar
+   enough share one of the first few of each (``prefixes``). Every such pair of
+   two components is confirmed on the full sets; members of a shingle's largest
+   component meet only the others.
+5. Components are smallest reachable ids (large-star and small-star steps).
 
 Hot buckets and hot groups never meet in one task as a list: minima and maxima
 are combined before the shuffle, and joins read written tables on both sides, so
@@ -43,6 +48,7 @@ from codeatlas.session import cut_table
 BINS, BANDS, ROWS = 256, 42, 6
 SMALL = 32        # buckets up to this size are settled pair by pair
 MAX_ROUNDS = 12   # star rounds, if links keep appearing
+ORDERED = 1 << 20  # commonest shingles that prefixes put last; the others come first, by hash
 _PROBES = np.random.default_rng(4).integers(0, BINS, (4096, BINS))
 _STEPS = ((0, 8), (8, 64), (64, 512), (512, 4096))
 
@@ -131,6 +137,69 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def shingle_counts(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """shingle, df: the texts that hold each shingle, where these are several."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for _, data, offsets in text_chunks(batch.column(0)):
+                hashes, at = words(data, offsets, fold_case=True)
+                found, n = np.unique(np.concatenate([shingle_set(hashes[at[i]:at[i + 1]], shingle_words) for i in range(len(offsets) - 1)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "df"])
+
+    return texts.select("text").mapInArrow(run, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where("df > 1")
+
+
+def prefixes(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """id, component, n, shingle, place: the first shingles of each set (id,
+    component, text), rare ones first, of which two similar sets share one. The
+    order decides the cost only, so it may know the ORDERED commonest alone;
+    if these are all that repeat, the others need no row."""
+    top = shingle_counts(texts, shingle_words).orderBy(F.desc("df"), "shingle").limit(ORDERED).toArrow()
+    whole = top.num_rows < ORDERED
+    keys, df = top.column("shingle").to_numpy().view(np.uint64), top.column("df").to_numpy()
+    by_key = np.argsort(keys)
+    order = texts.sparkSession.sparkContext.broadcast((keys[by_key], df[by_key]))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, df = order.value
+        for batch in it:
+            for lo, data, offsets in text_chunks(batch.column(2)):
+                hashes, at = words(data, offsets, fold_case=True)
+                rows, sizes, found, places = [], [], [], []
+                for i in range(len(offsets) - 1):
+                    s = shingle_set(hashes[at[i]:at[i + 1]], shingle_words)
+                    if not len(s) or not len(keys):
+                        continue
+                    near = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    known = keys[near] == s
+                    first = np.lexsort((s, np.where(known, df[near], 1)))[:len(s) - -(-percent * len(s) // 100) + 1]
+                    place = np.flatnonzero(known[first]) if whole else np.arange(len(first))
+                    rows.append(np.full(len(place), lo + i))
+                    sizes.append(np.full(len(place), len(s)))
+                    found.append(s[first[place]])
+                    places.append(place)
+                if rows:
+                    of = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))],
+                                                     ["id", "component", "n", "shingle", "place"])
+
+    return texts.select("id", "component", "text").mapInArrow(run, "id long, component long, n long, shingle long, place long")
+
+
+def prefix_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of two components that share a shingle of their prefixes
+    early enough to be similar. The first shingle that two similar sets share
+    leaves at least their common part behind it in both."""
+    most = cut_table(first.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle")
+                     .agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1").select("shingle", "most"), "prefix_most")
+    met = cut_table(first.join(most, "shingle"), "prefix_members")
+    other = met.where("component <> most").select("shingle", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"))
+    return (met.join(other, "shingle").where("component <> other").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+            .where(f"{100 + percent} * least(n - place, m - at) >= {percent} * (n + m)")
+            .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")))
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
 
@@ -234,6 +303,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     other = rest.select("key", F.col("id").alias("b"), F.struct("n").alias("c"), F.col("component").alias("other"))
     merge(rest.join(other, "key").where(F.col("id") < F.col("b")).where("component <> other").where(fits)
           .select(F.col("id").alias("a"), "b"))
+    large = cut_table(apart().where(F.col("size") > SMALL).select("id", "component").distinct(), "large")
+    if not large.isEmpty():
+        merge(prefix_pairs(cut_table(prefixes(cut_table(texts.join(large, "id"), "large_texts"), shingle_words, percent), "prefixes"), percent))
 
     final = cut_table(sets.join(label, "id", "left").select("fp1", "fp2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")), "components")
     return (sigs.select("doc_id", "fp1", "fp2", "n_shingles").join(final, ["fp1", "fp2", "n_shingles"], "left")

@@ -269,6 +269,16 @@ def test_near_duplicates(spark, n_words):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_in_large_buckets_of_one_template(spark):
+    from codeatlas.llm.near_dedup import near_duplicates
+    rng = np.random.default_rng(8)
+    # every slot has four fillings, so buckets are shared by many and the few similar pairs meet in large ones
+    rows = [(i, " ".join([f"t{k}" for k in range(60)] + [f"slot{k}x{v}" for k, v in enumerate(rng.integers(0, 4, 24))])) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, 1, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 1, 80))
+
+
 def test_near_duplicates_edges(spark, docs, empty):
     from codeatlas.llm.near_dedup import drop_near, near_duplicates
     left = drop_near(docs)
