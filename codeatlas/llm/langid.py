@@ -1,18 +1,20 @@
 """Language identification by cross-parsing entropy (operator 9).
 
 For each language a suffix automaton of labelled text is built. A text is cut
-greedily into phrases, each the longest match that the automaton has from there;
-the language that needs fewest phrases a symbol wins. The automata lie in one
-transition table in which a step that has no match ends the phrase and starts
+greedily into phrases, each the longest match that the automaton has from there.
+A phrase costs the logarithm of its language's reference length (what it takes
+to point into the reference), so that references of any length compare; the
+language with the least cost a symbol wins. Automata lie in transition tables in
+which a step that has no match ends the phrase and starts
 the next one at the root, so parsing is one table look-up a symbol and language,
 and all texts of a batch advance together as lanes of LANE symbols (a lane's end
 ends a phrase for every language alike). Nothing is shuffled in scoring.
 
 Text is lower-cased; letters are symbols, everything else between letters is one
 separator. Bounds (documented parameters): excerpts of at most DOCS_PER_LANG
-labelled documents a language, TOTAL_SYMBOLS symbols in all shared evenly by at
-most MAX_LANGS languages (the most frequent), so the table is at most about 60
-MB at any input size.
+labelled documents a language; TOTAL_SYMBOLS symbols shared evenly by up to
+FULL_LANGS languages (the most frequent). Where the table would pass TOTAL_SYMBOLS, languages
+are parsed in groups, one scan each, so a table is at most about 80 MB.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
 so is every text if nothing can be learned; rows with a null id are predicted,
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeatlas.llm.common import bounded_batches, fold
+from codeatlas.session import cut_table
 
 ALPHABET = 61  # most frequent letters; the others share a symbol
 OTHER, PAD = 62, 63
 LANE = 256
-DOCS_PER_LANG, MAX_LANGS, TOTAL_SYMBOLS = 200, 64, 120_000
+DOCS_PER_LANG, FULL_LANGS, TOTAL_SYMBOLS = 200, 64, 120_000
 GROUP_CHARS = 1 << 20
+GROUP_LANGS = 256   # languages of a table
 UNKNOWN = "und"
 
 
@@ -99,11 +103,13 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 class Parser:
     """``steps[state * 64 + symbol]`` is four times the next state plus the phrases
     that the symbol ended: one before it where it has no match, and the symbol
-    itself where no text of the language has it. ``roots``: each language's root."""
+    itself where no text of the language has it. ``roots``: each language's root;
+    ``costs``: of each language's phrases."""
     langs: list[str]
     letters: str
     steps: np.ndarray
     roots: np.ndarray
+    costs: np.ndarray
 
     def phrases(self, sym: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """languages x texts: phrases of each text."""
@@ -130,17 +136,23 @@ class Parser:
         return out
 
 
-def build(samples: dict[str, str]) -> Parser:
-    """Automata of each language's text, in one table."""
+def frequent_letters(samples: dict[str, str]) -> str:
     tally: Counter = Counter()
     for text in samples.values():
         tally.update(c for c in text.lower() if c.isalpha())
-    letters = "".join(c for c, _ in sorted(tally.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
+    return "".join(c for c, _ in sorted(tally.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
+
+
+def build(samples: dict[str, str], letters: str | None = None) -> Parser:
+    """Automata of each language's text, in one table."""
+    letters = frequent_letters(samples) if letters is None else letters
     table = letter_table(letters)
     langs = sorted(samples)
-    parts, roots, base = [], [], 0
+    parts, roots, costs, base = [], [], [], 0
     for lang in langs:
-        nexts = automaton(symbols([samples[lang]], table)[0])
+        text = symbols([samples[lang]], table)[0]
+        costs.append(np.log(max(2, len(text))))
+        nexts = automaton(text)
         step = np.full((len(nexts), 64), -1, np.int64)
         for s, moves in enumerate(nexts):
             step[s, list(moves)] = list(moves.values())
@@ -152,71 +164,91 @@ def build(samples: dict[str, str]) -> Parser:
         parts.append(step.astype(np.int32))
         roots.append(base)
         base += len(nexts)
-    return Parser(langs, letters, np.concatenate(parts).ravel(), np.array(roots, np.int32))
+    return Parser(langs, letters, np.concatenate(parts).ravel(), np.array(roots, np.int32), np.array(costs))
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS, total: int = TOTAL_SYMBOLS) -> Parser | None:
-    """Learn from text and lang of documents whose crc32(doc_id) mod 5 is not 0."""
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, full_langs: int = FULL_LANGS, total: int = TOTAL_SYMBOLS) -> list[tuple[dict[str, str], str]]:
+    """Learn from text and lang of documents whose crc32(doc_id) mod 5 is not 0:
+    groups of languages' texts of at most ``total`` letters, with the alphabet
+    that all groups share."""
     teach = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and doc_id is not null").where(fold("doc_id", 5) != 0)
-    langs = [r["lang"] for r in teach.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    langs = [r["lang"] for r in teach.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(full_langs).collect()]
     if not langs:
-        return None
+        return []
     # ids first: the rank limit works before the shuffle and no text is moved
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (teach.select("doc_id", "lang").where(F.col("lang").isin(langs)).withColumn("rank", F.row_number().over(order))
            .where(F.col("rank") <= docs_per_lang).select(F.col("doc_id").alias("t_id"), F.col("lang").alias("t_lang")).distinct())
-    share = total // len(langs)
+    share = total // min(len(langs), full_langs)
     take = max(40, 2 * share // docs_per_lang)
     text = F.coalesce("text", F.lit(""))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.char_length(text) - take)).cast("int") + 1
     rows = (teach.join(F.broadcast(ids), (F.col("doc_id") == F.col("t_id")) & (F.col("lang") == F.col("t_lang")))
             .select("lang", "doc_id", F.substr(text, start, F.lit(take)).alias("part")).toArrow().to_pylist())
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["part"]))
-    samples: dict[str, str] = {}
-    for lang in langs:
-        own = [r["part"] for r in rows if r["lang"] == lang and any(map(str.isalpha, r["part"]))]
-        if own:
-            each = max(20, share // len(own))
-            samples[lang] = " ".join(p[:each] for p in own)
-    if not samples:
-        return None
-    # equal reference lengths, so that phrase counts compare; a rare language keeps what it has
-    size = max(2000, min(map(len, samples.values())))
-    return build({lang: text[:size] for lang, text in samples.items()})
+    parts: dict[str, list[str]] = {}
+    for r in rows:
+        if any(map(str.isalpha, r["part"])):
+            parts.setdefault(r["lang"], []).append(r["part"])
+    samples = {lang: " ".join(p[:max(20, share // len(own))] for p in own) for lang, own in parts.items()}
+    letters = frequent_letters(samples)
+    groups: list[tuple[dict[str, str], str]] = []
+    size = 0
+    for lang, sample in samples.items():
+        # some texts are longer than their share by the blanks between excerpts
+        if not groups or size + len(sample) > total * 1.25 or len(groups[-1][0]) == GROUP_LANGS:
+            groups.append(({}, letters))
+            size = 0
+        groups[-1][0][lang] = sample
+        size += len(sample)
+    return groups
 
 
 def languages(docs: DataFrame, **bounds: int) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``. The score
-    is the runner-up's share of phrases against the winner's (0.5 to 1)."""
+    is the runner-up's share of the cost against the winner's (0.5 to 1)."""
     bounded_batches(docs)
-    made = docs.sparkSession.sparkContext.broadcast(train(docs, **bounds))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = made.value
-        table = letter_table(parser.letters) if parser else None
-        for batch in it:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= GROUP_CHARS):
-                    size += len(texts[hi])
-                    hi += 1
-                lang, score = predict(texts[lo:hi], parser, table)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-                lo = hi
-
-    return (docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-            .select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"))
-
-
-def predict(texts: list[str], parser: Parser | None, table: np.ndarray | None) -> tuple[list[str], list[float]]:
-    if parser is None:
-        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    groups = train(docs, **bounds)
+    # best and second: costs of the two best languages of the groups so far
+    kind = "doc_id long, text string, lang_pred string, best double, second double"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(UNKNOWN).alias("lang_pred"),
+                       F.lit(float("inf")).alias("best"), F.lit(float("inf")).alias("second"))
+    for k, group in enumerate(groups):
+        made = docs.sparkSession.sparkContext.broadcast(build(*group))
+        last = k == len(groups) - 1
+
+        def run(it: Iterator[pa.RecordBatch], made=made, last=last) -> Iterator[pa.RecordBatch]:
+            parser = made.value
+            table = letter_table(parser.letters)
+            for batch in it:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                lo = 0
+                while lo < len(texts):
+                    hi, size = lo, 0
+                    while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= GROUP_CHARS):
+                        size += len(texts[hi])
+                        hi += 1
+                    part = batch.slice(lo, hi - lo)
+                    found = better(texts[lo:hi], parser, table, part.column(2).to_pylist(), part.column(3).to_numpy(), part.column(4).to_numpy())
+                    text = pa.nulls(hi - lo, pa.string()) if last else part.column(1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), text, *found], ["doc_id", "text", "lang_pred", "best", "second"])
+                    lo = hi
+
+        rows = rows.mapInArrow(run, kind)
+        if not last:  # one group's table at a time in a worker
+            rows = cut_table(rows, "languages")
+    inf = F.lit(float("inf"))
+    score = (F.when(F.col("best") == inf, 0.0).when(F.col("second") == inf, 1.0)
+             .otherwise(F.col("second") / F.greatest(F.col("best") + F.col("second"), F.lit(1e-12))))
+    return rows.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", score.alias("score"))
+
+
+def better(texts: list[str], parser: Parser, table: np.ndarray, lang: list[str], best: np.ndarray, second: np.ndarray) -> list[pa.Array]:
+    """lang_pred, best, second after this parser's languages; the earlier wins ties."""
     sym, offsets = symbols(texts, table)
     sizes = np.diff(offsets)
-    found = parser.phrases(sym, offsets) / np.maximum(sizes, 1)
-    first = found.argmin(axis=0)
+    found = np.vstack([best, second, np.where(sizes > 0, parser.phrases(sym, offsets) * parser.costs[:, None] / np.maximum(sizes, 1), np.inf)])
+    own = found[2:].argmin(axis=0)
+    won = found[2:].min(axis=0) < best
     ranked = np.sort(found, axis=0)
-    score = ranked[1] / np.maximum(ranked[0] + ranked[1], 1e-12) if len(parser.langs) > 1 else np.ones(len(texts))
-    return ([parser.langs[k] if n else UNKNOWN for k, n in zip(first, sizes)], np.where(sizes > 0, score, 0.0).tolist())
+    return [pa.array([parser.langs[k] if w else old for k, w, old in zip(own, won, lang)], pa.string()), pa.array(ranked[0]), pa.array(ranked[1])]

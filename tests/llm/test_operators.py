@@ -400,6 +400,22 @@ def test_language(spark, docs, empty):
     assert all(accepts(s) for s in subs) and not any(accepts(s) for s in [tuple(rng.integers(1, 4, 7).tolist()) for _ in range(300)] if s not in subs)
 
 
+def test_a_rare_language_does_not_shorten_the_others(spark):
+    from codeatlas.llm.langid import languages
+    rng = np.random.default_rng(7)
+    late = {"aa": ["ka", "lo", "mi", "ra"], "bb": ["ste", "ung", "sch", "zwo"]}
+
+    def text(syllables):
+        return " ".join("".join(rng.choice(syllables, 3)) for _ in range(40))
+    # up to id 199 both languages are alike; what tells them apart comes later
+    rows = [(i, text(["pe", "to", "nu"] if i < 200 else late["ab"[i % 2] * 2]), "ab"[i % 2] * 2) for i in range(500)]
+    df = spark.createDataFrame(rows + [(1001, "öxö üxü", "zz")], "doc_id long, text string, lang string")
+    assert zlib.crc32(b"1001") % 5
+    got = {r.doc_id: r.lang_pred for r in languages(df).collect()}
+    assert all(got[i] == "ab"[i % 2] * 2 for i in range(200, 500))
+    assert got[1001] == "zz"
+
+
 def test_cross_parsing_counts_longest_matches():
     from codeatlas.llm import langid as L
     p = L.build({"x": "abcabd", "y": "zzzz"})
