@@ -13,7 +13,8 @@ ends a phrase for every language alike). Nothing is shuffled in scoring.
 Text is lower-cased; letters are symbols, everything else between letters is one
 separator. Bounds (documented parameters): excerpts of at most DOCS_PER_LANG
 labelled documents a language; TOTAL_SYMBOLS symbols shared evenly by up to
-FULL_LANGS languages (the most frequent). Where the table would pass TOTAL_SYMBOLS, languages
+FULL_LANGS languages, and as much each as these would get with more of them.
+Every language is learned: where the table would pass TOTAL_SYMBOLS, languages
 are parsed in groups, one scan each, so a table is at most about 80 MB.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
@@ -172,12 +173,12 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, full_langs: int =
     groups of languages' texts of at most ``total`` letters, with the alphabet
     that all groups share."""
     teach = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and doc_id is not null").where(fold("doc_id", 5) != 0)
-    langs = [r["lang"] for r in teach.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(full_langs).collect()]
+    langs = sorted(r["lang"] for r in teach.select("lang").distinct().collect())
     if not langs:
         return []
     # ids first: the rank limit works before the shuffle and no text is moved
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (teach.select("doc_id", "lang").where(F.col("lang").isin(langs)).withColumn("rank", F.row_number().over(order))
+    ids = (teach.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
            .where(F.col("rank") <= docs_per_lang).select(F.col("doc_id").alias("t_id"), F.col("lang").alias("t_lang")).distinct())
     share = total // min(len(langs), full_langs)
     take = max(40, 2 * share // docs_per_lang)

@@ -416,6 +416,20 @@ def test_a_rare_language_does_not_shorten_the_others(spark):
     assert got[1001] == "zz"
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    from codeatlas.llm import langid as L
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(70):
+        syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(3)]
+        rows += [(10 * k + i, " ".join("".join(rng.choice(syllables, 2)) for _ in range(12)), f"l{k:02d}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in L.languages(df).collect())
+    assert [x[:2] for x in got] == [(i, lang) for i, _, lang in rows]
+    monkeypatch.setattr(L, "GROUP_LANGS", 16)  # five tables
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in L.languages(df).collect()) == got
+
+
 def test_cross_parsing_counts_longest_matches():
     from codeatlas.llm import langid as L
     p = L.build({"x": "abcabd", "y": "zzzz"})
