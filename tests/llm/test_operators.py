@@ -358,6 +358,17 @@ def test_toxicity(spark, docs, labels, empty):
     assert toxicity(empty, labels).count() == 0 and drop_toxic(docs, labels.where("false")).count() == len(edge_rows())
 
 
+def test_toxicity_keeps_all_windows_of_the_sample(spark):
+    from codeatlas.llm import toxicity as T
+    rng = np.random.default_rng(12)
+    found = ["".join(map(chr, w)) for w in rng.integers(97, 123, (90_000, 12))]
+    rows = [(i, " ".join(found[1000 * i:1000 * i + 1000])) for i in range(90)]
+    made = T.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int"))
+    taught = [w for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2 for w in t.split()]
+    codes = np.unique(T._symbols(taught, made.model.letters)[0])
+    assert len(codes) > 1 << 19 and np.array_equal(made.model.grams[-1], codes)
+
+
 def test_backoff_is_shared_and_probabilities_sum_to_one():
     from codeatlas.llm import toxicity as X
     letters = {c: k for k, c in enumerate("abc", 1)}
