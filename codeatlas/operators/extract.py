@@ -200,18 +200,21 @@ def main_signature(facts: DataFrame) -> DataFrame:
 # Step classification
 # --------------------------------------------------------------------------
 
-def classify_steps(facts: DataFrame, keys: DataFrame) -> DataFrame:
-    """B7–B10 + C3. Steps ordered per script by (line, visit order).
+STEP_KINDS = ("call", "if", "for", "while", "try", "listcomp", "dictcomp", "setcomp", "assign")
 
-    ``keys`` is ``service_keys(...)``: a script's service object names.
-    """
+
+def classified(facts: DataFrame, keys: DataFrame) -> DataFrame:
+    """B7–B10 + C3. The facts that can be or touch a step, with ``step`` (type,
+    description, service) where they are one. ``keys`` is ``service_keys(...)``:
+    a script's service object names, looked up in one map a script."""
+    per_script = keys.groupBy("project_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("key", "service"))).alias("services"))
     obj, method, name, kind = F.col("obj"), F.col("method"), F.col("name"), F.col("kind")
-    calls = facts.where(kind == "call").join(
-        keys.withColumnRenamed("key", "obj"), ["project_id", "path", "obj"], "left")
+    rows = (facts.where(kind.isin(*STEP_KINDS)).join(per_script, ["project_id", "path"], "left")
+            .withColumn("service", F.when(kind == "call", F.try_element_at("services", obj))).drop("services"))
     om = F.concat(obj, F.lit("."), method, F.lit("()"))
     has_svc = F.col("service").isNotNull()
     attr = method.isNotNull()
-    step_type = (
+    step_type = F.when(kind == "call", (
         F.when(attr & _isin(method, R.API_METHODS) & _isin(obj, R.API_OBJECTS), F.lit("api_call"))
         .when(attr & _isin(method, R.SERIALIZATION_METHODS) & _isin(obj, R.FILE_IO_MODULES), F.lit("file_io"))
         .when(attr & _isin(method, R.PATHLIB_IO_METHODS), F.lit("file_io#"))
@@ -222,19 +225,13 @@ def classify_steps(facts: DataFrame, keys: DataFrame) -> DataFrame:
         .when(_isin(name, R.OUTPUT_NAMES), F.lit("output"))
         .when(_isin(name, R.FILE_IO_NAMES), F.lit("file_io!"))
         .when(_isin(name, R.TRANSFORM_BUILTINS), F.lit("transform"))
-    )
-    call_steps = calls.withColumn("st", step_type).where(F.col("st").isNotNull())
+    ))
     desc = (F.when(F.col("st").endswith("#"), F.concat(F.lit("."), method, F.lit("()")))
             .when(F.col("st") == "file_io!",
                   F.when(F.col("text").isNotNull(), F.concat(F.lit("open("), F.col("text"), F.lit(")")))
                   .otherwise(F.lit("open()")))
             .when(attr, om)
             .otherwise(F.concat(name, F.lit("()"))))
-    call_steps = call_steps.select(
-        "project_id", "path", "line", "dfs", "func_name",
-        F.regexp_replace("st", "[#!]$", "").alias("type"), desc.alias("description"),
-        F.when(F.col("st") == "api_call", F.col("service")).cast(SERVICE_STRUCT).alias("service"))
-
     text, text2 = F.col("text"), F.col("text2")
     flow_desc = (
         F.when((kind == "if") & ~(text.contains("__name__") & text.contains("__main__")),
@@ -247,26 +244,18 @@ def classify_steps(facts: DataFrame, keys: DataFrame) -> DataFrame:
                                            F.lit(" for ...}")))
         .when(kind == "setcomp", F.concat(F.lit("set comprehension: {"), text, F.lit(" for ...}")))
     )
-    flow = (facts.where(kind.isin("if", "for", "while", "try", "listcomp", "dictcomp", "setcomp"))
-            .withColumn("description", flow_desc).where(F.col("description").isNotNull())
-            .select("project_id", "path", "line", "dfs", "func_name",
-                    F.when(kind.endswith("comp"), F.lit("transform")).otherwise(F.lit("decision")).alias("type"),
-                    "description", F.lit(None).cast(SERVICE_STRUCT).alias("service")))
-    steps = call_steps.unionByName(flow)
-    w = Window.partitionBy("project_id", "path").orderBy("line", "dfs")
-    return steps.select(
-        "project_id", "path", (F.row_number().over(w) - 1).cast("int").alias("pos"),
-        F.col("line").alias("line_number"), "type", "description",
-        F.col("func_name").alias("function_name"), "service")
+    plain = F.regexp_replace("st", "[#!]$", "")
+    none = F.lit(None).cast(SERVICE_STRUCT)
+    call_step = F.struct(plain.alias("type"), desc.alias("description"), F.when(F.col("st") == "api_call", F.col("service")).otherwise(none).cast(SERVICE_STRUCT).alias("service"))
+    flow_step = F.struct(F.when(kind.endswith("comp"), F.lit("transform")).otherwise(F.lit("decision")).alias("type"), F.col("flow").alias("description"), none.alias("service"))
+    return (rows.withColumn("st", step_type).withColumn("flow", flow_desc)
+            .withColumn("step", F.when(F.col("st").isNotNull(), call_step).when(F.col("flow").isNotNull(), flow_step)))
 
 
-# --------------------------------------------------------------------------
-# Inputs / outputs
-# --------------------------------------------------------------------------
-
-def enrich_io(steps: DataFrame, facts: DataFrame) -> DataFrame:
-    """B11. Adds ``inputs`` / ``outputs`` arrays from assignments, open() calls
-    and conditions on the step's line, reproducing walk-order side effects:
+def script_steps(facts: DataFrame, keys: DataFrame) -> DataFrame:
+    """B7–B11. Steps ordered per script by (line, visit order), with ``inputs``
+    and ``outputs`` from assignments, open() calls and conditions on their line,
+    reproducing walk-order side effects:
 
     * outputs: targets of the first (walk order) matching assignment with a
       non-empty target list, unless a write-mode open() path of that line
@@ -275,60 +264,50 @@ def enrich_io(steps: DataFrame, facts: DataFrame) -> DataFrame:
     * decision inputs: names of the first if/while/for on the line with any.
     An assignment matches the steps of its first line that has steps, else its
     end line, else the line of its value.
+
+    All in one pass: every row stands on its line (an assignment on each of its
+    candidate lines), and windows over a line bring steps and what touches them
+    together. All keys begin with (project_id, path), so clustered facts need no
+    exchange and others need one.
     """
-    step_lines = steps.select("project_id", "path", F.col("line_number").alias("l")).distinct()
-    a = (facts.where((F.col("kind") == "assign"))
-         .select("project_id", "path", "bfs", "line", "end_line", "value_line", F.col("names").alias("targets")))
-    # Resolve the assignment's matched line: line, else end line, else value line.
-    cand = a.select("project_id", "path", "bfs", "targets",
-                    F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("line").alias("l")),
-                                      F.struct(F.lit(1).alias("o"), F.col("end_line").alias("l")),
-                                      F.struct(F.lit(2).alias("o"), F.col("value_line").alias("l")))).alias("c"))
-    cand = cand.select("project_id", "path", "bfs", "targets", F.col("c.o").alias("o"), F.col("c.l").alias("l"))
-    assign_at = (cand.join(step_lines, ["project_id", "path", "l"], "left_semi")
-                 .groupBy("project_id", "path", "bfs")
-                 .agg(F.min_by(F.col("l"), F.col("o")).alias("l"), F.first("targets").alias("targets"))
-                 .where(F.size("targets") > 0))
-
-    # All per-line events in one table, aggregated once per line.
-    ev_cols = ["project_id", "path", "l", "bfs", "targets", "p", "mode", "names"]
-    nul_arr = F.lit(None).cast("array<string>")
-    nul_str = F.lit(None).cast("string")
-    assigns = assign_at.select("project_id", "path", "l", "bfs", "targets", nul_str.alias("p"),
-                               nul_str.alias("mode"), nul_arr.alias("names"))
-    opens = (facts.where((F.col("kind") == "call") & (F.col("name") == "open") & (F.col("arg0_str") != ""))
-             .select("project_id", "path", F.col("line").alias("l"), "bfs", nul_arr.alias("targets"),
-                     F.col("arg0_str").alias("p"), F.col("open_mode").alias("mode"), nul_arr.alias("names")))
-    conds = (facts.where(F.col("kind").isin("if", "while", "for") & (F.size("names") > 0))
-             .select("project_id", "path", F.col("line").alias("l"), "bfs", nul_arr.alias("targets"),
-                     nul_str.alias("p"), nul_str.alias("mode"), "names"))
-    events = assigns.select(*ev_cols).unionByName(opens.select(*ev_cols)).unionByName(conds.select(*ev_cols))
-    is_open = F.col("p").isNotNull()
-    is_write = is_open & (F.col("mode").isNull() | F.col("mode").contains("w") | F.col("mode").contains("a"))
-    is_read = is_open & (F.col("mode").isNull() | ~(F.col("mode").contains("w") | F.col("mode").contains("a")))
-    per_line = events.groupBy("project_id", "path", "l").agg(
-        F.min_by("targets", F.when(F.col("targets").isNotNull(), F.col("bfs"))).alias("targets"),
-        F.min(F.when(F.col("targets").isNotNull(), F.col("bfs"))).alias("a_bfs"),
-        F.array_sort(F.collect_list(F.when(is_write, F.struct("bfs", "p")))).alias("w"),
-        F.array_sort(F.collect_list(F.when(is_read, F.struct("bfs", "p")))).alias("r"),
-        F.min_by("names", F.when(F.col("names").isNotNull(), F.col("bfs"))).alias("cond_names"))
-
-    s = steps.withColumnRenamed("line_number", "l").join(per_line, ["project_id", "path", "l"], "left")
-    is_file = F.col("type") == "file_io"
-    empty_ev = F.array().cast("array<struct<bfs:int,p:string>>")
-    writes = F.when(is_file, F.coalesce(F.col("w"), empty_ev)).otherwise(empty_ev)
-    reads = F.when(is_file, F.coalesce(F.col("r"), empty_ev)).otherwise(empty_ev)
-    w_paths = F.array_distinct(F.transform(writes, lambda x: x["p"]))
-    early_write = F.exists(writes, lambda x: x["bfs"] < F.col("a_bfs"))
-    targets = F.col("targets")
-    outputs = (F.when(targets.isNotNull() & ~early_write,
-                      F.concat(targets, F.filter(w_paths, lambda p: ~F.array_contains(targets, p))))
+    kind = F.col("kind")
+    is_assign = kind == "assign"
+    opened = (kind == "call") & (F.col("name") == "open") & (F.col("arg0_str") != "")
+    asks = kind.isin("if", "while", "for") & (F.size("names") > 0)
+    rows = classified(facts, keys).where(F.col("step").isNotNull() | (is_assign & (F.size("names") > 0)) | opened | asks)
+    lines = F.when(is_assign, F.array_distinct(F.array("line", "end_line", "value_line"))).otherwise(F.array("line"))
+    mode = F.col("open_mode")
+    writes = mode.isNull() | mode.contains("w") | mode.contains("a")
+    reads = mode.isNull() | ~(mode.contains("w") | mode.contains("a"))
+    path_at = F.struct("bfs", F.col("arg0_str").alias("p"))
+    placed = rows.select("project_id", "path", "dfs", "bfs", "func_name", "step", F.when(is_assign, F.struct("bfs", F.col("names").alias("targets"))).alias("assign"),
+                         F.when(opened & writes, path_at).alias("write"), F.when(opened & reads, path_at).alias("read"),
+                         F.when(asks, F.struct("bfs", "names")).alias("cond"), F.posexplode(lines).alias("o", "l")).where("l is not null")
+    on_line = Window.partitionBy("project_id", "path", "l")
+    met = F.col("assign").isNotNull() & F.max(F.col("step").isNotNull()).over(on_line)
+    placed = placed.withColumn("met", met)
+    chosen = F.min(F.when(F.col("met"), F.col("o"))).over(Window.partitionBy("project_id", "path", "bfs"))
+    placed = placed.withColumn("used", F.col("met") & (F.col("o") == chosen))
+    placed = placed.select("project_id", "path", "dfs", "func_name", "step", "l",
+                           F.min(F.when(F.col("used"), F.col("assign"))).over(on_line).alias("assign"),
+                           F.array_sort(F.collect_list("write").over(on_line)).alias("w"), F.array_sort(F.collect_list("read").over(on_line)).alias("r"),
+                           F.min("cond").over(on_line).alias("cond")).where(F.col("step").isNotNull())
+    typ = F.col("step.type")
+    is_file = typ == "file_io"
+    none = F.array().cast("array<struct<bfs:int,p:string>>")
+    written, read = F.when(is_file, F.col("w")).otherwise(none), F.when(is_file, F.col("r")).otherwise(none)
+    w_paths = F.array_distinct(F.transform(written, lambda x: x["p"]))
+    targets = F.col("assign.targets")
+    early_write = F.exists(written, lambda x: x["bfs"] < F.col("assign.bfs"))
+    outputs = (F.when(targets.isNotNull() & ~early_write, F.concat(targets, F.filter(w_paths, lambda p: ~F.array_contains(targets, p))))
                .otherwise(w_paths))
-    inputs = (F.when(is_file, F.array_distinct(F.transform(reads, lambda x: x["p"])))
-              .when(F.col("type") == "decision", F.coalesce(F.col("cond_names"), F.array().cast("array<string>")))
-              .otherwise(F.array().cast("array<string>")))
-    return s.select("project_id", "path", "pos", F.col("l").alias("line_number"), "type", "description",
-                    "function_name", "service", inputs.alias("inputs"), outputs.cast("array<string>").alias("outputs"))
+    empty = F.array().cast("array<string>")
+    inputs = (F.when(is_file, F.array_distinct(F.transform(read, lambda x: x["p"])))
+              .when(typ == "decision", F.coalesce(F.col("cond.names"), empty)).otherwise(empty))
+    nth = F.row_number().over(Window.partitionBy("project_id", "path").orderBy("l", "dfs"))
+    return placed.select("project_id", "path", (nth - 1).cast("int").alias("pos"), F.col("l").alias("line_number"), typ.alias("type"),
+                         F.col("step.description").alias("description"), F.col("func_name").alias("function_name"), F.col("step.service").alias("service"),
+                         inputs.alias("inputs"), outputs.cast("array<string>").alias("outputs"))
 
 
 def analyze_facts(spark: SparkSession, facts: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:
@@ -336,7 +315,7 @@ def analyze_facts(spark: SparkSession, facts: DataFrame, modules: DataFrame) ->
     imps = imports(facts, modules)
     svcs = script_services(spark, imps)
     keys = service_keys(svcs)
-    steps = enrich_io(classify_steps(facts, keys), facts)
+    steps = script_steps(facts, keys)
     trig = triggers(facts)
     return {
         "imports": imps,

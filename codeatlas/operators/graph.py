@@ -12,11 +12,11 @@ from codeatlas.operators.numbering import numbered
 EM = "—"
 
 
-def importance(scripts: DataFrame, services: DataFrame, steps: DataFrame, conns: DataFrame) -> DataFrame:
+def importance(scripts: DataFrame, services: DataFrame, steps: DataFrame, degrees: DataFrame) -> DataFrame:
     """H1. edges touching the script (a self edge counts twice) + 2 if entry
-    point + services + min(steps // 20, 5)."""
-    deg = (conns.select("project_id", F.explode(F.array("source", "target")).alias("path"))
-           .groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("degree")))
+    point + services + min(steps // 20, 5). ``degrees`` (project_id, path,
+    degree) comes from ``links.degrees`` or ``links.edge_degrees``."""
+    deg = degrees.select("project_id", "path", "degree")
     nsv = services.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n_services"))
     nst = steps.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n_steps"))
     s = (scripts.select("project_id", "path", "is_entry_point")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from codeatlas import rules as R
 from codeatlas.operators import extract as X
 from codeatlas.operators import links as D
-from codeatlas.operators.facts import syntax_facts
-from codeatlas.session import cut_table
+from codeatlas.operators.facts import content_facts, facts_of_files, syntax_facts
+from codeatlas.session import clustered_table, cut_table
 from codeatlas.sources import corpus as C
 
 
@@ -26,15 +26,17 @@ _SHARED: dict = {}
 class Analysis:
     """Analysis tables of one corpus.
 
-    ``source_files``: (project_id, path, content) of admitted files;
+    ``source_files``: (project_id, path, content) of admitted files, or
+    ``raw_facts``: their facts;
     ``listing``: (project_id, path) of every script (local-module scope);
     ``extra_steps``: optional steps from imported analyses (same schema as
     ``steps`` minus ``pos``, plus ``k``: order inside the line).
     """
 
-    def __init__(self, spark: SparkSession, source_files: DataFrame, listing: DataFrame,
-                 extra_steps: DataFrame | None = None, materialize: bool = True):
+    def __init__(self, spark: SparkSession, source_files: DataFrame | None, listing: DataFrame,
+                 extra_steps: DataFrame | None = None, materialize: bool = True, raw_facts: DataFrame | None = None):
         self.spark = spark
+        self.raw_facts = raw_facts
         self.materialize = materialize
         self.source_files = source_files
         self.listing = listing
@@ -48,9 +50,7 @@ class Analysis:
         an = _SHARED.get(key)
         if an is None:
             ce = cut_table(C.corpus_events(spark, sf_dir), "corpus_events")
-            # the derived contents come out of a few coalesced partitions; real trees are parsed where they are read
-            files = C.source_files(spark, sf_dir, ce).repartition(2 * spark.sparkContext.defaultParallelism, "project_id", "path")
-            an = cls(spark, files, cut_table(C.corpus_listing(spark, sf_dir, ce), "listing"),
+            an = cls(spark, C.source_files(spark, sf_dir, ce), cut_table(C.corpus_listing(spark, sf_dir, ce), "listing"),
                      launch_steps(spark, sf_dir, ce))
             _SHARED[key] = an
         return an
@@ -64,7 +64,9 @@ class Analysis:
         from codeatlas.sources import files as FS
         files = FS.listing(spark, root)
         scanned = FS.scan(spark, root, files, max_file_size)
-        an = cls(spark, FS.admitted_sources(spark, root, scanned), scanned.select("project_id", "path"), materialize=materialize)
+        hashed = FS.hashed(spark, root, scanned)
+        raw = facts_of_files(content_facts(FS.distinct_contents(spark, root, hashed)), hashed)
+        an = cls(spark, None, scanned.where("status <> 'unreadable'").select("project_id", "path"), materialize=materialize, raw_facts=raw)
         an.status = scanned.select("project_id", "path", "length", "status")
         an.__dict__["modules"] = X.local_modules(FS.module_scope(spark, root, files).select("project_id", "path"))
         return an
@@ -75,8 +77,10 @@ class Analysis:
 
     @cached_property
     def facts(self) -> DataFrame:
-        f = syntax_facts(self.source_files)
-        return cut_table(f, "facts", partition_by="kind") if self.materialize else f
+        f = self.raw_facts
+        if f is None:
+            f = syntax_facts(self.source_files, 2 * self.spark.sparkContext.defaultParallelism)
+        return clustered_table(f, "facts", ["project_id", "path"], "kind") if self.materialize else f
 
     @cached_property
     def parsed(self) -> dict[str, DataFrame]:
@@ -123,9 +127,18 @@ class Analysis:
         """(project_id, path, is_entry_point) for every script."""
         return X.entry_points(self.listing, self.triggers)
 
+    @cached_property
+    def file_nodes(self) -> tuple[DataFrame, DataFrame]:
+        return D.file_nodes(D.factored_file_edges(self.steps))
+
+    @cached_property
+    def degrees(self) -> DataFrame:
+        d = D.degrees(self.listing, self.imports, self.steps, self.file_nodes)
+        return cut_table(d, "degrees") if self.materialize else d
+
     @cached_property
     def connections(self) -> DataFrame:
-        return D.connections(self.listing, self.imports, self.steps)
+        return D.connections(self.listing, self.imports, self.steps, self.file_nodes)
 
 
 def launch_steps(spark: SparkSession, sf_dir: str, ce: DataFrame | None = None) -> DataFrame:

@@ -254,7 +254,7 @@ def health(spark, sf_dir):
 # ---------------------------------------------------------------- H: graph
 
 def _importance(a: Analysis) -> DataFrame:
-    return H.importance(a.scripts, a.services, a.steps, a.connections)
+    return H.importance(a.scripts, a.services, a.steps, a.degrees)
 
 
 def importance(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Graph datasets (H1–H8) and response parsing."""
 
 from codeatlas.operators import graph as H
+from codeatlas.operators import links as D
 from codeatlas.operators import prompts as I
 from helpers import steps_df
 
@@ -72,7 +73,7 @@ def test_importance_step_bonus_capped(spark):
                                      "project_id string, path string, pos int, name string, library string, icon string")
     conns = spark.createDataFrame([("p", "a.py", "a.py", "subprocess", "x", 0), ("p", "b.py", "a.py", "import", "y", 1)],
                                   "project_id string, source string, target string, type string, detail string, pos int")
-    got = {r.path: (r.degree, r.score) for r in H.importance(scripts, services, many.unionByName(few), conns).collect()}
+    got = {r.path: (r.degree, r.score) for r in H.importance(scripts, services, many.unionByName(few), D.edge_degrees(conns)).collect()}
     # a.py: self edge counts twice + one incoming = 3, entry 2, one service, 130 // 20 = 6 capped at 5
     assert got["a.py"] == (3, 11)
     # b.py: one outgoing edge, 39 // 20 = 1

@@ -76,3 +76,59 @@ def test_graph_node_groups(spark):
                                 "project_id string, path string, is_entry_point boolean")
     got = sorted((r.path, r.name, r.group) for r in H.graph_nodes(two).collect())
     assert got == [("lib/sub/z.py", "z.py", "lib/sub"), ("lib/y.py", "y.py", "lib"), ("x.py", "x.py", None)]
+
+
+def _pairs_by_hand(uses):
+    """(writer, reader, smallest file) of uses {path: (writes, reads)}, by all pairs."""
+    return sorted((w, r, min(set(ws) & set(rs))) for w, (ws, _) in uses.items() for r, (_, rs) in uses.items() if w != r and set(ws) & set(rs))
+
+
+def test_file_edges_and_degrees_over_nodes_equal_all_pairs(spark):
+    import random
+    rng = random.Random(3)
+    files = [f"f{i}.csv" for i in range(6)]
+    uses = {f"s{i:02}.py": (rng.sample(files, rng.randrange(3)), rng.sample(files, rng.randrange(3))) for i in range(40)}
+    uses |= {f"own{i}.py": ([f"only{i}.csv", "log.txt"], ["log.txt"]) for i in range(10)}
+    st = _steps(spark, [(p, 0, "file_io", "x", rs, ws) for p, (ws, rs) in uses.items()])
+    want = _pairs_by_hand(uses)
+    assert sorted((r.source, r.target, r.detail) for r in D.file_edges(st).collect()) == [(w, r, f"{w} writes {f}") for w, r, f in want]
+    degree = {p: sum(p in pair[:2] for pair in want) for p in uses}
+    assert {r.path: r.degree for r in D.file_degrees(st).collect() if r.degree} == {p: n for p, n in degree.items() if n}
+
+
+def test_one_file_shared_by_thousands_of_scripts(spark):
+    """4,000 stored rows and one node in place of 3,998,000 pairs."""
+    st = spark.range(2000).selectExpr("'p' AS project_id", "concat('s', id, '.py') AS path", "0 AS pos", "1 AS line_number", "'file_io' AS type", "'x' AS description",
+                                      "array('log.txt') AS inputs", "array('log.txt', concat('own', id, '.txt')) AS outputs")
+    assert D.factored_file_edges(st).count() == 4000
+    members, nodes = D.file_nodes(D.factored_file_edges(st))
+    assert nodes.count() == 1 and members.count() == 2000
+    assert {r.degree for r in D.file_degrees(st).collect()} == {2 * 1999}
+
+
+def test_launch_search_is_linear_and_shards_agree(spark, monkeypatch):
+    import time
+    paths = [f"jobs/run{i}.py" for i in range(50)] + ["run1.py", "ru", "n"]
+    scripts = _scripts(spark, paths)
+    long = "x" * 10_000_000 + "jobs/run7.py" + "run" * 1000
+    rows = [("a.py", i, "api_call", t, [], []) for i, t in enumerate(["call jobs/run1.py", "jobs/run12.py&jobs/run3.py", long, "none", "é/run1.py"])]
+    want = sorted({("a.py", p, min(i for i, r in enumerate(rows) if p in r[3])) for p in paths if any(p in r[3] for r in rows)})
+    st = _steps(spark, rows)
+    t0 = time.time()
+    for shard, part in ((65_536, 100_000), (4, 2)):
+        monkeypatch.setattr(D, "SHARD_PATHS", shard)
+        monkeypatch.setattr(D, "SLICE_TEXTS", part)
+        got = sorted((r.source, r.target, r.ord.b) for r in D.launch_edges(scripts, st).collect())
+        assert got == want
+    assert time.time() - t0 < 120
+
+
+def test_degrees_join_no_single_writers_with_readers(spark, monkeypatch):
+    """Pairs exist between nodes only, whatever the number of scripts."""
+    made = []
+    real = D.cut_table
+    monkeypatch.setattr(D, "cut_table", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    st = spark.range(300).selectExpr("'p' AS project_id", "concat('s', id, '.py') AS path", "0 AS pos", "1 AS line_number", "'file_io' AS type", "'x' AS description",
+                                     "array(concat('f', id % 3, '.csv')) AS inputs", "array(concat('f', (id + 1) % 3, '.csv')) AS outputs")
+    assert {r.degree for r in D.file_degrees(st).collect()} == {200}
+    assert {name: df.count() for name, df in made} == {"file_nodes": 300, "node_pairs": 3}

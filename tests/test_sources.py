@@ -112,7 +112,96 @@ def test_bad_files_stay_alone(spark):
     by = {p: [r for r in facts if r.path == p] for p in ("a.py", "b.py", "c.py", "d.py")}
     assert [r.arg0_str for r in by["a.py"] if r.kind == "call" and r.method == "getenv"] == ["\\ud800"]
     assert by["b.py"] and by["d.py"][0].kind == "error"
-    assert [r.text2 for r in by["c.py"] if r.kind == "param"] == ['[1, {"a": "y"}]', '{"null": 2}']
+    assert [r.text2 for r in sorted(by["c.py"], key=lambda r: r.value_line or 0) if r.kind == "param"] == ['[1, {"a": "y"}]', '{"null": 2}']
     call, = [r for r in by["c.py"] if r.kind == "call"]
     assert call.open_mode == "a" and call.flag is False and call.arg0_str is None
     assert [r.names for r in by["c.py"] if r.kind == "assign"] == [["e", "f"]]
+
+
+def test_small_files_spread_and_a_large_one_is_alone(spark):
+    """5,000 listed files of 1 MB: at least 40 tasks; one of 300 MB has its own."""
+    files = spark.range(5000).selectExpr("concat('/t/', id, '.py') AS uri", "'p' AS project_id", "concat(id, '.py') AS path", "1000000L AS length")
+    files = files.union(spark.createDataFrame([("/t/big.py", "p", "big.py", 300_000_000)], files.schema))
+    tasks = FS.dealt(spark, files)
+    sizes = [(sum(r.length for r in part), len(part)) for part in tasks.rdd.glom().collect()]
+    assert len(sizes) >= 40 and sum(n for _, n in sizes) == 5001
+    assert (300_000_000, 1) in sizes and sorted(sizes)[-2][0] <= 2 * 128 << 20
+    assert tasks.rdd.getNumPartitions() == len(sizes)
+    # adaptive execution leaves the bins of a small listing alone, too
+    few = FS.dealt(spark, files.where("length < 2000000 and cast(substring(path, 1, 1) as int) < 3").limit(64))
+    assert few.selectExpr("spark_partition_id() AS part").distinct().count() >= 8
+
+
+def test_bins_equal_prefix_sums(spark):
+    from pyspark.sql import functions as F
+
+    from codeatlas.operators.numbering import in_bins, running
+    rows = spark.range(500).selectExpr("id", "pmod(hash(id), 90) + 1 AS w", "id % 3 AS k").repartition(7)
+    placed, n = in_bins(rows, F.col("w"), 60, "bins")
+    bins = {}
+    for r in placed.collect():
+        bins.setdefault(r.bin, []).append(r.w)
+    assert sum(map(len, bins.values())) == 500 and max(bins) < n
+    assert all(len(b) == 1 if max(b) >= 60 else sum(b) < 120 for b in bins.values())
+    sums, by = {}, sorted(rows.collect(), key=lambda r: r.id)
+    for r in by:
+        sums[r.id] = sum(x.w for x in by if x.k == r.k and x.id < r.id)
+    assert {r.id: r.before for r in running(rows, "k", [F.col("id")], "w", "running").collect()} == sums
+    assert in_bins(rows.limit(0), F.col("w"), 60, "bins")[0].count() == 0
+
+
+def test_unreadable_folder_is_listed_with_its_error(spark, monkeypatch):
+    root = _tree()
+    real = FS._children
+
+    def children(of):
+        run = real(of)
+
+        def denied(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1)
+                    if row.column("path")[0].as_py() == "pkg/":
+                        yield FS._entries([(row.column("uri")[0].as_py(), "p1", "pkg/", False, None, "PermissionError")])
+                    else:
+                        yield from run(iter([row]))
+        return denied
+    monkeypatch.setattr(FS, "_children", children)
+    status = {r.path: r.status for r in FS.scan(spark, root).collect()}
+    assert status["pkg/"] == "unreadable" and status["main.py"] == "ok" and "pkg/mod.py" not in status
+    an = Analysis.from_tree(spark, root, materialize=False)
+    assert "pkg/" not in {r.path for r in an.scripts.collect()}
+    # a folder that is gone becomes a row; any other failure of the storage stops the task
+    batch = FS._entries([(root + "/gone", "p1", "gone/", True, None, None)])
+    assert [b.column("error").to_pylist() for b in real(root)(iter([batch]))] == [["FileNotFoundError"]]
+
+    class Broken:
+        def get_file_info(self, _):
+            raise OSError("connection reset")
+    monkeypatch.setattr(FS, "filesystem", lambda _: (Broken(), ""))
+    with pytest.raises(OSError):
+        list(real(root)(iter([batch])))
+
+
+def test_copies_are_parsed_once(spark):
+    root = tempfile.mkdtemp(prefix="codeatlas-tree-")
+    for k in range(10):
+        for i in range(4):
+            os.makedirs(f"{root}/p{k}/vendored", exist_ok=True)
+            with open(f"{root}/p{k}/vendored/m{i}.py", "w") as fh:
+                fh.write(f"import requests\nrequests.get('u{i}')\n")
+    scanned = FS.scan(spark, root)
+    hashed = FS.hashed(spark, root, scanned)
+    assert hashed.count() == 40
+    assert FS.distinct_contents(spark, root, hashed).count() == 4
+    an = Analysis.from_tree(spark, root, materialize=False)
+    assert sorted((r.project_id, r.path, r.description) for r in an.steps.collect()) == sorted((f"p{k}", f"vendored/m{i}.py", "requests.get()") for k in range(10) for i in range(4))
+
+
+def test_steps_of_clustered_facts_need_no_exchange_of_their_own(spark):
+    import re
+    an = Analysis.from_testdata(spark, "/root/testdata/sf0.001")
+    plan = an.parsed["steps"]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange (?:hash|range|round|single)", plan)) <= 5
+    facts = an.facts._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan, facts
