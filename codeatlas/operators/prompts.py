@@ -2,17 +2,30 @@
 tables, and parsing/merging of model responses.
 
 The model call itself is a service outside the engine; these operators build
-one prompt row per script / project / phase (ordered aggregations bounded by
-script size) and parse a ``responses(project_id, path, phase, raw)`` table.
+one prompt row per script / phase (ordered aggregations bounded by script size),
+project prompts in parts of bounded size, and parse and merge the replies.
 """
 
 from __future__ import annotations
 
+import json
+import sys
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeatlas import rules as R
 from codeatlas.functions import labels as L
+from codeatlas.operators.numbering import running
+
+try:  # workers need no install of the package
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover
+    pass
 
 # ----------------------------------------------------------------------------
 # FIXED VALUES (prompt wording; must match the analysed tool's prompts)
@@ -74,6 +87,13 @@ PHASE_INSTRUCTIONS = (
     "}"
 )
 NO_SUMMARY = "No summary available"
+PROJECT_NAME = "Project: "
+PROJECT_SCRIPTS = "\nScripts: "
+PROJECT_SERVICES = "\nServices: "
+PROJECT_ENTRIES = "\nEntry points: "
+PROJECT_SUMMARIES = "\n\nScript summaries:\n"
+PROJECT_CONNECTIONS = "\n\nConnections between scripts:\n"
+FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"  # the first fenced block of a reply
 # ----------------------------------------------------------------------------
 # END FIXED VALUES
 # ----------------------------------------------------------------------------
@@ -129,42 +149,56 @@ def script_prompts(scripts: DataFrame, services: DataFrame, secrets: DataFrame,
     return s.select("project_id", "path", F.lit(SYSTEM_PROMPT).alias("system"), user.alias("user"))
 
 
+PART_BYTES = 1 << 20  # of a project prompt
+
+
+def project_prompt_parts(scripts: DataFrame, proj_services: DataFrame, conns: DataFrame, summaries: DataFrame | None = None,
+                         part_bytes: int = PART_BYTES) -> DataFrame:
+    """I2. (project_id, part_no, text): the project's prompt in consecutive parts
+    of about ``part_bytes``, cut between lines (or entry points of their list);
+    no part is a whole project unless that is small. ``summaries`` (project_id,
+    path, summary). Lines are placed by running sums of their bytes over ranges."""
+    key = "project_id"
+    sc = scripts.select(key, "path", "is_entry_point")
+    sc = sc.join(summaries.select(key, "path", "summary"), [key, "path"], "left") if summaries is not None else sc.withColumn("summary", F.lit(None).cast("string"))
+    told = F.when(F.coalesce("summary", F.lit("")) == "", F.lit(NO_SUMMARY)).otherwise(F.col("summary"))
+    entry = F.when(F.col("is_entry_point"), F.col("path"))
+    heads = sc.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"), F.min(entry).alias("first_entry"))
+    svc = proj_services.groupBy(key).agg(_ordered_join(F.collect_list(F.struct(F.col("pos").alias("o"), F.col("name").alias("v"))), ", ").alias("services_txt"))
+    linked = conns.select(key).distinct().withColumn("linked", F.lit(True))
+    heads = heads.join(svc, key, "left").join(linked, key, "left")
+
+    def lines(df: DataFrame, section: int, text: Column, nth: Column | None = None, name: Column | None = None) -> DataFrame:
+        return df.select(key, F.lit(section).alias("section"), (F.lit(0) if nth is None else nth).cast("long").alias("nth"),
+                         (F.lit("") if name is None else name).alias("name"), text.alias("text"))
+
+    def after(is_first: Column, mark: str) -> Column:
+        return F.when(is_first, F.lit("")).otherwise(F.lit(mark))
+
+    path, first = F.col("path"), heads.select(key, "first", "first_entry")
+    each = sc.join(first, key)
+    every = [
+        lines(heads, 0, F.concat(F.lit(PROJECT_OBJECTIVE + PROJECT_NAME), F.col(key), F.lit(PROJECT_SCRIPTS), F.col("n").cast("string"), F.lit(PROJECT_SERVICES),
+                                 _or_none(F.col("services_txt")), F.lit(PROJECT_ENTRIES), F.when(F.col("first_entry").isNull(), F.lit("None")).otherwise(F.lit("")))),
+        lines(each.where("is_entry_point"), 1, F.concat(after(path == F.col("first_entry"), ", "), path), name=path),
+        lines(heads, 2, F.lit(PROJECT_SUMMARIES)),
+        lines(each, 3, F.concat(after(path == F.col("first"), "\n"), F.lit("- "), path, F.lit(": "), told), name=path),
+        lines(heads, 4, F.concat(F.lit(PROJECT_CONNECTIONS), F.when(F.col("linked"), F.lit("")).otherwise(F.lit("No connections.")))),
+        lines(conns, 5, F.concat(after(F.col("pos") == 0, "\n"), F.lit("- "), "source", F.lit(" -> "), "target", F.lit(": "), "detail"), nth=F.col("pos")),
+        lines(heads, 6, F.lit("\n\n" + PROJECT_INSTRUCTIONS))]
+    rows = reduce(DataFrame.unionByName, every).withColumn("size", F.octet_length("text").cast("long"))
+    order = [F.col("section"), F.col("nth"), F.col("name")]
+    placed = running(rows, key, order, "size", "prompt_lines").withColumn("part_no", F.floor(F.col("before") / part_bytes).cast("long"))
+    return (placed.groupBy(key, "part_no").agg(F.array_sort(F.collect_list(F.struct("section", "nth", "name", "text"))).alias("lines"))
+            .select(key, "part_no", F.array_join(F.transform("lines", lambda x: x["text"]), "").alias("text")))
+
+
 def project_prompts(scripts: DataFrame, proj_services: DataFrame, conns: DataFrame,
                     summaries: DataFrame | None = None) -> DataFrame:
-    """I2. One prompt per project: script summaries (path order) and connection
-    lines (connection order). Per-script lines are built first; the project
-    row only concatenates them."""
-    sc = scripts.select("project_id", "path", "is_entry_point")
-    if summaries is not None:
-        sc = sc.join(summaries.select("project_id", "path", "summary"), ["project_id", "path"], "left")
-    else:
-        sc = sc.withColumn("summary", F.lit(None).cast("string"))
-    sc = sc.withColumn("summary", F.when(F.coalesce("summary", F.lit("")) == "", F.lit(NO_SUMMARY))
-                       .otherwise(F.col("summary")))
-    per_proj = sc.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n_scripts"),
-        _ordered_join(F.collect_list(F.struct(F.col("path").alias("o"),
-                                              F.concat(F.lit("- "), "path", F.lit(": "), "summary").alias("v"))),
-                      "\n").alias("scripts_txt"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("is_entry_point"), F.col("path")))), ", ")
-        .alias("entry_txt"))
-    svc = proj_services.groupBy("project_id").agg(_ordered_join(F.collect_list(F.struct(
-        F.col("pos").alias("o"), F.col("name").alias("v"))), ", ").alias("services_txt"))
-    cn = conns.groupBy("project_id").agg(_ordered_join(F.collect_list(F.struct(
-        F.col("pos").alias("o"),
-        F.concat(F.lit("- "), "source", F.lit(" -> "), "target", F.lit(": "), "detail").alias("v"))), "\n")
-        .alias("conns_txt"))
-    p = per_proj.join(svc, "project_id", "left").join(cn, "project_id", "left")
-    user = F.concat(
-        F.lit(PROJECT_OBJECTIVE),
-        F.lit("Project: "), "project_id", F.lit("\n"),
-        F.lit("Scripts: "), F.col("n_scripts").cast("string"), F.lit("\n"),
-        F.lit("Services: "), _or_none(F.col("services_txt")), F.lit("\n"),
-        F.lit("Entry points: "), _or_none(F.col("entry_txt")), F.lit("\n\n"),
-        F.lit("Script summaries:\n"), _or_none(F.col("scripts_txt"), "No scripts."), F.lit("\n\n"),
-        F.lit("Connections between scripts:\n"), _or_none(F.col("conns_txt"), "No connections."), F.lit("\n\n"),
-        F.lit(PROJECT_INSTRUCTIONS))
-    return p.select("project_id", F.lit(SYSTEM_PROMPT).alias("system"), user.alias("user"))
+    """I2, exported: one row per project from its parts."""
+    parts = project_prompt_parts(scripts, proj_services, conns, summaries)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "text"))), lambda x: x["text"]), "")
+    return parts.groupBy("project_id").agg(whole.alias("user")).select("project_id", F.lit(SYSTEM_PROMPT).alias("system"), "user")
 
 
 def dataflow_prompts(services: DataFrame, steps: DataFrame) -> DataFrame:
@@ -232,11 +266,38 @@ def phase_prompts(services: DataFrame, steps: DataFrame) -> DataFrame:
 # responses
 # --------------------------------------------------------------------------
 
-FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
-
-
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+_MEMBERS = "project_id string, path string, phase string, kind string, nth int, line int, text string"
+
+
+def _whole_number(key: str) -> int | None:
+    """A step key as Python reads integers (signs, spaces, underscores, any
+    decimal digits), within the range of line numbers."""
+    try:
+        n = int(key)
+    except ValueError:
+        return None
+    return n if 0 < n < 1 << 31 else None
+
+
+def _string_members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The string members of each reply's JSON object, in order: an object keeps
+    the first place and the last value of a repeated key. Bodies that are not
+    one JSON object have none."""
+    types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    for batch in it:
+        rows = []
+        for project, path, phase, body in zip(*(c.to_pylist() for c in batch.columns)):
+            try:
+                found = json.loads(body)
+            except (ValueError, RecursionError):
+                continue
+            members = [(kind, None, found.get(name)) for kind, name in (("summary", "phase_summary"), ("risk", "risk"))]
+            steps = found.get("steps")
+            members += [("step", _whole_number(k), v) for k, v in steps.items()] if isinstance(steps, dict) else []
+            rows += [(project, path, phase, kind, nth, line, text.strip().encode("utf-8", "backslashreplace").decode())
+                     for nth, (kind, line, text) in enumerate(members) if isinstance(text, str)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["project_id", "path", "phase", "kind", "nth", "line", "text"])
 
 
 def parse_responses(responses: DataFrame, steps: DataFrame) -> DataFrame:
@@ -244,67 +305,21 @@ def parse_responses(responses: DataFrame, steps: DataFrame) -> DataFrame:
     (project_id, path, phase, kind, line, text), kind in summary/step/risk.
 
     The first fenced block (if any) is taken, then the text from the first
-    ``{`` to the last ``}``; it must parse as exactly one JSON object (wrapped
-    in ``[...]`` so trailing data fails, as a strict parser would). Strings
-    only; blank ones dropped; step keys must be integers naming a line of a
-    step in that phase. A key that an object repeats counts with its last value
-    (this needs ``spark.sql.variant.allowDuplicateKeys``, set here); of several
-    keys for one line the plain number counts.
+    ``{`` to the last ``}``; it must be one JSON object as Python's ``json``
+    reads it (NaN included). Strings only, stripped; blank ones dropped; step
+    keys must be integers naming a line of a step in that phase; of several
+    keys for one line the last one with a text counts.
     """
-    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     raw = F.col("raw")
     text = F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
-    r = responses.withColumn("t", text)
-    lb = F.instr("t", "{")
-    rb = F.length("t") - F.instr(F.reverse("t"), "}") + 1
-    body = F.when((lb > 0) & (F.instr("t", "}") > 0) & (rb >= lb), F.expr("substring(t, instr(t, '{'), "
-                                                                          "length(t) - instr(reverse(t), '}') + 2 "
-                                                                          "- instr(t, '{'))"))
-    r = r.withColumn("body", body).withColumn("arr", F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]"))))
-    ok = (F.col("arr").isNotNull()
-          & (F.schema_of_variant("arr").startswith("ARRAY"))
-          & (F.expr("array_size(try_variant_get(arr, '$', 'array<variant>'))") == 1)
-          & F.schema_of_variant(F.expr("variant_get(arr, '$[0]')")).startswith("OBJECT"))
-    # One column carries the verdict, so the filter below references it once
-    # instead of having the parse expression substituted into every test.
-    r = r.select("project_id", "path", "phase", F.when(ok, F.expr("variant_get(arr, '$[0]')")).alias("obj"))
-    r = r.where(F.col("obj").isNotNull())
-
-    def str_field(name: str) -> Column:
-        v = F.expr(f"try_variant_get(obj, '$.{name}')")
-        return F.when(F.schema_of_variant(v) == "STRING", _strip(F.expr(f"try_variant_get(obj, '$.{name}', 'string')")))
-
-    # One pass over the parsed object: scalar members and step entries become
-    # candidate rows of a single array, exploded once.
-    step_map = F.expr("try_variant_get(obj, '$.steps', 'map<string,variant>')")
-
-    def line_of(key: Column) -> Column:
-        return F.when(key.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(key).try_cast("int"))
-
-    def plainer(key: Column) -> Column:
-        """Another key writes the same line plainly ("1" beside "+1")."""
-        plain = line_of(key).cast("string")
-        return F.coalesce((key != plain) & (F.schema_of_variant(F.try_element_at(step_map, plain)) == "STRING"), F.lit(False))
-
-    step_rows = F.transform(
-        F.map_entries(F.coalesce(step_map, F.create_map().cast("map<string,variant>"))),
-        lambda e: F.struct(
-            F.lit("step").alias("kind"),
-            line_of(e["key"]).alias("line"),
-            F.when((F.schema_of_variant(e["value"]) == "STRING") & ~plainer(e["key"]),
-                   _strip(F.variant_get(e["value"], "$", "string"))).alias("text")))
-    scalars = F.array(
-        F.struct(F.lit("summary").alias("kind"), F.lit(None).cast("int").alias("line"),
-                 str_field("phase_summary").alias("text")),
-        F.struct(F.lit("risk").alias("kind"), F.lit(None).cast("int").alias("line"), str_field("risk").alias("text")))
-    cand = (r.select("project_id", "path", "phase", F.explode(F.concat(scalars, step_rows)).alias("x"))
-            .select("project_id", "path", "phase", "x.kind", "x.line", "x.text")
-            .where(F.col("text").isNotNull() & (F.col("text") != "")
-                   & ((F.col("kind") != "step") | F.col("line").isNotNull())))
-    valid = (L.with_phase(steps).select("project_id", "path", "phase", F.col("line_number").alias("line"))
-             .distinct().withColumn("ok", F.lit(True)))
-    return (cand.join(valid, ["project_id", "path", "phase", "line"], "left")
-            .where((F.col("kind") != "step") | F.col("ok").isNotNull()).drop("ok"))
+    first, last = F.instr("t", "{"), F.length("t") - F.instr(F.reverse("t"), "}") + 1
+    bodies = (responses.select("project_id", "path", "phase", text.alias("t")).where(F.col("t").contains("{") & F.col("t").contains("}")).where(last > first)
+              .select("project_id", "path", "phase", F.substring("t", first, last - first + 1).alias("body")))
+    members = bodies.mapInArrow(_string_members, _MEMBERS).where("text <> ''")
+    lines = L.with_phase(steps).select("project_id", "path", "phase", F.col("line_number").alias("line")).distinct()
+    told = (members.where("kind = 'step'").join(lines, ["project_id", "path", "phase", "line"])
+            .groupBy("project_id", "path", "phase", "kind", "line").agg(F.max_by("text", "nth").alias("text")))
+    return members.where("kind <> 'step'").select("project_id", "path", "phase", "kind", "line", "text").unionByName(told)
 
 
 def merge_responses(parsed: DataFrame) -> DataFrame:
@@ -322,27 +337,32 @@ def merge_responses(parsed: DataFrame) -> DataFrame:
     return maps.unionByName(steps)
 
 
-def synth_responses(steps: DataFrame) -> DataFrame:
-    """Model-reply stand-ins built from the steps of each (script, phase), in
-    five shapes by ``(n_steps + phase order) % 5``: plain JSON, fenced JSON,
-    JSON between chatter, JSON with blank/invalid members, truncated JSON."""
-    s = L.with_phase(steps)
-    per_line = s.groupBy("project_id", "path", "phase", "phase_label", "phase_ord", "line_number").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("type", "pos").alias("type"))
-    g = per_line.groupBy("project_id", "path", "phase", "phase_label", "phase_ord").agg(
-        F.sum("n").alias("n"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-            F.col("line_number").cast("string"),
-            F.concat(F.lit("Line "), F.col("line_number").cast("string"), F.lit(" handles "), "type"))))).alias("m"))
-    v = (F.col("n") + F.col("phase_ord")) % 5
-    summary = F.concat(F.col("phase_label"), F.lit(" of "), F.col("path"))
-    risk = F.when(v == 3, F.lit("  ")).otherwise(F.concat(F.lit("Risk in "), F.col("phase")))
-    steps_map = F.when(v == 3, F.map_concat("m", F.create_map(F.lit("abc"), F.lit("x"), F.lit("0"), F.lit("y")))) \
-        .otherwise(F.col("m"))
-    g = g.withColumn("v", v).withColumn(
-        "body", F.to_json(F.struct(summary.alias("phase_summary"), steps_map.alias("steps"), risk.alias("risk"))))
-    raw = (F.when(F.col("v") == 1, F.concat(F.lit("```json\n"), "body", F.lit("\n```")))
-           .when(F.col("v") == 2, F.concat(F.lit("Thinking...\n"), "body", F.lit("\nHope this helps!")))
-           .when(F.col("v") == 4, F.expr("substring(body, 1, length(body) - 1)"))
-           .otherwise(F.col("body")))
-    return g.select("project_id", "path", "phase", raw.alias("raw"))
+def reply_texts(replies: DataFrame) -> DataFrame:
+    """Plain replies (project_id, path, kind, raw) -> (..., text): stripped, blank
+    ones and nulls dropped. Kinds: script, data_flow, project (path ``''``)."""
+    stripped = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
+    return replies.select("project_id", "path", "kind", stripped.alias("text")).where("text <> ''")
+
+
+def script_fields(scripts: DataFrame, merged: DataFrame, texts: DataFrame) -> DataFrame:
+    """I6. What the replies add to each script: summary, data_flow, and the maps
+    phase_summaries, contextual_steps (by line) and phase_risks, which are null
+    together where no phase gave anything, else empty where they have nothing."""
+    key = ["project_id", "path"]
+
+    def entries(kind: str, k: Column) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(k.alias("k"), F.col("text").alias("t"))))))
+
+    maps = merged.groupBy(*key).agg(entries("summary", F.col("key")).alias("phase_summaries"), entries("step", F.col("key").try_cast("int")).alias("contextual_steps"),
+                                    entries("risk", F.col("key")).alias("phase_risks"))
+    plain = texts.groupBy(*key).agg(F.max(F.when(F.col("kind") == "script", F.col("text"))).alias("summary"), F.max(F.when(F.col("kind") == "data_flow", F.col("text"))).alias("data_flow"))
+    return (scripts.select(*key).join(plain, key, "left").join(maps, key, "left")
+            .select(*key, "summary", "data_flow", "phase_summaries", "contextual_steps", "phase_risks"))
+
+
+def reply_progress(fields: DataFrame, texts: DataFrame) -> DataFrame:
+    """I6. (project_id, summaries, phases): scripts with a summary, one more for
+    the project's own, and scripts with phase summaries."""
+    own = texts.where("kind = 'project'").select("project_id").distinct().withColumn("own", F.lit(1))
+    counts = fields.groupBy("project_id").agg(F.count("summary").alias("summaries"), F.count(F.when(F.size("phase_summaries") > 0, 1)).alias("phases"))
+    return counts.join(own, "project_id", "left").select("project_id", (F.col("summaries") + F.coalesce("own", F.lit(0))).alias("summaries"), "phases")

@@ -52,6 +52,7 @@ class Analysis:
             ce = cut_table(C.corpus_events(spark, sf_dir), "corpus_events")
             an = cls(spark, C.source_files(spark, sf_dir, ce), cut_table(C.corpus_listing(spark, sf_dir, ce), "listing"),
                      launch_steps(spark, sf_dir, ce))
+            an.sf_dir = sf_dir
             _SHARED[key] = an
         return an
 

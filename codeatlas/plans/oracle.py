@@ -338,60 +338,44 @@ def link_ctes() -> list[tuple[str, str]]:
 
 
 # ----------------------------------------------------------------------------
-# Responses in SQL (built from the same shape rule, then parsed)
+# Replies, derived from the conversations by the same arithmetic
 # ----------------------------------------------------------------------------
 
 def response_ctes() -> list[tuple[str, str]]:
-    fence = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
+    phase = "[" + ", ".join(lit(p) for p, _ in R.PHASES) + "][turn + 1]"
+    strip = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
     return [
-        ("rl", """SELECT project_id, path, phase, phase_label, phase_ord, line_number, count(*) AS n,
-                arg_min(type, pos) AS type FROM lab GROUP BY ALL"""),
-        ("rg", """SELECT project_id, path, phase, phase_label, phase_ord, sum(n) AS n,
-                string_agg(to_json(CAST(line_number AS VARCHAR)) || ':' || to_json('Line ' || CAST(line_number AS VARCHAR)
-                    || ' handles ' || type), ',' ORDER BY line_number) AS entries
-            FROM rl GROUP BY ALL"""),
-        ("rbody", """SELECT *, (n + phase_ord) % 5 AS v,
-                '{"phase_summary":' || to_json(phase_label || ' of ' || path) || ',"steps":{' || entries
-                || CASE WHEN (n + phase_ord) % 5 = 3 THEN ',"abc":"x","0":"y"' ELSE '' END
-                || '},"risk":' || to_json(CASE WHEN (n + phase_ord) % 5 = 3 THEN '  ' ELSE 'Risk in ' || phase END)
-                || '}' AS body FROM rg"""),
-        ("resp", """SELECT project_id, path, phase,
-                CASE v WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
-                       WHEN 2 THEN 'Thinking...' || chr(10) || body || chr(10) || 'Hope this helps!'
-                       WHEN 4 THEN substring(body, 1, length(body) - 1) ELSE body END AS raw FROM rbody"""),
-        ("rp0", f"""SELECT project_id, path, phase,
-                CASE WHEN regexp_matches(raw, '{fence}') THEN regexp_extract(raw, '{fence}', 1) ELSE raw END AS t
-            FROM resp"""),
-        ("rp1", """SELECT project_id, path, phase,
-                CASE WHEN strpos(t, '{') > 0 AND strpos(t, '}') > 0
-                     AND length(t) - strpos(reverse(t), '}') + 1 >= strpos(t, '{')
-                THEN substring(t, strpos(t, '{'), length(t) - strpos(reverse(t), '}') + 2 - strpos(t, '{')) END AS body
-            FROM rp0"""),
-        ("rp2", """SELECT project_id, path, phase, CAST(body AS JSON) AS obj FROM rp1
-            WHERE body IS NOT NULL AND json_valid('[' || body || ']')
-              AND json_array_length(CAST('[' || body || ']' AS JSON)) = 1 AND json_type(CAST(body AS JSON)) = 'OBJECT'"""),
-        ("rparsed", r"""
-            SELECT project_id, path, phase, 'summary' AS kind, -1 AS line,
-                   regexp_replace(json_extract_string(obj, '$.phase_summary'), '^\s+|\s+$', '', 'g') AS text
-            FROM rp2 WHERE json_type(obj, '$.phase_summary') = 'VARCHAR'
-            UNION ALL
-            SELECT project_id, path, phase, 'risk', -1,
-                   regexp_replace(json_extract_string(obj, '$.risk'), '^\s+|\s+$', '', 'g')
-            FROM rp2 WHERE json_type(obj, '$.risk') = 'VARCHAR'
-            UNION ALL
-            SELECT k.project_id, k.path, k.phase, 'step', TRY_CAST(trim(k.key) AS BIGINT),
-                   regexp_replace(json_extract_string(k.obj, '$.steps."' || k.key || '"'), '^\s+|\s+$', '', 'g')
-            FROM (SELECT project_id, path, phase, obj, unnest(json_keys(obj, '$.steps')) AS key FROM rp2
-                  WHERE json_type(obj, '$.steps') = 'OBJECT') k
-            SEMI JOIN (SELECT DISTINCT project_id, path, phase, line_number FROM lab) v
-              ON v.project_id = k.project_id AND v.path = k.path AND v.phase = k.phase
-             AND regexp_full_match(k.key, '\s*[+-]?\d+\s*') AND v.line_number = TRY_CAST(trim(k.key) AS BIGINT)
-            WHERE json_type(k.obj, '$.steps."' || k.key || '"') = 'VARCHAR'"""),
-        ("rparsed_ok", "SELECT * FROM rparsed WHERE text <> ''"),
+        ("talk", """SELECT conv_id, turn, role, text, 'p' || CAST(conv_id % 7 AS VARCHAR) AS project_id,
+                'd' || CAST(conv_id % 3 AS VARCHAR) || '/m' || CAST(conv_id AS VARCHAR) || 'c0.py' AS path FROM conversations"""),
+        ("asked", "SELECT DISTINCT project_id, path, phase FROM lab"),
+        ("reply", f"""SELECT *, (conv_id + turn) % 8 AS v, string_split(text, ' ') AS w FROM (SELECT *, {phase} AS phase FROM talk WHERE turn BETWEEN 0 AND 4)
+            SEMI JOIN asked USING (project_id, path, phase) WHERE (conv_id + turn) % 8 NOT IN (3, 5)"""),
+        ("rkey", f"""SELECT *, 2 + (conv_id * 7 + turn * 3 + k * k) % {C.REPLY_LINES} AS n, k % 7 NOT IN (3, 5) AS is_text, w[CAST((k * 3) % len(w) AS INTEGER) + 1] AS word
+            FROM (SELECT *, unnest(range({C.REPLY_KEYS})) AS k FROM reply)"""),
+        # equal keys of one object: the first place, the last value
+        ("rmember", """SELECT project_id, path, phase, conv_id, turn, n, form, min(k) AS place, arg_max(is_text, k) AS is_text, arg_max(word, k) AS word
+            FROM (SELECT *, CASE WHEN k % 6 = 3 AND n < 10 THEN 0 ELSE k % 6 END AS form FROM rkey) WHERE form <> 5 GROUP BY ALL"""),
+        ("rparsed_ok", f"""SELECT project_id, path, phase, 'summary' AS kind, -1 AS line, {strip.format('text')} AS text FROM reply WHERE {strip.format('text')} <> ''
+            UNION ALL SELECT project_id, path, phase, 'risk', -1, {strip.format('role')} FROM reply WHERE v NOT IN (6, 7) AND {strip.format('role')} <> ''
+            UNION ALL SELECT m.project_id, m.path, m.phase, 'step', m.n, arg_max({strip.format('word')}, place)
+            FROM rmember m SEMI JOIN lab l ON l.project_id = m.project_id AND l.path = m.path AND l.phase = m.phase AND l.line_number = m.n
+            WHERE is_text AND {strip.format('word')} <> '' GROUP BY m.project_id, m.path, m.phase, m.n"""),
+        ("rtext", f"""SELECT * FROM (
+                SELECT project_id, path, CASE turn WHEN 5 THEN 'script' ELSE 'data_flow' END AS kind, {strip.format('text')} AS text
+                FROM talk SEMI JOIN files USING (project_id, path) WHERE turn IN (5, 6)
+                UNION ALL
+                SELECT project_id, '', 'project', {strip.format('arg_min(text, conv_id)')} FROM talk WHERE turn = 7 GROUP BY project_id HAVING project_id IN (SELECT project_id FROM files))
+            WHERE text <> ''"""),
         ("rmerged", """SELECT project_id, path, kind, phase AS key, text FROM rparsed_ok WHERE kind <> 'step'
             UNION ALL
             SELECT r.project_id, r.path, 'step', CAST(r.line AS VARCHAR), arg_max(r.text, p.phase_ord)
             FROM rparsed_ok r JOIN phasedim p USING (phase) WHERE r.kind = 'step' GROUP BY r.project_id, r.path, r.line"""),
+        ("rmaps", """SELECT f.project_id, f.path, m.project_id IS NOT NULL AS found, coalesce(ns, 0) AS ns, coalesce(nt, 0) AS nt, coalesce(nr, 0) AS nr, summaries, steps, risks
+            FROM files f LEFT JOIN (SELECT project_id, path, count(*) FILTER (kind = 'summary') AS ns, count(*) FILTER (kind = 'step') AS nt, count(*) FILTER (kind = 'risk') AS nr,
+                coalesce(string_agg(key || '=' || text, chr(10) ORDER BY key) FILTER (kind = 'summary'), '') AS summaries,
+                coalesce(string_agg(key || '=' || text, chr(10) ORDER BY TRY_CAST(key AS INTEGER)) FILTER (kind = 'step'), '') AS steps,
+                coalesce(string_agg(key || '=' || text, chr(10) ORDER BY key) FILTER (kind = 'risk'), '') AS risks
+                FROM rmerged GROUP BY ALL) m USING (project_id, path)"""),
     ]
 
 
@@ -501,21 +485,7 @@ SELECTS: dict[str, str] = {
         CASE WHEN regexp_extract(path, '[^/]*$') = '__init__.py' THEN regexp_extract(path, '([^/]*)/[^/]*$', 1)
              ELSE regexp_replace(regexp_extract(path, '[^/]*$'), '\\.py$', '') END AS module FROM tree
         WHERE ends_with(path, '.py') AND NOT regexp_matches(path, '(^|/)(' || {lit('|'.join(d.replace('.', chr(92) + '.') for d in R.SKIP_DIRS))} || '|\\.[^/]*)/')""",
-    "analysis_roundtrip": """SELECT s.project_id, s.path, s.is_entry_point,
-        CAST(coalesce(a.n, 0) AS BIGINT) AS n_steps, CAST(coalesce(v.n, 0) AS BIGINT) AS n_services,
-        CAST(coalesce(x.n, 0) AS BIGINT) AS n_secrets, CAST(coalesce(t.n, 0) AS BIGINT) AS n_triggers,
-        CAST(coalesce(i.ni, 0) AS BIGINT) AS n_internal, CAST(coalesce(i.ne, 0) AS BIGINT) AS n_external,
-        CAST(coalesce(m.n, 0) AS BIGINT) AS n_contextual, a.first_step
-        FROM scripts s
-        LEFT JOIN (SELECT project_id, path, count(*) AS n, arg_min(description, pos) AS first_step FROM st GROUP BY ALL) a
-          USING (project_id, path)
-        LEFT JOIN (SELECT project_id, path, count(*) AS n FROM svc GROUP BY ALL) v USING (project_id, path)
-        LEFT JOIN (SELECT project_id, path, count(*) AS n FROM sec GROUP BY ALL) x USING (project_id, path)
-        LEFT JOIN (SELECT project_id, path, count(*) AS n FROM trig GROUP BY ALL) t USING (project_id, path)
-        LEFT JOIN (SELECT project_id, path, count(*) FILTER (WHERE is_internal) AS ni,
-                          count(*) FILTER (WHERE NOT is_internal) AS ne FROM imps GROUP BY ALL) i USING (project_id, path)
-        LEFT JOIN (SELECT project_id, path, count(*) AS n FROM rmerged WHERE kind = 'step' GROUP BY ALL) m
-          USING (project_id, path)""",
+    "analysis_roundtrip": None,
     "syntax_facts": """SELECT c.project_id, c.path, t.kind, CAST(c.line AS BIGINT) AS line,
         CAST(c.sdepth + t.depth_add AS BIGINT) AS depth, c.function_name AS func_name
         FROM ce c JOIN tflow t ON t.template = c.template""",
@@ -630,7 +600,11 @@ SELECTS: dict[str, str] = {
     "prompt_dataflow": None,
     "prompt_phase": None,
     "responses_parsed": "SELECT project_id, path, phase, kind, CAST(line AS BIGINT) AS line, text FROM rparsed_ok",
-    "responses_merged": "SELECT project_id, path, kind, key, text FROM rmerged",
+    "responses_merged": """SELECT project_id, path, kind, key, text FROM rmerged
+        UNION ALL SELECT project_id, path, kind || '_text', '', text FROM rtext
+        UNION ALL SELECT project_id, path, 'maps', '', CASE WHEN found THEN ns || '/' || nt || '/' || nr ELSE 'null' END FROM rmaps
+        UNION ALL SELECT m.project_id, '', 'progress', '', (count(t.text) + (SELECT count(*) FROM rtext o WHERE o.kind = 'project' AND o.project_id = m.project_id)) || '/' || count(*) FILTER (ns > 0)
+        FROM rmaps m LEFT JOIN (SELECT * FROM rtext WHERE kind = 'script') t ON t.project_id = m.project_id AND t.path = m.path GROUP BY m.project_id""",
 }
 
 _compact_t = "CASE " + " ".join(f"WHEN type = {lit(t[0])} THEN {lit(t[5])}" for t in R.TYPE_LABELS) + " ELSE type END"
@@ -695,9 +669,9 @@ SELECTS["prompt_project"] = f"""SELECT p.project_id, {lit(PR.SYSTEM_PROMPT)} AS
     || 'Connections between scripts:' || chr(10) || {_or_none('c.txt', 'No connections.')} || chr(10) || chr(10)
     || {_nl(PR.PROJECT_INSTRUCTIONS)} AS "user"
     FROM (SELECT project_id, count(*) AS n,
-                 string_agg('- ' || path || ': ' || {lit(PR.NO_SUMMARY)}, chr(10) ORDER BY path) AS lines,
+                 string_agg('- ' || path || ': ' || coalesce(t.text, {lit(PR.NO_SUMMARY)}), chr(10) ORDER BY path) AS lines,
                  string_agg(path, ', ' ORDER BY path) FILTER (WHERE is_entry_point) AS entry
-          FROM scripts GROUP BY project_id) p
+          FROM scripts LEFT JOIN (SELECT project_id, path, text FROM rtext WHERE kind = 'script') t USING (project_id, path) GROUP BY project_id) p
     LEFT JOIN (SELECT project_id, string_agg(name, ', ' ORDER BY fpath, fpos) AS txt FROM (
                  SELECT project_id, name, min(path) AS fpath, arg_min(pos, path) AS fpos FROM svc GROUP BY ALL)
                GROUP BY project_id) v USING (project_id)
@@ -782,6 +756,44 @@ SELECTS["scorecard"] = f"""SELECT r.project_id, r.path, r.rank, r.is_key, r.scor
     FROM ({SELECTS["ranking"]}) r JOIN ({SELECTS["health"]}) h USING (project_id, path)"""
 
 
+def _field(name: str, value: str, source: str, path: str = "path") -> str:
+    return f"SELECT project_id, {path} AS path, {lit(name)} AS field, {value} AS value FROM {source}"
+
+
+def _listed(name: str, item: str, source: str, order: str, sep: str = "chr(10)", where: str = "TRUE") -> str:
+    """One row a script, empty where it has no items."""
+    return (f"SELECT f.project_id, f.path, {lit(name)} AS field, coalesce(x.value, '') AS value FROM files f LEFT JOIN (SELECT project_id, path, "
+            f"string_agg({item}, {sep} ORDER BY {order}) AS value FROM {source} WHERE {where} GROUP BY ALL) x USING (project_id, path)")
+
+
+_SERVICE = "name || '|' || library || '|' || coalesce(icon, '')"
+_STEP = ("line_number || '|' || type || '|' || description || '|' || coalesce(function_name, '') || '|' || coalesce(svc_name, '') || '|' || coalesce(svc_library, '') || '|' || "
+         "coalesce(svc_icon, '') || '|' || array_to_string(inputs, ',') || '|' || array_to_string(outputs, ',')")
+_OF_PROJECT = ("SELECT f.project_id, '' AS path, {} AS field, coalesce(x.value, '') AS value FROM (SELECT DISTINCT project_id FROM files) f "
+               "LEFT JOIN (SELECT project_id, string_agg({}, {} ORDER BY {}) AS value FROM ({}) GROUP BY project_id) x USING (project_id)")
+SELECTS["analysis_roundtrip"] = " UNION ALL ".join([
+    _field("is_entry_point", "CAST(is_entry_point AS VARCHAR)", "scripts"),
+    _listed("steps", _STEP, "st", "pos"),
+    _listed("imports_internal", "import", "imps", "import", "'|'", "is_internal"),
+    _listed("imports_external", "import", "imps", "import", "'|'", "NOT is_internal"),
+    _listed("services", _SERVICE, "svc", "pos"),
+    _listed("secrets", "secret", "sec", "secret", "'|'"),
+    _listed("triggers", "type || '|' || detail", "trig", "pos"),
+    "SELECT project_id, path, 'signature', string_agg(param || '|' || coalesce(annotation, '') || '|' || coalesce(CAST(json(default_json) AS VARCHAR), ''), chr(10) ORDER BY ord) "
+    "FROM sig GROUP BY project_id, path",
+    _field("summary", "text", "rtext WHERE kind = 'script'"),
+    _field("data_flow", "text", "rtext WHERE kind = 'data_flow'"),
+    _field("phase_summaries", "summaries", "rmaps WHERE found"),
+    _field("contextual_steps", "steps", "rmaps WHERE nt > 0"),
+    _field("phase_risks", "risks", "rmaps WHERE found"),
+    _OF_PROJECT.format("'services'", _SERVICE, "chr(10)", "pos", SELECTS["project_services"]),
+    _OF_PROJECT.format("'secrets'", "secret", "'|'", "secret", SELECTS["project_secrets"]),
+    _OF_PROJECT.format("'entry_points'", "path", "'|'", "path", SELECTS["project_entry_points"]),
+    _field("summary", "text", "rtext WHERE kind = 'project'", "''"),
+    _field("connection", "target || '|' || type || '|' || detail || '|' || pos", f"({SELECTS['connections']})", "source"),
+])
+
+
 def oracle_sql() -> dict[str, str]:
     ctes = base_ctes() + findings_ctes() + importance_ctes() + source_ctes()
     prefix = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes) + "\n"

@@ -21,6 +21,7 @@ from codeatlas.operators import quality as G
 from codeatlas.operators import rollup as RU
 from codeatlas.plans.analysis import Analysis
 from codeatlas.session import cut_table
+from codeatlas.sources import corpus as C
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -193,17 +194,30 @@ def top_types(spark, sf_dir):
 
 
 def _responses(a: Analysis) -> DataFrame:
-    """The model-reply table (stand-ins built from the steps), materialized
-    once per analysis like the stored table it stands for."""
-    if "responses" not in a.__dict__:
-        a.__dict__["responses"] = cut_table(I.synth_responses(a.steps), "responses")
-    return a.__dict__["responses"]
+    """Replies to the phase prompts: from the conversations, for phases that
+    scripts have."""
+    asked = L.with_phase(a.steps).select("project_id", "path", "phase").distinct()
+    return C.phase_replies(a.spark, a.sf_dir).join(asked, ["project_id", "path", "phase"], "left_semi")
+
+
+def _texts(a: Analysis) -> DataFrame:
+    """Replies to script, data-flow and project prompts, of projects and scripts that exist."""
+    there = a.listing.select("project_id", "path").unionByName(a.listing.select("project_id", F.lit("").alias("path"))).distinct()
+    return I.reply_texts(C.summary_replies(a.spark, a.sf_dir)).join(there, ["project_id", "path"], "left_semi")
 
 
 def _merged(a: Analysis) -> DataFrame:
     return I.merge_responses(I.parse_responses(_responses(a), a.steps))
 
 
+def _fields(a: Analysis) -> DataFrame:
+    return I.script_fields(a.listing, _merged(a), _texts(a))
+
+
+def _project_texts(a: Analysis) -> DataFrame:
+    return _texts(a).where("kind = 'project'").select("project_id", F.col("text").alias("summary"))
+
+
 def step_display(spark, sf_dir):
     a = _an(spark, sf_dir)
     ctx = _merged(a).where(F.col("kind") == "step").select(
@@ -312,7 +326,8 @@ def prompt_script(spark, sf_dir):
 
 def prompt_project(spark, sf_dir):
     a = _an(spark, sf_dir)
-    return I.project_prompts(a.scripts, RU.project_services(a.services), a.connections)
+    summaries = _texts(a).where("kind = 'script'").select("project_id", "path", F.col("text").alias("summary"))
+    return I.project_prompts(a.scripts, RU.project_services(a.services), a.connections, summaries)
 
 
 def prompt_dataflow(spark, sf_dir):
@@ -333,7 +348,15 @@ def responses_parsed(spark, sf_dir):
 
 
 def responses_merged(spark, sf_dir):
-    return _merged(_an(spark, sf_dir)).select("project_id", "path", "kind", "key", "text")
+    a = _an(spark, sf_dir)
+    merged, texts = _merged(a), _texts(a)
+    fields = cut_table(I.script_fields(a.listing, merged, texts), "script_fields")
+    none = F.lit("")
+    plain = texts.select("project_id", "path", F.concat(F.col("kind"), F.lit("_text")).alias("kind"), none.alias("key"), "text")
+    maps = fields.select("project_id", "path", F.lit("maps").alias("kind"), none.alias("key"),
+                         F.when(F.col("phase_summaries").isNull(), F.lit("null")).otherwise(F.concat_ws("/", F.size("phase_summaries"), F.size("contextual_steps"), F.size("phase_risks"))).alias("text"))
+    done = I.reply_progress(fields, texts).select("project_id", none.alias("path"), F.lit("progress").alias("kind"), none.alias("key"), F.concat_ws("/", "summaries", "phases").alias("text"))
+    return merged.select("project_id", "path", "kind", "key", "text").unionByName(plain).unionByName(maps).unionByName(done)
 
 
 # ---------------------------------------------------------------- A: sources
@@ -368,25 +391,48 @@ def local_modules(spark, sf_dir):
 
 
 def analysis_roundtrip(spark, sf_dir):
+    """Every field of every record that is written and read again, as text."""
     import uuid
     from codeatlas.session import checkpoint_dir
     from codeatlas.sources import analysis_json as AJ
     a = _an(spark, sf_dir)
-    ctx = _merged(a).where(F.col("kind") == "step").select(
-        "project_id", "path", F.col("key").cast("int").alias("line"), "text")
-    docs = AJ.script_documents(a.scripts, a.steps, a.imports, a.services, a.secrets, a.triggers, ctx)
+    docs = AJ.script_documents(a.scripts, a.steps, a.imports, a.services, a.secrets, a.triggers, a.signature, _fields(a))
+    heads = AJ.project_documents(a.scripts, RU.project_services(a.services), RU.project_secrets(a.secrets), RU.project_entry_points(a.scripts), _project_texts(a))
     folder = f"{checkpoint_dir(spark)}/analysis/{uuid.uuid4().hex}"
-    AJ.write_documents(docs, a.connections, folder)
-    d = AJ.read_scripts(spark, folder)
-    return d.select("project_id", "path", "is_entry_point",
-                    F.size("steps").cast("long").alias("n_steps"),
-                    F.size("services").cast("long").alias("n_services"),
-                    F.size("secrets").cast("long").alias("n_secrets"),
-                    F.size("triggers").cast("long").alias("n_triggers"),
-                    F.size("imports_internal").cast("long").alias("n_internal"),
-                    F.size("imports_external").cast("long").alias("n_external"),
-                    F.coalesce(F.size("contextual_steps"), F.lit(0)).cast("long").alias("n_contextual"),
-                    F.col("steps")[0]["description"].alias("first_step"))
+    AJ.write_documents(docs, a.connections, folder, heads)
+    got = AJ.read_folder(spark, folder)
+
+    def plain(c):
+        return F.coalesce(c, F.lit(""))
+
+    def lines(c, text):
+        return F.array_join(F.transform(c, text), "\n")
+
+    def service(x):
+        return F.concat_ws("|", plain(x["name"]), plain(x["library"]), plain(x["icon"]))
+
+    def step(x):
+        return F.concat_ws("|", x["line_number"].cast("string"), x["type"], x["description"], plain(x["function_name"]), service(x["service"]), _join(x["inputs"], ","), _join(x["outputs"], ","))
+
+    def texts(c):
+        return F.when(F.col(c).isNotNull(), lines(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])))
+
+    params = F.map_entries(F.from_json("signature", "map<string,struct<type:string,default:variant>>"))
+    fields = {"is_entry_point": F.col("is_entry_point").cast("string"), "steps": lines("steps", step), "imports_internal": _join(F.col("imports_internal")),
+              "imports_external": _join(F.col("imports_external")), "services": lines("services", service), "secrets": _join(F.col("secrets")),
+              "triggers": lines("triggers", lambda t: F.concat_ws("|", t["type"], t["detail"])), "summary": F.col("summary"), "data_flow": F.col("data_flow"),
+              "signature": lines(params, lambda e: F.concat_ws("|", e["key"], plain(e["value"]["type"]), plain(F.to_json(e["value"]["default"])))),
+              "phase_summaries": texts("phase_summaries"), "contextual_steps": texts("contextual_steps"), "phase_risks": texts("phase_risks")}
+    of_project = {"services": fields["services"], "secrets": fields["secrets"], "entry_points": _join(F.col("entry_points")), "summary": F.col("summary")}
+
+    def rows(df, path, named):
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in named.items()]))
+        return df.select("project_id", path.alias("path"), each.alias("x")).select("project_id", "path", "x.field", "x.value").where("value is not null")
+
+    edges = {"connection": F.concat_ws("|", "target", "type", "detail", F.col("pos").cast("string"))}
+    lost = {"rejected": F.concat_ws("|", "kind", "reason")}
+    return (rows(got["scripts"], F.col("path"), fields).unionByName(rows(got["projects"], F.lit(""), of_project))
+            .unionByName(rows(got["connections"], F.col("source"), edges)).unionByName(rows(got["rejects"], F.lit(""), lost)))
 
 
 QUERIES: dict[str, QueryFn] = {

@@ -380,3 +380,72 @@ def corpus_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codeatlas.operators.extract import script_services
     return script_services(spark, expected_imports(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# model replies, from the texts of ``conversations``
+# --------------------------------------------------------------------------
+
+REPLY_KEYS = 40         # step entries of a phase reply
+REPLY_LINES = 125       # lines that they name
+ASCII_DIGITS, OTHER_DIGITS = "0123456789", "٠١٢٣٤٥٦٧٨٩"
+
+
+def _json_text(c: Column) -> Column:
+    """A string as a JSON string."""
+    array = F.to_json(F.array(c))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
+
+
+def _conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation ``conv_id`` speaks of the first script of user ``conv_id``."""
+    user = F.col("conv_id").cast("string")
+    return read_table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("p"), (F.col("conv_id") % 7).cast("string")).alias("project_id"),
+        F.concat(F.lit("d"), (F.col("conv_id") % 3).cast("string"), F.lit("/m"), user, F.lit("c0.py")).alias("path"),
+        "conv_id", "turn", "role", "text")
+
+
+def phase_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, path, phase, raw): turns 0-4 answer the five phase prompts of
+    a script, in eight shapes by ``(conv_id + turn) % 8``: JSON, fenced JSON, JSON
+    between chatter, truncated, inside an array, two objects, repeated members
+    with NaN, and fenced with a blank risk. Step keys name arithmetic lines,
+    plain, signed, spaced, with an underscore, in other digits, or as decimals;
+    their values are words of the text, NaN or null."""
+    from codeatlas import rules as R
+    rows = _conversation_rows(spark, sf_dir).where("turn between 0 and 4")
+    words = F.split("text", " ")
+
+    def entry(k: Column) -> Column:
+        n = (2 + (F.col("conv_id") * 7 + F.col("turn") * 3 + k * k) % REPLY_LINES).cast("string")
+        key = (F.when(k % 6 == 1, F.concat(F.lit("+"), n)).when(k % 6 == 2, F.concat(F.lit(" "), n, F.lit(" ")))
+               .when((k % 6 == 3) & (F.length(n) > 1), F.concat(F.substring(n, 1, 1), F.lit("_"), F.substring(n, 2, 9)))
+               .when(k % 6 == 4, F.translate(n, ASCII_DIGITS, OTHER_DIGITS)).when(k % 6 == 5, F.concat(n, F.lit(".0"))).otherwise(n))
+        word = F.element_at(words, ((k * 3) % F.size(words) + 1).cast("int"))
+        value = F.when(k % 7 == 3, F.lit("NaN")).when(k % 7 == 5, F.lit("null")).otherwise(_json_text(word))
+        return F.concat(F.lit('"'), key, F.lit('": '), value)
+
+    v = (F.col("conv_id") + F.col("turn")) % 8
+    steps = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(REPLY_KEYS - 1)), entry), ", ")
+    risk = F.when(v == 6, F.lit("NaN")).when(v == 7, F.lit('"  "')).otherwise(_json_text(F.col("role")))
+    body = F.concat(F.when(v == 6, F.lit('{"phase_summary": 1, ')).otherwise(F.lit("{")), F.lit('"phase_summary": '), _json_text(F.col("text")),
+                    F.lit(', "steps": {'), steps, F.lit('}, "risk": '), risk, F.lit("}"))
+    b = F.col("body")
+    raw = (F.when(F.col("v") == 1, F.concat(F.lit("```json\n"), b, F.lit("\n```")))
+           .when(F.col("v") == 2, F.concat(F.lit("Thinking about it.\n"), b, F.lit("\nHope this helps!")))
+           .when(F.col("v") == 3, F.substring(b, F.lit(1), F.length(b) - 1)).when(F.col("v") == 4, F.concat(F.lit("["), b, F.lit("]")))
+           .when(F.col("v") == 5, F.concat(b, F.lit("\n"), b)).when(F.col("v") == 7, F.concat(F.lit("```\n"), b, F.lit("\n```"))).otherwise(b))
+    phase = F.element_at(F.array(*[F.lit(p) for p, _ in R.PHASES]), (F.col("turn") + 1).cast("int"))
+    return rows.select("project_id", "path", phase.alias("phase"), v.alias("v"), body.alias("body")).select("project_id", "path", "phase", raw.alias("raw"))
+
+
+def summary_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, path, kind, raw): turn 5 answers a script's prompt, turn 6 its
+    data-flow prompt, turn 7 of a project's first such conversation the project's
+    (path ``''``)."""
+    rows = _conversation_rows(spark, sf_dir)
+    script = rows.where("turn in (5, 6)").select("project_id", "path", F.when(F.col("turn") == 5, F.lit("script")).otherwise(F.lit("data_flow")).alias("kind"), F.col("text").alias("raw"))
+    project = (rows.where("turn = 7").groupBy("project_id").agg(F.min_by("text", "conv_id").alias("raw"))
+               .select("project_id", F.lit("").alias("path"), F.lit("project").alias("kind"), "raw"))
+    return script.unionByName(project)

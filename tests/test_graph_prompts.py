@@ -78,3 +78,78 @@ def test_importance_step_bonus_capped(spark):
     assert got["a.py"] == (3, 11)
     # b.py: one outgoing edge, 39 // 20 = 1
     assert got["b.py"] == (1, 2)
+
+
+def _python_reading(raw, lines):
+    """What a strict reader of one reply finds: (summary, {line: text}, risk)."""
+    import json
+    import re
+    fence = re.search(r"```(?:json)?\s*\n?(.*?)\n?\s*```", raw, re.S)
+    text = fence.group(1) if fence else raw
+    try:
+        obj = json.loads(text[text.index("{"):text.rindex("}") + 1])
+    except (ValueError, RecursionError):
+        return []
+    out = [(k, None, obj[n].strip()) for k, n in (("summary", "phase_summary"), ("risk", "risk")) if isinstance(obj.get(n), str) and obj[n].strip()]
+    told = {}
+    for key, value in (obj["steps"].items() if isinstance(obj.get("steps"), dict) else ()):
+        try:
+            n = int(key)
+        except ValueError:
+            continue
+        if n in lines and isinstance(value, str) and value.strip():
+            told[n] = value.strip()
+    return sorted(out + [("step", n, t) for n, t in told.items()], key=str)
+
+
+def test_reply_grammar_is_exact(spark):
+    s = steps_df(spark, [("transform", "len()")] * 12)
+    raws = ['{"steps": {"1_1": "under", "+2": "a", "2": "b", "+2": "c", " 3 ": "sp", "٤": "arabic", "5.0": "no", "6": 7, "7": NaN, "8": " ", "-9": "neg", "١٢": "twelve"}}',
+            '{"phase_summary": "x", "phase_summary": 1, "risk": NaN, "risk": "r"}', '{"phase_summary": "a"} {"phase_summary": "b"}', '[{"phase_summary": "in list"}]',
+            '{"phase_summary": "\\u00e9\\ud83d\\ude00\\ud800"}', "{'phase_summary': 'quotes'}", '{"steps": [1], "risk": "\\u00a0 tail \\u00a0"}', "}{", "{", "",
+            '```\n{"phase_summary": "fenced"}\n``` {"phase_summary": "later"}', '{"phase_summary": "tab\there"}', '{"steps": {"1": "one", "1": null}}', "[" * 100000 + "{" + "}",
+            '{"phase_summary": Infinity, "steps": {"1": "kept",}}', '{"steps": {"%s": "long"}}' % ("9" * 5000)]
+    rows = [("p", f"s{i}.py", "processing", raw) for i, raw in enumerate(raws)] + [("p", "null.py", "processing", None)]
+    one = s.collect()
+    steps = spark.createDataFrame([tuple({**r.asDict(), "path": f"s{i}.py"}.values()) for i in range(len(raws)) for r in one], s.schema)
+    got = {}
+    for r in I.parse_responses(spark.createDataFrame(rows, "project_id string, path string, phase string, raw string"), steps).collect():
+        got.setdefault(r.path, []).append((r.kind, r.line, r.text))
+    lines = {r.line_number for r in one}
+    for i, raw in enumerate(raws):
+        want = [(k, n, t.encode("utf-8", "backslashreplace").decode()) for k, n, t in _python_reading(raw, lines)]
+        assert sorted(got.get(f"s{i}.py", []), key=str) == want, raw[:80]
+
+
+def test_script_fields_and_progress(spark):
+    scripts = spark.createDataFrame([("p", f"{x}.py") for x in "abc"] + [("q", "d.py")], "project_id string, path string")
+    merged = spark.createDataFrame([("p", "a.py", "summary", "setup", "s"), ("p", "a.py", "step", "3", "t"), ("p", "b.py", "risk", "setup", "r")],
+                                   "project_id string, path string, kind string, key string, text string")
+    texts = I.reply_texts(spark.createDataFrame([("p", "a.py", "script", " one \n"), ("p", "b.py", "script", "  "), ("p", "c.py", "data_flow", "flow"), ("p", "", "project", "whole"),
+                                                 ("p", "c.py", "script", None)], "project_id string, path string, kind string, raw string"))
+    fields = I.script_fields(scripts, merged, texts)
+    got = {r.path: (r.summary, r.data_flow, r.phase_summaries, r.contextual_steps, r.phase_risks) for r in fields.collect()}
+    assert got == {"a.py": ("one", None, {"setup": "s"}, {3: "t"}, {}), "b.py": (None, None, {}, {}, {"setup": "r"}), "c.py": (None, "flow", None, None, None),
+                   "d.py": (None, None, None, None, None)}
+    assert sorted(tuple(r) for r in I.reply_progress(fields, texts).collect()) == [("p", 2, 1), ("q", 0, 0)]
+
+
+def test_project_prompt_parts_join_to_the_whole(spark):
+    paths = [f"d/s{i:03}.py" for i in range(60)]
+    scripts = spark.createDataFrame([("p", x, i % 3 == 0) for i, x in enumerate(paths)] + [("q", "only.py", False)], "project_id string, path string, is_entry_point boolean")
+    services = spark.createDataFrame([("p", 0, "HTTP", "requests", None), ("p", 1, "Slack", "slack", None)], "project_id string, pos int, name string, library string, icon string")
+    conns = spark.createDataFrame([("p", paths[i], paths[i + 1], "import", f"detail {i}", i) for i in range(40)],
+                                  "project_id string, source string, target string, type string, detail string, pos int")
+    summaries = spark.createDataFrame([("p", paths[3], "Third\nline"), ("p", paths[4], "")], "project_id string, path string, summary string")
+    lines = [f"- {x}: " + ("Third\nline" if i == 3 else I.NO_SUMMARY) for i, x in enumerate(paths)]
+    edges = [f"- {paths[i]} -> {paths[i + 1]}: detail {i}" for i in range(40)]
+
+    def text(project, n, svc, entries, script_lines, conn_lines):
+        return (I.PROJECT_OBJECTIVE + f"Project: {project}\nScripts: {n}\nServices: {svc}\nEntry points: {entries}\n\nScript summaries:\n" + "\n".join(script_lines)
+                + "\n\nConnections between scripts:\n" + conn_lines + "\n\n" + I.PROJECT_INSTRUCTIONS)
+
+    want = {"p": text("p", 60, "HTTP, Slack", ", ".join(paths[::3]), lines, "\n".join(edges)), "q": text("q", 1, "None", "None", [f"- only.py: {I.NO_SUMMARY}"], "No connections.")}
+    assert {r.project_id: r.user for r in I.project_prompts(scripts, services, conns, summaries).collect()} == want
+    parts = sorted((r.part_no, r.text) for r in I.project_prompt_parts(scripts, services, conns, summaries, part_bytes=300).collect() if r.project_id == "p")
+    assert "".join(t for _, t in parts) == want["p"] and len(parts) > 10
+    assert max(len(t) for _, t in parts) <= 300 + len(I.PROJECT_INSTRUCTIONS) + 2

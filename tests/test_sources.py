@@ -205,3 +205,49 @@ def test_steps_of_clustered_facts_need_no_exchange_of_their_own(spark):
     assert len(re.findall(r"Exchange (?:hash|range|round|single)", plan)) <= 5
     facts = an.facts._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan, facts
+
+
+NESTED = {
+    "path": "/x/proj", "services": [{"name": "HTTP", "library": "requests", "icon": None}], "secrets": ["K"], "entry_points": ["a.py"], "summary": None,
+    "connections": [{"source": "a.py", "target": "b.py", "type": "import", "detail": "d"}, {"source": "a.py"}],
+    "scripts": [
+        {"path": "a.py", "is_entry_point": True, "imports_internal": [], "imports_external": ["requests"], "secrets": ["K"], "summary": "S",
+         "steps": [{"line_number": 3, "type": "api_call", "description": "requests.get()", "function_name": None, "inputs": ["a"], "outputs": [],
+                    "service": {"name": "HTTP", "library": "requests", "icon": None}}],
+         "services": [{"name": "HTTP", "library": "requests", "icon": None}], "triggers": [{"type": "cli", "detail": "__main__ guard"}],
+         "signature": {"z": {"type": "int", "default": [1, {"a": None}]}, "b": {}}, "phase_summaries": {"setup": "p"}, "contextual_steps": {"3": "three"},
+         "phase_risks": {}, "data_flow": None},
+        {"path": "b.py"}, {"steps": []}, {"path": "c.py", "steps": [{"line_number": 1, "type": "t"}], "contextual_steps": {"x": "y"}},
+        {"path": "d.py", "contextual_steps": {}}, "text", {"path": "e.py", "steps": [{"line_number": "nine", "type": "t", "description": "d"}]}]}
+
+
+def test_nested_documents_and_rejects(spark):
+    import json
+    folder = tempfile.mkdtemp(prefix="codeatlas-json-")
+    for name, text in (("n", json.dumps(NESTED, indent=2)), ("bad", '{"scripts": ['), ("nopath", '{"scripts": [{"path": "z.py"}]}')):
+        with open(f"{folder}/{name}.json", "w") as fh:
+            fh.write(text)
+    got = AJ.read_nested(spark, folder)
+    scripts = {r.path: r for r in got["scripts"].collect()}
+    assert set(scripts) == {"a.py", "b.py", "d.py"} and {r.project_id for r in scripts.values()} == {"/x/proj"}
+    a = scripts["a.py"]
+    assert (a.steps[0].line_number, a.steps[0].service.name, a.steps[0].inputs, a.contextual_steps, a.phase_risks) == (3, "HTTP", ["a"], {3: "three"}, {})
+    assert json.loads(a.signature) == NESTED["scripts"][0]["signature"]
+    assert scripts["b.py"].steps == [] and scripts["b.py"].is_entry_point is False and scripts["d.py"].contextual_steps is None
+    assert [(r.path, r.services[0].library, r.entry_points) for r in got["projects"].collect()] == [("/x/proj", "requests", ["a.py"])]
+    assert [(r.source, r.target) for r in got["connections"].collect()] == [("a.py", "b.py")]
+    assert sorted((r.kind, r.reason) for r in got["rejects"].collect()) == [
+        ("connections", "target, type, detail"), ("document", "malformed"), ("document", "path"), ("scripts", "malformed"), ("scripts", "path"),
+        ("scripts", "steps[0].description, contextual_steps.x"), ("scripts", "steps[0].line_number")]
+
+
+def test_signature_keeps_its_order_and_defaults(spark):
+    root = tempfile.mkdtemp(prefix="codeatlas-tree-")
+    os.makedirs(f"{root}/p")
+    with open(f"{root}/p/m.py", "w") as fh:
+        fh.write("def main(zeta, src: str, limit=10, opts={'k': [1, None]}, *, kw=3):\n    pass\n")
+    an = Analysis.from_tree(spark, root, materialize=False)
+    folder = tempfile.mkdtemp(prefix="codeatlas-json-")
+    AJ.write_documents(AJ.script_documents(an.scripts, an.steps, an.imports, an.services, an.secrets, an.triggers, an.signature), an.connections, folder)
+    text, = [r.signature for r in AJ.read_scripts(spark, folder).collect()]
+    assert text == '{"zeta":{},"src":{"type":"str"},"limit":{"default":10},"opts":{"default":{"k":[1,null]}}}'
