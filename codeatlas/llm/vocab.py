@@ -17,7 +17,7 @@ import numpy as np
 MAX_KEPT = 600_000     # pieces that a worker keeps
 MAX_PIECE = 48         # longer pieces are computed again each time
 GROUP_CHARS = 1 << 20  # characters of text that are looked up together
-JOINED = 32           # pieces that the library encodes as one text
+JOINED = 128          # pieces that the library encodes as one text
 
 _RUNS = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile(r"[^\S \n]")
@@ -41,10 +41,13 @@ class Pieces:
     the text fall back to cutting before each run, which is exact for
     byte-level pre-tokenizers. Otherwise white space is dropped by the
     tokenizer, and every space and line feed is a cut.
+
+    ``folds``: the tokenizer lower-cases every text, letter by letter, so that
+    pieces that differ in the case of ASCII letters have one value.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], spaced: bool):
-        self.compute, self.spaced = compute, spaced
+    def __init__(self, compute: Callable[[list[str]], list], spaced: bool, folds: bool = False):
+        self.compute, self.spaced, self.folds = compute, spaced, folds
         self.inner: dict = {}
         self.literal: dict = {}
         self.marks: dict = {}
@@ -55,9 +58,10 @@ class Pieces:
         without them and joined with the (few) runs of marks."""
         split = {}
         for k in keys:
-            base = k.rstrip(_MARKS)
-            if base and len(base) < len(k) and base[-1].isalnum() and len(base[-1].lower()) == 1:
-                split[k] = base
+            if k[-1] in _MARKS:
+                base = k.rstrip(_MARKS)
+                if base and base[-1].isalnum() and len(base[-1].lower()) == 1:
+                    split[k] = base
         new = [k for k in {split.get(k, k) for k in keys} if k not in into]
         into.update(zip(new, self.compute([made(k) for k in new])))
         if split:
@@ -66,8 +70,8 @@ class Pieces:
             self.marks.update(zip(fresh, self.compute(fresh)))
             into.update((k, into[base] + self.marks[k[len(base):]]) for k, base in split.items())
 
-    def _values(self, texts: list[list[str]], distinct: list, into: dict, made: Callable[[str], str]) -> list[list]:
-        need = set().union(*distinct).difference(into)
+    def _values(self, texts: list[list[str]], need: set[str], into: dict, made: Callable[[str], str]) -> list[list]:
+        """The values of all pieces; ``need``: those that ``into`` lacks."""
         if need:
             self._learn(into, need, made)
         out = [list(map(into.__getitem__, parts)) for parts in texts]
@@ -82,21 +86,25 @@ class Pieces:
     def group(self, texts: list[str]) -> list[list]:
         """The piece values of each text, in order."""
         if not self.spaced:
-            parts = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
-            return self._values(parts, parts, self.inner, str)
+            # ASCII letters are folded by this tokenizer anyhow; a special token's string must stay as it is
+            folded = [t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts] if self.folds else texts
+            parts = [[p for p in t.replace("\n", " ").split(" ") if p] for t in folded]
+            return self._values(parts, set().union(*parts).difference(self.inner), self.inner, str)
         first: list[list[str]] = []
         rest: list[list[str]] = []
-        kinds: list[set[str]] = []
         for text in texts:
             parts = text.replace("\n", " \n").split(" ")
             head = parts.pop(0)
-            distinct = set(parts)
-            odd = "" in distinct or "\n" in distinct or bool(_ODD.search(" ".join(distinct.difference(self.inner))))
-            first.append(_RUNS.findall(text) if odd else [head] if head else [])
-            rest.append([] if odd else parts)
-            kinds.append(set() if odd else distinct)
-        heads = self._values(first, first, self.literal, str)
-        tails = self._values(rest, kinds, self.inner, lambda p: p if p[0] == "\n" else " " + p)
+            first.append([head] if head else [])
+            rest.append(parts)
+        new = set().union(*rest).difference(self.inner)
+        odd = {p for p in new if p == "" or p == "\n" or _ODD.search(p)}
+        if odd:
+            for i, parts in enumerate(rest):
+                if not odd.isdisjoint(parts):
+                    first[i], rest[i] = _RUNS.findall(texts[i]), []
+        heads = self._values(first, set().union(*first).difference(self.literal), self.literal, str)
+        tails = self._values(rest, new - odd, self.inner, lambda p: p if p[0] == "\n" else " " + p)
         return [a + b for a, b in zip(heads, tails)]
 
     def all(self, texts: Iterable[str | None]) -> Iterable[list]:
@@ -113,6 +121,11 @@ class Pieces:
             yield from self.group(held)
 
 
+def _lower_cases(tok) -> bool:
+    """Whether the tokenizer's normalizer folds each ASCII letter."""
+    return all(tok.normalizer.normalize_str(chr(c)) == chr(c + 32) for c in range(65, 91))
+
+
 _encoders: dict[tuple[str, bool], Pieces] = {}
 
 
@@ -131,7 +144,8 @@ def encoder(path: str, spaced: bool) -> Pieces:
             """Many pieces go through the library as one text, with a special
             token between them; pieces that hold one go alone."""
             out: list[bytes | None] = [None] * len(pieces)
-            plain = [i for i, p in enumerate(pieces) if mark is not None and not any(m in p for m in special)]
+            every = "\n".join(pieces)
+            plain = [] if mark is None else range(len(pieces)) if not any(m in every for m in special) else [i for i, p in enumerate(pieces) if not any(m in p for m in special)]
             groups = [plain[lo:lo + JOINED] for lo in range(0, len(plain), JOINED)]
             for lo in range(0, len(groups), 64):
                 for group, got in zip(groups[lo:lo + 64], tok.encode_batch_fast([mark.join(pieces[i] for i in g) for g in groups[lo:lo + 64]], add_special_tokens=False)):
@@ -144,5 +158,5 @@ def encoder(path: str, spaced: bool) -> Pieces:
             for i, got in zip(alone, tok.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False)):
                 out[i] = np.array(got.ids, "<u4").tobytes()
             return out
-        _encoders[path, spaced] = Pieces(compute, spaced)
+        _encoders[path, spaced] = Pieces(compute, spaced, tok.normalizer is not None and _lower_cases(tok))
     return _encoders[path, spaced]
