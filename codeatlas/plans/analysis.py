@@ -16,13 +16,11 @@ from codeatlas import rules as R
 from codeatlas.operators import extract as X
 from codeatlas.operators import links as D
 from codeatlas.operators.facts import content_facts, facts_of_files, syntax_facts
+from codeatlas.plans.registry import derived
 from codeatlas.session import clustered_table, cut_table
 from codeatlas.sources import corpus as C
 
 
-_SHARED: dict = {}
-
-
 class Analysis:
     """Analysis tables of one corpus.
 
@@ -36,6 +34,7 @@ class Analysis:
     def __init__(self, spark: SparkSession, source_files: DataFrame | None, listing: DataFrame,
                  extra_steps: DataFrame | None = None, materialize: bool = True, raw_facts: DataFrame | None = None):
         self.spark = spark
+        self.tables: list[str] = []  # written tables
         self.raw_facts = raw_facts
         self.materialize = materialize
         self.source_files = source_files
@@ -44,17 +43,19 @@ class Analysis:
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "Analysis":
-        """Analysis of the corpus derived from ``sf_dir``; one per session and
-        folder, so the registered queries share its materialized tables."""
-        key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
-        an = _SHARED.get(key)
-        if an is None:
-            ce = cut_table(C.corpus_events(spark, sf_dir), "corpus_events")
-            an = cls(spark, C.source_files(spark, sf_dir, ce), cut_table(C.corpus_listing(spark, sf_dir, ce), "listing"),
+        """Analysis of the corpus derived from ``sf_dir``, shared by the registered
+        queries as long as its inputs stay the same (see ``registry``)."""
+        at = sf_dir.rstrip("/")
+
+        def build() -> "Analysis":
+            tables: list[str] = []
+            ce = cut_table(C.corpus_events(spark, sf_dir), "corpus_events", tables=tables)
+            an = cls(spark, C.source_files(spark, sf_dir, ce), cut_table(C.corpus_listing(spark, sf_dir, ce), "listing", tables=tables),
                      launch_steps(spark, sf_dir, ce))
-            an.sf_dir = sf_dir
-            _SHARED[key] = an
-        return an
+            an.sf_dir, an.tables = sf_dir, tables
+            return an
+
+        return derived(spark, "analysis", [f"{at}/events.parquet", f"{at}/conversations.parquet"], build)
 
     @classmethod
     def from_tree(cls, spark: SparkSession, root: str, materialize: bool = True, max_file_size: int | None = R.MAX_FILE_SIZE) -> "Analysis":
@@ -81,7 +82,7 @@ class Analysis:
         f = self.raw_facts
         if f is None:
             f = syntax_facts(self.source_files, 2 * self.spark.sparkContext.defaultParallelism)
-        return clustered_table(f, "facts", ["project_id", "path"], "kind") if self.materialize else f
+        return clustered_table(f, "facts", ["project_id", "path"], "kind", tables=self.tables) if self.materialize else f
 
     @cached_property
     def parsed(self) -> dict[str, DataFrame]:
@@ -110,7 +111,7 @@ class Analysis:
     @cached_property
     def parsed_steps(self) -> DataFrame:
         st = self.parsed["steps"]
-        return cut_table(st, "parsed_steps") if self.materialize else st
+        return cut_table(st, "parsed_steps", tables=self.tables) if self.materialize else st
 
     @cached_property
     def steps(self) -> DataFrame:
@@ -121,7 +122,7 @@ class Analysis:
         allv = parsed.drop("pos").unionByName(self.extra_steps)
         w = Window.partitionBy("project_id", "path").orderBy("line_number", "k")
         s = allv.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("k")
-        return cut_table(s, "steps") if self.materialize else s
+        return cut_table(s, "steps", tables=self.tables) if self.materialize else s
 
     @cached_property
     def scripts(self) -> DataFrame:
@@ -135,7 +136,7 @@ class Analysis:
     @cached_property
     def degrees(self) -> DataFrame:
         d = D.degrees(self.listing, self.imports, self.steps, self.file_nodes)
-        return cut_table(d, "degrees") if self.materialize else d
+        return cut_table(d, "degrees", tables=self.tables) if self.materialize else d
 
     @cached_property
     def connections(self) -> DataFrame:

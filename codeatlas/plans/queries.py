@@ -361,23 +361,20 @@ def responses_merged(spark, sf_dir):
 
 # ---------------------------------------------------------------- A: sources
 
-_TREES: dict = {}
-
-
 def _tree(spark, sf_dir) -> str:
     """The corpus written as a source tree (plus per-project files that the
-    listing rules must prune) under the checkpoint folder; once per session."""
+    listing rules must prune) under the checkpoint folder; once per analysis."""
     import uuid
     from codeatlas.session import checkpoint_dir
     from codeatlas.sources import files as FS
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
-    if key not in _TREES:
-        a = _an(spark, sf_dir)
+    a = _an(spark, sf_dir)
+    if "tree" not in a.__dict__:
         root = f"{checkpoint_dir(spark)}/trees/{uuid.uuid4().hex}"
         FS.write_tree(a.source_files.select("project_id", "path", "content")
                       .unionByName(FS.tree_extras(a.listing)), root)
-        _TREES[key] = root
-    return _TREES[key]
+        a.tables.append(root)
+        a.__dict__["tree"] = root
+    return a.__dict__["tree"]
 
 
 def scan_sources(spark, sf_dir):

@@ -37,14 +37,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
-def cut_table(df, name: str, partition_by: str | None = None):
+def cut_table(df, name: str, partition_by: str | None = None, tables: list[str] | None = None):
     """Cut lineage by writing a parquet table into the shared checkpoint folder
     and reading it back: later scans get column pruning, pushed filters and
     (with ``partition_by``) partition pruning, which a checkpointed RDD scan
-    does not offer."""
+    does not offer. ``tables`` takes the folder down, for who removes it."""
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if tables is not None:
+        tables.append(path)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
@@ -52,7 +54,7 @@ def cut_table(df, name: str, partition_by: str | None = None):
     return spark.read.parquet(path)
 
 
-def clustered_table(df, name: str, by: list[str], partition_by: str, buckets: int | None = None):
+def clustered_table(df, name: str, by: list[str], partition_by: str, buckets: int | None = None, tables: list[str] | None = None):
     """Like ``cut_table``, with the rows of equal ``by`` in one bucket: joins,
     groupings and windows whose keys include ``by`` then read the table without
     an exchange. Rows are dealt by ``by`` before they are written, so that each
@@ -61,6 +63,8 @@ def clustered_table(df, name: str, by: list[str], partition_by: str, buckets: in
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"codeatlas_{name}_{uuid.uuid4().hex}"
+    if tables is not None:
+        tables.append(table)
     (df.repartition(buckets, *by).write.partitionBy(partition_by).bucketBy(buckets, *by).format("parquet")
      .option("path", f"{checkpoint_dir(spark)}/tables/{table}").saveAsTable(table))
     return spark.table(table)
