@@ -8,6 +8,10 @@ are rendered from the same fixed values in ``codeatlas.rules``.
 
 from __future__ import annotations
 
+import ast
+import json
+import re
+
 from codeatlas import rules as R
 from codeatlas.operators import prompts as PR
 from codeatlas.sources import corpus as C
@@ -77,6 +81,111 @@ def _template_rows():
     return steps, trig, sec, params, flow
 
 
+# Every token as digits, so that a template can be read as Python, and back.
+_DIGITS = {token: str(7_300_001 + i) for i, token in enumerate(("{sec}", "{pd}", "{p2}", "{p}", "{q}", "{u}", "{m}", "{s}"))}
+FACT_COLUMNS = ["template", "kind", "ladd", "eadd", "vadd", "vabs", "dadd", "fname", "obj", "method", "name", "chain", "arg0_str", "open_mode", "text", "text2", "names", "flag"]
+
+
+def _expected_facts(template: int, source: str) -> list[tuple]:
+    """Facts of one template (or header line), line and depth relative to it."""
+    for token, digits in _DIGITS.items():
+        source = source.replace(token, digits)
+    rows: list[tuple] = []
+
+    def dotted(x) -> str | None:
+        text = ast.unparse(x)
+        return text if re.fullmatch(r"\w+(\.\w+)*", text) and not text[0].isdigit() else None
+
+    def constant(call, i, keyword=None):
+        """A constant argument by place or name, as a list of at most one."""
+        found = call.args[i:i + 1] or [k.value for k in call.keywords if k.arg == keyword]
+        return [x.value for x in found if isinstance(x, ast.Constant)], bool(found)
+
+    def add(node, kind, func, depth, **more):
+        row = dict(template=template, kind=kind, ladd=getattr(node, "lineno", 1) - 1, dadd=depth - 1, fname=func, **more)
+        for k, v in row.items():
+            for token, digits in _DIGITS.items():
+                if isinstance(v, str):
+                    v = v.replace(digits, token)
+            row[k] = v
+        rows.append(tuple(row.get(c) for c in FACT_COLUMNS))
+
+    def names(x) -> str:
+        return "|".join(sorted({n.id for n in ast.walk(x) if isinstance(n, ast.Name)}))
+
+    def first_text(call):
+        return next((v for v in constant(call, 0)[0] if isinstance(v, str)), None) if isinstance(call, ast.Call) and call.args else None
+
+    def visit(node, func, depth):
+        u = ast.unparse
+        if isinstance(node, ast.Call):
+            f, more = node.func, {"arg0_str": first_text(node)}
+            if isinstance(f, ast.Attribute):
+                more |= {"obj": getattr(f.value, "id", getattr(f.value, "attr", "")), "method": f.attr, "chain": dotted(f.value)}
+            elif isinstance(f, ast.Name):
+                more["name"] = f.id
+                if f.id == "open":
+                    mode, given = constant(node, 1, "mode")
+                    more |= {"open_mode": str(mode[0]) if mode else None if given else "r", "text": repr(more["arg0_str"]) if more["arg0_str"] else None}
+                    more["flag"] = more["open_mode"] is None
+            add(node, "call", func, depth, **more)
+        elif isinstance(node, ast.Import):
+            add(node, "import", func, depth, names="|".join(a.name for a in node.names))
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            parts = [node.module] + [f"{node.module}.{a.name}" for a in node.names if "." in node.module]
+            add(node, "import", func, depth, names="|".join(parts), chain=node.module)
+        elif isinstance(node, ast.Assign):
+            add(node, "assign", func, depth, eadd=node.end_lineno - 1, vadd=node.value.lineno - 1, names="|".join(t.id for t in node.targets if isinstance(t, ast.Name)))
+        elif isinstance(node, (ast.If, ast.While)):
+            guard = u(node.test) == "__name__ == '__main__'"
+            add(node, type(node).__name__.lower(), func, depth, text=u(node.test), names=names(node.test), **({"flag": guard} if isinstance(node, ast.If) else {}))
+        elif isinstance(node, ast.For):
+            add(node, "for", func, depth, text=u(node.target), text2=u(node.iter), names=names(node.iter))
+        elif isinstance(node, ast.Try):
+            add(node, "try", func, depth)
+        elif isinstance(node, (ast.ListComp, ast.SetComp)):
+            add(node, type(node).__name__.lower(), func, depth, text=u(node.elt))
+        elif isinstance(node, ast.DictComp):
+            add(node, "dictcomp", func, depth, text=u(node.key), text2=u(node.value))
+        elif isinstance(node, ast.Subscript) and isinstance(node.slice, ast.Constant) and isinstance(node.slice.value, str):
+            add(node, "subscript", func, depth, chain=dotted(node.value), arg0_str=node.slice.value)
+        elif isinstance(node, ast.FunctionDef):
+            add(node, "funcdef", func, depth, name=node.name, flag=False)
+            for j, d in enumerate(node.decorator_list):
+                add(node, "decorator", func, depth, name=node.name, text=u(d), arg0_str=first_text(d), vabs=j)
+            if node.name == "main":
+                given = [None] * (len(node.args.args) - len(node.args.defaults)) + node.args.defaults
+                for j, (a, d) in enumerate(zip(node.args.args, given)):
+                    add(node, "param", func, depth, name=a.arg, vabs=j, text=a.annotation and u(a.annotation), text2=d and json.dumps(ast.literal_eval(d)))
+            func = node.name
+        for child in ast.iter_child_nodes(node):
+            visit(child, func, depth + 1)
+
+    visit(ast.parse(source), None, 0)
+    return rows
+
+
+def _expected(sources) -> str:
+    """The facts of numbered sources as a table, untyped nulls as text."""
+    body = values([r for i, source in sources for r in _expected_facts(i, source)], FACT_COLUMNS)
+    text = ("fname", "obj", "method", "name", "chain", "arg0_str", "open_mode", "text", "text2", "names")
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in text)}, CAST(vabs AS BIGINT) AS vabs, CAST(eadd AS BIGINT) AS eadd, CAST(vadd AS BIGINT) AS vadd, CAST(flag AS BOOLEAN) AS flag) FROM {body}"
+
+
+def fact_select() -> str:
+    """Facts of the corpus: of every slot's template, of header lines and of the
+    functions that slots begin."""
+    text = ", ".join(f"{subst(c)} AS {c}" for c in ("obj", "method", "name", "chain", "arg0_str", "open_mode", "text", "text2", "names"))
+    where = "project_id, path, kind"
+    slots = _expected((i, t[0] + "\n" + (t[1] or "")) for i, t in enumerate(C.TEMPLATES))
+    numbered_heads = " UNION ALL ".join(f"SELECT {h} AS h, {n} AS nth, * FROM ({_expected([(h, line)])})" for h, lines in enumerate(C.HEADERS) for n, line in enumerate(lines) if _expected_facts(h, line))
+    return (f"SELECT {where}, CAST(line + ladd AS BIGINT) AS line, CAST(line + eadd AS BIGINT) AS end_line, CAST(coalesce(vabs, line + vadd) AS BIGINT) AS value_line, "
+            f"CAST(sdepth + dadd AS BIGINT) AS depth, coalesce({subst('fname')}, function_name) AS func_name, {text}, flag FROM ce JOIN ({slots}) t USING (template) "
+            f"UNION ALL SELECT {where}, nth + 1, NULL, NULL, 1, NULL, {text}, flag FROM (SELECT *, 0 AS sif FROM files) f JOIN ({numbered_heads}) t ON t.h = f.hdr "
+            f"UNION ALL SELECT project_id, path, 'funcdef', line - 1, NULL, NULL, 1, NULL, NULL, NULL, 'f' || CAST(block AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, FALSE "
+            f"FROM ce WHERE in_func AND sif % {C.SLOTS_PER_BLOCK} = 0")
+
+
 def base_ctes() -> list[tuple[str, str]]:
     steps, trig, sec, params, flow = _template_rows()
     mods = " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(C.FLAVOUR_MODULI))
@@ -486,9 +595,7 @@ SELECTS: dict[str, str] = {
              ELSE regexp_replace(regexp_extract(path, '[^/]*$'), '\\.py$', '') END AS module FROM tree
         WHERE ends_with(path, '.py') AND NOT regexp_matches(path, '(^|/)(' || {lit('|'.join(d.replace('.', chr(92) + '.') for d in R.SKIP_DIRS))} || '|\\.[^/]*)/')""",
     "analysis_roundtrip": None,
-    "syntax_facts": """SELECT c.project_id, c.path, t.kind, CAST(c.line AS BIGINT) AS line,
-        CAST(c.sdepth + t.depth_add AS BIGINT) AS depth, c.function_name AS func_name
-        FROM ce c JOIN tflow t ON t.template = c.template""",
+    "syntax_facts": None,
     "imports_split": "SELECT project_id, path, import, is_internal FROM imps",
     "secrets": "SELECT project_id, path, secret FROM sec",
     "triggers": """SELECT t.project_id, t.path, CAST(t.pos AS BIGINT) AS pos, t.type, t.detail, s.is_entry_point
@@ -750,6 +857,7 @@ def importance_ctes() -> list[tuple[str, str]]:
     ]
 
 
+SELECTS["syntax_facts"] = fact_select()
 SELECTS["project_secrets"] = "SELECT DISTINCT project_id, secret FROM sec"
 SELECTS["project_entry_points"] = "SELECT project_id, path FROM scripts WHERE is_entry_point"
 SELECTS["scorecard"] = f"""SELECT r.project_id, r.path, r.rank, r.is_key, r.score, h.score AS health, h.color, h.n_findings

@@ -41,9 +41,10 @@ def _join(c, sep="|"):
 # ---------------------------------------------------------------- B: extraction
 
 def syntax_facts(spark, sf_dir):
-    a = _an(spark, sf_dir)
-    return (a.facts.where(F.col("kind").isin("if", "for", "while", "try", "listcomp"))
-            .select("project_id", "path", "kind", *_long("line", "depth"), "func_name"))
+    """All kinds, all columns but the visit orders (which the steps depend on)."""
+    f = _an(spark, sf_dir).facts
+    return f.select("project_id", "path", "kind", *_long("line", "end_line", "value_line", "depth"), "func_name", "obj", "method", "name", "chain",
+                    "arg0_str", "open_mode", "text", "text2", _join(F.col("names")).alias("names"), "flag")
 
 
 def imports_split(spark, sf_dir):

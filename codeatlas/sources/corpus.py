@@ -135,6 +135,11 @@ TEMPLATES = (
     ("logging.error('failed')", None, [("output", "logging.error()", None, None, "", "")], [], [], []),
     ("logger.warning('slow')", None, [("output", "logger.warning()", None, None, "", "")], [], [], []),
     ("log.debug('x')", None, [("output", "log.debug()", None, None, "", "")], [], [], []),
+    ("uniq = {k.lower() for k in names}", None,
+     [("transform", "set comprehension: {k.lower() for ...}", None, None, "", "uniq"),
+      ("transform", ".lower()", None, None, "", "uniq")], [], [], []),
+    ("index = {k: v for k, v in pairs_{m}}", None,
+     [("transform", "dict comprehension: {k: v for ...}", None, None, "", "index")], [], [], []),
 )
 N_TEMPLATES = len(TEMPLATES)
 # Template index whose line also carries a launch step (an api_call naming a
