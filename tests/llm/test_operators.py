@@ -287,6 +287,17 @@ def test_near_duplicates_edges(spark, docs, empty):
     assert near_duplicates(empty).count() == 0 and drop_near(empty).count() == 0
 
 
+def test_drop_near_keeps_unlike_texts_of_one_id(spark):
+    from codeatlas.llm.near_dedup import drop_near
+    texts = [words(40, 100 * k) for k in range(5)]
+    rows = list(zip((1, 1, 2, 2, 3), texts)) + [(4, texts[1]), (3, texts[4]), (None, texts[0]), (5, texts[2] + " more"), (0, texts[3])]
+    df = spark.createDataFrame([(i, t, n, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, nth int, id int")
+    left = drop_near(df)
+    assert left.columns == df.columns
+    # of each group the smallest id stays; the null id stays; unlike texts of one id all stay
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2]), (0, texts[3]), (3, texts[4]), (None, texts[0])], key=str)
+
+
 def test_densified_signature_keeps_similarity():
     from codeatlas.llm.common import mixed
     from codeatlas.llm.near_dedup import BINS, band_keys, signature
@@ -301,6 +312,45 @@ def test_densified_signature_keeps_similarity():
 
 # ------------------------------------------------------------------ top-k
 
+def brute_top_k(rows, k=20):
+    """Of every row whose id is divisible by 20, its best other rows."""
+    out = []
+    for n, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y)), v) for m, (v, y) in enumerate(rows) if m != n)[:k]
+            out += [(q, rank, v, -s) for rank, (s, v) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def test_top_k_keeps_rows_that_repeat_an_id(spark, monkeypatch):
+    from codeatlas.llm import topk
+    rows = [(20, [1.0, 0.0]), (7, [0.1, 0.0]), (7, [5.0, 0.0]), (8, [1.0, 1.0]), (40, [2.0, 1.0]), (40, [-2.0, 1.0])] + [(100 + i, [i / 9 - 1, 1 - i / 7]) for i in range(30)]
+    whole = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == brute_top_k(whole)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 1)
+    assert sorted(tuple(r) for r in topk.top_k(df, k=3).collect()) == brute_top_k(whole, 3)
+
+
+def test_top_k_resolves_few_entries():
+    """Full sums are made for gathered and collected entries, not for all."""
+    from codeatlas.llm import topk
+    rng = np.random.default_rng(2)
+    x = rng.integers(-64, 64, (4000, 16))
+    x[:40] *= 6
+    own, nth = np.arange(20), np.arange(4000)
+    full = x[:20] @ x.T
+    full[own, own] = topk.NEVER
+    gathered = dict(topk.gather(own, x[:20], nth, nth, x, None, 5))
+    cutoff = np.array([np.sort(s)[-5] for _, s in gathered.values()])
+    collected = dict(topk.collect_and_resolve(own, x[:20], nth, nth, x, cutoff, 5))
+    assert sum(len(v) for v, _ in gathered.values()) <= 2 * 5 * 20
+    for i in range(20):
+        assert sorted(collected[i][1])[-5:] == sorted(full[i])[-5:]
+    assert sum(len(v) for v, _ in collected.values()) < 20 * 4000 / 10
+    assert len(topk.reachable(x[:20], x[40:], np.full(20, 10**6))) == 0
+
+
 def test_top_k(spark):
     from codeatlas.llm.topk import top_k
     rng = np.random.default_rng(4)
@@ -308,12 +358,8 @@ def test_top_k(spark):
     rows += [(200 + i, [0.5] * 16, 1) for i in range(30)] + [(300, None, 1), (301, [None] * 16, 1), (302, [float("nan")] * 16, 1), (303, [float("inf")] * 16, 1)]
     rows += [(None, [0.1] * 16, 1), (40, rows[40][1], 0), (304, [0.25] * 5, 0)]
     got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).collect()
-    ok = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in ok if i % 20 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ok[q], ok[v])), v) for v in ok if v != q)[:20]
-        want |= {(q, k, v, -s) for k, (s, v) in enumerate(scored, 1)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    ok = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    assert sorted(tuple(r) for r in got) == brute_top_k(ok)
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
