@@ -29,7 +29,8 @@ A pair with similarity 0.8 escapes all BANDS buckets with probability
 
 Defined cases: a null, empty or blank text has no shingles, is linked with
 nothing and is kept; a row with a null id is linked with nothing, its component
-is null and it is kept; rows with equal ids are one document; an empty table
+is null and it is kept; rows with equal ids are one document (``drop_near`` takes
+them as rows of their own); an empty table
 gives no rows; other columns are ignored (``drop_near`` carries them along).
 """
 
@@ -314,15 +315,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
 
 def drop_near(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, all columns kept."""
-    found = near_duplicates(docs, shingle_words, percent).where("doc_id is not null")
-    ids = cut_table(found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "kept")
-    gone = ids.where("not kept").select("doc_id")
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    again = ids.where("kept and n > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    once = left.join(again, left["doc_id"].cast("long") == again["doc_id"], "left_anti")
-    twice = left.join(again, left["doc_id"].cast("long") == again["doc_id"], "left_semi")
-    return once.union(twice.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row"))
-                      .select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    """``docs`` with one row of each near-duplicate group, all columns kept: the
+    one with the smallest id. A row goes only if it is linked with the kept one.
+    Rows that repeat an id are rows of their own: where there are any, groups are
+    found over row numbers. Rows with a null id all stay."""
+    ident = F.col("doc_id").cast("long")
+    if docs.where("doc_id is not null").groupBy(ident.alias("doc_id")).count().where("count > 1").isEmpty():
+        gone = cut_table(near_duplicates(docs, shingle_words, percent).where("not kept").select("doc_id"), "gone")
+        return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    # the columns travel as one struct, so that none can clash
+    rows = cut_table(docs.select(F.monotonically_increasing_id().alias("nth"), ident.alias("id"), "text", F.struct(*docs.columns).alias("row")), "numbered_docs")
+    found = near_duplicates(rows.select(F.when(F.col("id").isNotNull(), F.col("nth")).alias("doc_id"), "text"), shingle_words, percent)
+    named = cut_table(found.where("doc_id is not null").select(F.col("doc_id").alias("nth"), "component_id").join(rows.select("nth", "id"), "nth"), "near_rows")
+    stay = named.groupBy("component_id").agg(F.min(F.struct("id", "nth")).alias("first"))
+    gone = cut_table(named.join(stay, "component_id").where("nth <> first.nth").select("nth"), "gone")
+    return rows.join(gone, "nth", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
