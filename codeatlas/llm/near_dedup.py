@@ -43,13 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import bounded_batches, mixed, shingle_set, text_chunks, words
+from codeatlas.llm.common import bounded_batches, mixed, released, shingle_set, text_chunks, words
 from codeatlas.session import cut_table
 
 BINS, BANDS, ROWS = 256, 42, 6
 SMALL = 32        # buckets up to this size are settled pair by pair
 MAX_ROUNDS = 12   # star rounds, if links keep appearing
 ORDERED = 1 << 20  # commonest shingles that prefixes put last; the others come first, by hash
+RUN_BYTES = 1 << 18  # text that a task holds as numpy arrays (about 60 bytes a byte) at a time
 _PROBES = np.random.default_rng(4).integers(0, BINS, (4096, BINS))
 _STEPS = ((0, 8), (8, 64), (64, 512), (512, 4096))
 
@@ -90,7 +91,7 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for lo, data, offsets in text_chunks(batch.column(1)):
+            for lo, data, offsets in text_chunks(batch.column(1), RUN_BYTES):
                 hashes, at = words(data, offsets, fold_case=True)
                 n = len(offsets) - 1
                 size, fp = np.zeros(n, np.int64), np.zeros((2, n), np.uint64)
@@ -107,7 +108,7 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
                     [batch.column(0).slice(lo, n), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), pa.array(size), pa.array(bands, pa.list_(pa.int64()))],
                     ["doc_id", "fp1", "fp2", "n_shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp1 long, fp2 long, n_shingles long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, fp1 long, fp2 long, n_shingles long, bands array<long>")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -117,7 +118,7 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
         held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
 
         def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for _, data, offsets in text_chunks(column):
+            for _, data, offsets in text_chunks(column, RUN_BYTES):
                 hashes, at = words(data, offsets, fold_case=True)
                 for i in range(len(offsets) - 1):
                     yield shingle_set(hashes[at[i]:at[i + 1]], shingle_words)
@@ -135,7 +136,7 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int
 
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"))
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a long, b long")
 
 
 def shingle_counts(texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -143,16 +144,16 @@ def shingle_counts(texts: DataFrame, shingle_words: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for _, data, offsets in text_chunks(batch.column(0)):
+            for _, data, offsets in text_chunks(batch.column(0), RUN_BYTES):
                 hashes, at = words(data, offsets, fold_case=True)
                 found, n = np.unique(np.concatenate([shingle_set(hashes[at[i]:at[i + 1]], shingle_words) for i in range(len(offsets) - 1)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "df"])
 
-    return texts.select("text").mapInArrow(run, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where("df > 1")
+    return texts.select("text").mapInArrow(released(run), "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where("df > 1")
 
 
 def prefixes(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """id, component, n, shingle, place: the first shingles of each set (id,
+    """id, component, n, shingle, place (written): the first shingles of each set (id,
     component, text), rare ones first, of which two similar sets share one. The
     order decides the cost only, so it may know the ORDERED commonest alone;
     if these are all that repeat, the others need no row."""
@@ -165,7 +166,7 @@ def prefixes(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, df = order.value
         for batch in it:
-            for lo, data, offsets in text_chunks(batch.column(2)):
+            for lo, data, offsets in text_chunks(batch.column(2), RUN_BYTES):
                 hashes, at = words(data, offsets, fold_case=True)
                 rows, sizes, found, places = [], [], [], []
                 for i in range(len(offsets) - 1):
@@ -185,7 +186,9 @@ def prefixes(texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))],
                                                      ["id", "component", "n", "shingle", "place"])
 
-    return texts.select("id", "component", "text").mapInArrow(run, "id long, component long, n long, shingle long, place long")
+    made = cut_table(texts.select("id", "component", "text").mapInArrow(released(run), "id long, component long, n long, shingle long, place long"), "prefixes")
+    order.destroy()
+    return made
 
 
 def prefix_pairs(first: DataFrame, percent: int) -> DataFrame:
@@ -306,7 +309,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
           .select(F.col("id").alias("a"), "b"))
     large = cut_table(apart().where(F.col("size") > SMALL).select("id", "component").distinct(), "large")
     if not large.isEmpty():
-        merge(prefix_pairs(cut_table(prefixes(cut_table(texts.join(large, "id"), "large_texts"), shingle_words, percent), "prefixes"), percent))
+        merge(prefix_pairs(prefixes(cut_table(texts.join(large, "id"), "large_texts"), shingle_words, percent), percent))
 
     final = cut_table(sets.join(label, "id", "left").select("fp1", "fp2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")), "components")
     return (sigs.select("doc_id", "fp1", "fp2", "n_shingles").join(final, ["fp1", "fp2", "n_shingles"], "left")
