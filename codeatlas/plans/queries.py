@@ -194,21 +194,36 @@ def top_types(spark, sf_dir):
     return P.first_types(_an(spark, sf_dir).steps).select("project_id", "path", *_long("rank"), "type", "short")
 
 
+def _kept(a: Analysis, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the analysis that several queries read, written once."""
+    if name not in a.__dict__:
+        a.__dict__[name] = cut_table(made(), name, tables=a.tables)
+    return a.__dict__[name]
+
+
 def _responses(a: Analysis) -> DataFrame:
     """Replies to the phase prompts: from the conversations, for phases that
     scripts have."""
-    asked = L.with_phase(a.steps).select("project_id", "path", "phase").distinct()
-    return C.phase_replies(a.spark, a.sf_dir).join(asked, ["project_id", "path", "phase"], "left_semi")
+    def made() -> DataFrame:
+        asked = L.with_phase(a.steps).select("project_id", "path", "phase").distinct()
+        return C.phase_replies(a.spark, a.sf_dir).join(asked, ["project_id", "path", "phase"], "left_semi")
+    return _kept(a, "responses", made)
+
+
+def _parsed_responses(a: Analysis) -> DataFrame:
+    return _kept(a, "parsed_responses", lambda: I.parse_responses(_responses(a), a.steps))
 
 
 def _texts(a: Analysis) -> DataFrame:
     """Replies to script, data-flow and project prompts, of projects and scripts that exist."""
-    there = a.listing.select("project_id", "path").unionByName(a.listing.select("project_id", F.lit("").alias("path"))).distinct()
-    return I.reply_texts(C.summary_replies(a.spark, a.sf_dir)).join(there, ["project_id", "path"], "left_semi")
+    def made() -> DataFrame:
+        there = a.listing.select("project_id", "path").unionByName(a.listing.select("project_id", F.lit("").alias("path"))).distinct()
+        return I.reply_texts(C.summary_replies(a.spark, a.sf_dir)).join(there, ["project_id", "path"], "left_semi")
+    return _kept(a, "reply_texts", made)
 
 
 def _merged(a: Analysis) -> DataFrame:
-    return I.merge_responses(I.parse_responses(_responses(a), a.steps))
+    return I.merge_responses(_parsed_responses(a))
 
 
 def _fields(a: Analysis) -> DataFrame:
@@ -343,7 +358,7 @@ def prompt_phase(spark, sf_dir):
 
 def responses_parsed(spark, sf_dir):
     a = _an(spark, sf_dir)
-    p = I.parse_responses(_responses(a), a.steps)
+    p = _parsed_responses(a)
     return p.select("project_id", "path", "phase", "kind",
                     F.coalesce(F.col("line").cast("long"), F.lit(-1).cast("long")).alias("line"), "text")
 

@@ -12,6 +12,13 @@ def spark():
     s = (SparkSession.builder.master("local[*]").appName("codeatlas-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         # one session runs all tests: its history of jobs and plans must not fill the heap
+         .config("spark.driver.memory", "6g")
+         .config("spark.sql.ui.retainedExecutions", "5")
+         .config("spark.ui.retainedJobs", "50")
+         .config("spark.ui.retainedStages", "50")
+         .config("spark.ui.retainedTasks", "500")
+         .config("spark.sql.maxPlanStringLength", "20000")
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
