@@ -10,6 +10,7 @@ a lost executor costs tasks of one stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeatlas.llm.common import table
 from codeatlas.llm.mixing import mix
@@ -21,22 +22,30 @@ from codeatlas.session import cut_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality cascade; rejected ones go."""
     return keep_good(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold; toxic ones go. Learned from the labels of ``sf_dir``."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
     return drop_near(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs).select(*docs.columns)
+    """Documents repeated or left out to the target weights of their sources, shuffled; the columns
+    of ``docs`` alone, whatever their names."""
+    # the document travels as one struct, so that a column named like one of the operator's stays as it is
+    held = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("document"))
+    return mix(held).select(*[F.col("document")[c].alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2,048 tokens."""
     return pack(docs)
 
 
