@@ -6,18 +6,24 @@ or repeated and each token holds a text slot. Inference folds the tandem repeats
 of a page, then aligns the wrapper so far with the next page of the host: equal
 tokens join (their slot becomes variable where texts differ), a repeated and a
 single group join to a repeated one, and what only one side has becomes
-optional. A finished wrapper says for each slot whether it is main content:
-inside the article if the host's pages have one; otherwise outside boilerplate
-elements, with text that varies and is not all links.
-
-Every page of the host is then aligned with the wrapper and gives the text of
-its content slots in page order; blocks that no sample page had are judged by
-their path alone.
-
-Wrappers are learned from at most SAMPLE pages a host (smallest id hashes), kept
-before the shuffle, so a hot host sends a few pages a task. Wrappers are
+optional. The order of a host's slots is learned from SAMPLE distinct pages.
+
+Every page is then aligned with its host's wrapper: equal groups first (a folded
+repeat of the page meets a repeated group), and between them the single tokens
+of what is left, so that each block gets a slot, or its path where the wrapper
+has none. On a page with an article element the slots inside it are the main
+text. On a page without one they are the slots outside boilerplate elements that
+are not mostly links, less the texts that are template: a text is template where
+it stands in the same slot of at least MIN_CONSTANT distinct pages without an
+article, and of half of those that have the slot. This is counted over all
+distinct pages of the host, by (host, slot, text hash, page hash).
+
+Pages are parsed once; blocks of pages without an article are written and judged
+by DataFrame functions. A host's template texts are at most twice the blocks of
+its mean page, as each takes half of the pages. Wrappers and template texts are
 broadcast while their checked size is at most BROADCAST_BYTES; beyond that pages
-meet them in a shuffled join whose hot hosts AQE splits.
+meet them in a shuffled join whose hot hosts AQE splits. Of equal pages one
+counts, so copies sway neither the wrapper nor the template.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of
 its own; null and equal page ids are pages like others; an empty table gives no
@@ -26,9 +32,11 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +51,7 @@ SAMPLE = 12
 BROADCAST_BYTES = 32 << 20
 MAX_PERIOD = 6       # longest group that is folded to a repeat
 MIN_CONSTANT = 3     # pages that must agree before a text counts as template
+DEPTH = 6            # elements that a path names; a checksum stands for those above
 
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -73,27 +82,28 @@ class Block:
     main: bool     # inside an article or main element
 
 
-def _element(name: str, attrs: str, in_article: bool) -> tuple[str, bool]:
-    """Path name of a block element and whether it is boilerplate."""
+def _element(name: str, attrs: str, in_article: bool) -> tuple[str, bool, bool]:
+    """Path name of a block element, whether it is boilerplate, whether an article."""
     marks: list[str] = []
-    hidden = False
+    hidden, article = False, name in ARTICLES
     for key, *values in _ATTR.findall(attrs) if attrs.strip() else ():
         value = next((v for v in values if v), "")
         if key.lower() in ("class", "id", "role"):
             marks += value.lower().split()
+        article = article or key.lower() == "role" and value.lower().strip() == "main"
         hidden = hidden or key.lower() == "hidden" or key.lower() == "aria-hidden" and value.lower() == "true"
     parts = [re.split(r"[-_]+", m) for m in marks]
     named = [p for p in parts if p[0] in BOILERPLATE_WORDS or p[-1] in BOILERPLATE_WORDS and p[0] not in NEGATIONS]
     bad = name in BOILERPLATE or hidden or name == "header" and not in_article or "header" in marks and not in_article
     if named and name not in ("html", "body", "article", "main"):
         bad = True
-    return name + "".join("." + re.sub(r"\d+", "0", m) for m in marks[:2]), bad
+    return name + "".join("." + re.sub(r"\d+", "0", m) for m in marks) + ".hidden" * hidden, bad, article
 
 
 def parse(page: str) -> list[Block]:
     """Text blocks of a page in order; tolerates unclosed and stray tags."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path name, drop, main
+    stack: list[tuple[str, str, bool, bool, int]] = []  # name, path name, drop, main, checksum of the path
     text: list[str] = []
     linked, links = 0, 0
 
@@ -102,8 +112,9 @@ def parse(page: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         if joined:
             drop, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-            path = [s[1] for s in stack if s[0] not in ("html", "body")]
-            blocks.append(Block("/".join(path[-6:]), joined, min(1.0, linked / len(joined)), drop, main))
+            path = [s for s in stack if s[0] not in ("html", "body")]
+            above = f"{path[-1 - DEPTH][4]:08x}/" if len(path) > DEPTH else ""
+            blocks.append(Block(above + "/".join(s[1] for s in path[-DEPTH:]), joined, min(1.0, linked / len(joined)), drop, main))
         text.clear()
         linked = 0
 
@@ -151,8 +162,8 @@ def parse(page: str) -> list[Block]:
                     if name != "tr":
                         break
         drop, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        path, bad = _element(name, tag[3], main)
-        stack.append((name, path, drop or bad, main or name in ARTICLES or "role.main" in path))
+        path, bad, article = _element(name, tag[3], main)
+        stack.append((name, path, drop or bad, main or article, zlib.crc32(path.encode("utf-8", "surrogatepass"), stack[-1][4] if stack else 0)))
         if name in RAW:
             end = _RAW_END[name].search(page, at)
             stack.pop()
@@ -173,6 +184,7 @@ class Node:
     linked: float = 0.0
     drop: bool = False
     main: bool = False
+    at: list[int] = field(default_factory=list)  # its blocks of the page
 
     def shape(self) -> str:
         return self.key if not self.parts else "(" + " ".join(p.shape() for p in self.parts) + ")"
@@ -223,6 +235,8 @@ def absorb(into: Node, other: Node, same_page: bool = False) -> None:
     into.seen = max(into.seen, other.seen) if same_page else into.seen + other.seen
     into.drop |= other.drop
     into.main |= other.main
+    if same_page:
+        into.at += other.at
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -260,7 +274,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def tokens(blocks: list[Block]) -> list[Node]:
-    return [Node(b.key, text=b.text, seen=1, linked=b.linked, drop=b.drop, main=b.main) for b in blocks]
+    return [Node(b.key, text=b.text, seen=1, linked=b.linked, drop=b.drop, main=b.main, at=[i]) for i, b in enumerate(blocks)]
 
 
 def infer(pages: list[list[Block]]) -> list[Node]:
@@ -293,53 +307,67 @@ def expression(wrapper: list[Node]) -> str:
     return " ".join(map(one, wrapper))
 
 
-def content(wrapper: list[Node], pages: int) -> dict[str, bool]:
-    """Whether each token's slot is main content (all slots of one path agree:
-    content if any of them is)."""
+def compiled(pages: list[str]) -> str:
+    """A host's wrapper as JSON: shapes of its nodes in order, the slots of each
+    node, and of each slot its path and whether it is main text on a page with an
+    article (``main``) and on one without (``plain``)."""
+    wrapper = infer([p for p in map(parse, pages) if p])
     leaves = [leaf for node in wrapper for leaf in node.leaves()]
-    article = any(leaf.main and not leaf.drop for leaf in leaves)
-    found: dict[str, bool] = {}
-    for leaf in leaves:
-        good = not leaf.drop
-        if article:
-            good &= leaf.main
-        else:
-            template = pages >= MIN_CONSTANT and leaf.text is not None and leaf.seen >= MIN_CONSTANT
-            good &= not template and leaf.linked < 0.5
-        found[leaf.key] = found.get(leaf.key, False) or good
+    slots, n = [], 0
+    for node in wrapper:
+        size = sum(1 for _ in node.leaves())
+        slots.append(list(range(n, n + size)))
+        n += size
+    return json.dumps({"shapes": [node.shape() for node in wrapper], "expression": expression(wrapper), "slots": slots,
+                       "paths": [leaf.key for leaf in leaves], "main": [leaf.main and not leaf.drop for leaf in leaves],
+                       "plain": [not leaf.drop and leaf.linked < 0.5 for leaf in leaves]}, sort_keys=True)
+
+
+def placed(blocks: list[Block], wrapper: dict | None) -> list[int | None]:
+    """Slot of each block: of equal groups first, then of the single tokens that
+    lie between them; None where the wrapper has no place for it."""
+    found: list[int | None] = [None] * len(blocks)
+    if not wrapper:
+        return found
+
+    def give(slots: list[int], leaves: list[Node]) -> None:
+        for slot, leaf in zip(slots, leaves):
+            for i in leaf.at:
+                found[i] = slot
+
+    page = fold_repeats(tokens(blocks))
+    x0 = y0 = 0
+    for x, y in [*align(wrapper["shapes"], [n.shape() for n in page]), (len(wrapper["shapes"]), len(page))]:
+        lone = [slot for slots in wrapper["slots"][x0:x] for slot in slots]
+        left = [leaf for n in page[y0:y] for leaf in n.leaves()]
+        pairs = align([wrapper["paths"][slot] for slot in lone], [leaf.key for leaf in left]) if lone and left else []
+        give([lone[a] for a, _ in pairs], [left[b] for _, b in pairs])
+        if y < len(page):
+            give(wrapper["slots"][x], list(page[y].leaves()))
+        x0, y0 = x + 1, y + 1
     return found
 
 
-def compiled(pages: list[str]) -> str:
-    """A host's wrapper as JSON: shapes in order, content of each token, whether
-    the host has articles."""
-    parsed = [parse(p) for p in pages]
-    wrapper = infer([p for p in parsed if p])
-    marks = content(wrapper, len(parsed))
-    return json.dumps({"shapes": [n.shape() for n in wrapper], "expression": expression(wrapper), "content": marks,
-                       "article": any(leaf.main and not leaf.drop for n in wrapper for leaf in n.leaves())}, sort_keys=True)
-
-
-def extract(page: str | None, wrapper: dict | None) -> str:
-    """Main text of a page: the content slots that the aligned wrapper names."""
+def judged(page: str | None, wrapper: dict | None) -> tuple[bool, list[tuple[str, str]]]:
+    """Whether the page has an article, and (slot, text) of its blocks that are
+    main text by their slots, in page order."""
     blocks = parse(page or "")
     article = any(b.main and not b.drop for b in blocks)
-    nodes = fold_repeats([Node(b.key, text=str(i)) for i, b in enumerate(blocks)])
-    known: set[str] = set()
-    if wrapper:
-        matched = {j for _, j in align(wrapper["shapes"], [n.shape() for n in nodes])}
-        known = {leaf.key for j, n in enumerate(nodes) if j in matched for leaf in n.leaves()} | (wrapper["content"].keys() if wrapper["article"] == article else set())
     out = []
-    for b in blocks:
-        if b.drop:
-            continue
-        if b.key in known and wrapper["article"] == article:
-            good = wrapper["content"][b.key] if b.key in wrapper["content"] else b.main or not article
+    for b, slot in zip(blocks, placed(blocks, wrapper)):
+        if slot is not None:
+            good = wrapper["main" if article else "plain"][slot] and not b.drop
         else:
-            good = b.main if article else b.linked < 0.5
+            good = not b.drop and (b.main if article else b.linked < 0.5)
         if good:
-            out.append(b.text)
-    return " ".join(out)
+            out.append((f"~{b.key}" if slot is None else str(slot), b.text))
+    return article, out
+
+
+def extract(page: str | None, wrapper: dict | None, template: frozenset[tuple[str, str]] = frozenset()) -> str:
+    """Main text of a page; ``template``: its host's template texts as (slot, text)."""
+    article, found = judged(page, wrapper)
+    return " ".join(text for slot, text in found if article or (slot, text) not in template)
 
 
 def host(url: str) -> Column:
@@ -347,13 +375,30 @@ def host(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _number(*parts: str) -> int:
+    """64 bits of a hash over the parts, as a signed long."""
+    made = hashlib.blake2b(digest_size=8)
+    for part in parts:
+        data = part.encode("utf-8", "surrogatepass")
+        made.update(len(data).to_bytes(8, "little") + data)
+    return int.from_bytes(made.digest(), "little", signed=True)
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df``, broadcast if its columns hold at most BROADCAST_BYTES."""
+    size = df.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in df.columns), F.lit(16)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(w_host, wrapper) for every host. The rank limit keeps ``sample`` pages a
-    host and task before the shuffle, and ``sample`` a host after it."""
-    keyed = pages.select(host("url").alias("host"), "html", F.xxhash64("page_id", "url").alias("h"), F.md5(F.coalesce("html", F.lit(""))).alias("t"))
-    order = Window.partitionBy("host").orderBy("h", "t")
-    few = keyed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("host", "rank", "html")
-    lists = few.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", F.coalesce("html", F.lit("")).alias("html")))).alias("pages"))  # at most ``sample``
+    """(w_host, wrapper) for every host, from ``sample`` distinct pages: those
+    with the smallest hashes, which are chosen before any page is moved; equal
+    pages become one in the tasks that read them."""
+    keyed = pages.select(host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("page", F.md5("html"))
+    order = Window.partitionBy("host").orderBy("page")
+    few = cut_table(keyed.select("host", "page").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample), "wrapper_pages")
+    chosen = keyed.join(_bounded(few), ["host", "page"]).groupBy("host", "rank").agg(F.first("html").alias("html"))
+    lists = chosen.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "html"))).alias("pages"))  # at most ``sample``
 
     def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -364,25 +409,44 @@ def infer_wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return lists.mapInArrow(learn, "w_host string, wrapper string")
 
 
+def template_texts(blocks: DataFrame) -> DataFrame:
+    """(t_host, template) from rows (host, page, blocks): the hashes of each
+    host's template texts, at most two for each block of a mean page."""
+    one = blocks.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", "b.slot", "b.hash")
+    texts = one.distinct().groupBy("host", "slot", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CONSTANT)
+    slots = one.select("host", "slot", "page").distinct().groupBy("host", "slot").agg(F.count("*").alias("pages"))
+    return (texts.join(slots, ["host", "slot"]).where(2 * F.col("n") >= F.col("pages"))
+            .groupBy(F.col("host").alias("t_host")).agg(F.collect_set("hash").alias("template")))
+
+
 def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
     bounded_batches(pages)
     wrappers = cut_table(infer_wrappers(pages, sample), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("w_host"))).first()[0] or 0
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"))
-    met = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, F.col("host") == F.col("w_host"), "left")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"), F.md5(F.coalesce("html", F.lit(""))).alias("page"))
+    met = rows.join(_bounded(wrappers), F.col("host") == F.col("w_host"), "left")
+    block = pa.list_(pa.struct([("slot", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, dict] = {}
         for batch in it:
-            texts = []
-            for page, spec in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            texts: list[str | None] = []
+            blocks: list[list[dict] | None] = []
+            for page, spec in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 if spec is not None and spec not in made:
                     if len(made) > 1000:
                         made.clear()
                     made[spec] = json.loads(spec)
-                texts.append(extract(page, made.get(spec)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    return (met.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string")
+                article, found = judged(page, made.get(spec))
+                texts.append(" ".join(text for _, text in found) if article else None)
+                blocks.append(None if article else [{"slot": _number(slot), "hash": _number(slot, text), "text": text} for slot, text in found])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string()), pa.array(blocks, block)],
+                                             ["page_id", "url", "host", "page", "text", "blocks"])
+
+    kind = "page_id long, url string, host string, page string, text string, blocks array<struct<slot: long, hash: long, text: string>>"
+    parsed = cut_table(met.select("page_id", "url", "host", "page", "html", "wrapper").mapInArrow(run, kind), "page_blocks")
+    template = cut_table(template_texts(parsed.where("blocks is not null")), "page_template")
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", b["hash"]), F.lit(False)))
+    text = F.coalesce("text", F.array_join(F.transform(kept, lambda b: b["text"]), " "))
+    return (parsed.join(_bounded(template), F.col("host") == F.col("t_host"), "left").select("page_id", "url", text.alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))

@@ -1,6 +1,7 @@
 """The training-data operators against brute-force versions, SQL and edge cases."""
 
 import collections
+import hashlib
 import json
 import re
 import uuid
@@ -547,11 +548,69 @@ def test_wrapper_expression():
     from codeatlas.llm import wrappers as W
     pages = ["<body><h1>a</h1><ul><li>x<li>y</ul><p>same", "<body><h1>b</h1><div class=ad>z</div><ul><li>x</ul><p>same", "<body><h1>c</h1><ul><li>q<li>y</ul><p>same"]
     spec = json.loads(W.compiled(pages))
-    assert spec["expression"] == "<h1># <div.ad>=? <ul/li>#+ <p>=" and spec["content"] == {"h1": True, "div.ad": False, "ul/li": True, "p": False}
+    assert spec["expression"] == "<h1># <div.ad>=? <ul/li>#+ <p>="
+    assert dict(zip(spec["paths"], spec["plain"])) == {"h1": True, "div.ad": False, "ul/li": True, "p": True} and not any(spec["main"])
     nested = W.fold_repeats(W.tokens(W.parse("<body>" + "<h2>t</h2><p>u</p><p>v</p>" * 3)))
     assert W.expression(nested) == "(<h2>= <p>#+)+"
 
 
+def test_slots_decide_and_templates_are_counted_over_all_pages(spark):
+    """Against brute force: a constant notice at the path of the body's
+    paragraphs goes, whatever its slot is called; equal pages count once."""
+    from codeatlas.llm import wrappers as W
+    page = "<body><div><p>Subscribe to our weekly letter</p><p>{n} first</p><p>{n} second</p></div><ul><li>{n} <a href=x>one</a></ul>"
+    rows = [(i, "http://one.example/", page.replace("{n}", f"body {i}")) for i in range(20)]
+    # a second page type, rarer than the pages that a wrapper is learned from
+    other = "<body><h2>Our terms apply</h2><section><p>{n} only</p></section>"
+    rows += [(100 + i, "http://one.example/", other.replace("{n}", f"text {i}")) for i in range(3)]
+    rows += [(200 + i, "http://copies.example/", "<body><p>the same page") for i in range(9)] + [(300, "http://copies.example/", "<body><p>another")]
+    rows += [(400 + i, "http://mixed.example/", f"<body><p>menu</p><div role=main><p>main {i}</p></div>") for i in range(4)]
+    rows += [(500 + i, "http://mixed.example/", f"<body><p>menu</p><p>plain {i}</p>") for i in range(4)]
+    got = {r.page_id: r.text for r in W.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i in range(20):
+        assert got[i] == f"body {i} first body {i} second body {i} one"
+    assert [got[100 + i] for i in range(3)] == [f"text {i} only" for i in range(3)]
+    assert got[200] == "the same page" and got[300] == "another"
+    assert all(got[400 + i] == f"main {i}" and got[500 + i] == f"plain {i}" for i in range(4))
+
+    # brute force: slots from the same wrappers, templates by counting sets of pages
+    by_host = collections.defaultdict(set)
+    for _, url, html in rows:
+        by_host[url].add(html)
+    for url, pages in by_host.items():
+        few = sorted(pages, key=lambda h: hashlib.md5(h.encode()).hexdigest())[:W.SAMPLE]
+        wrapper = json.loads(W.compiled(few))
+        texts, slots = collections.defaultdict(set), collections.defaultdict(set)
+        for html in pages:
+            article, found = W.judged(html, wrapper)
+            for slot, text in [] if article else found:
+                texts[slot, text].add(html)
+                slots[slot].add(html)
+        template = frozenset(k for k, v in texts.items() if len(v) >= W.MIN_CONSTANT and 2 * len(v) >= len(slots[k[0]]))
+        for n, u, html in rows:
+            if u == url:
+                assert got[n] == W.extract(html, wrapper, template)
+
+
+def test_slots_come_from_the_alignment():
+    """The verdict follows the slot that a block aligned with: two slots of one
+    path differ, a lone token of a repeated group finds its slot, and without
+    the wrapper's shapes the result changes."""
+    from codeatlas.llm import wrappers as W
+    link = "<div><a href=x>read {n}</a></div>"
+    pages = [("<body>" + link + "<h1>t {n}</h1><div>lead {n}</div>" + "<h3>q {n}</h3><p>a {n}</p>" * 2).replace("{n}", str(i)) for i in range(4)]
+    wrapper = json.loads(W.compiled(pages))
+    assert wrapper["paths"] == ["div", "h1", "div", "h3", "p"] and wrapper["plain"] == [False, True, True, True, True]
+    new = "<body><div>read me</div><h1>t</h1><div><a href=x>lead</a></div><h3>q</h3><p>a</p>"
+    assert W.placed(W.parse(new), wrapper) == [0, 1, 2, 3, 4]
+    assert W.extract(new, wrapper) == "t lead q a"
+    assert W.extract(new, {**wrapper, "shapes": [], "slots": []}) == "read me t q a"
+    deep = "<div>" * 9 + "x"
+    assert W.parse("<section>" + deep)[0].key != W.parse("<p class=a></p><ul><li>" + deep)[0].key
+    assert W.parse("<div>" * 20000 + "x")[0].text == "x"
+
+
 # ------------------------------------------------------------------ registration, SQL, pipeline
 
 def test_sql(spark):
