@@ -12,10 +12,10 @@ ends a phrase for every language alike). Nothing is shuffled in scoring.
 
 Text is lower-cased; letters are symbols, everything else between letters is one
 separator. Bounds (documented parameters): excerpts of at most DOCS_PER_LANG
-labelled documents a language; TOTAL_SYMBOLS symbols shared evenly by up to
-FULL_LANGS languages, and as much each as these would get with more of them.
-Every language is learned: where the table would pass TOTAL_SYMBOLS, languages
-are parsed in groups, one scan each, so a table is at most about 80 MB.
+labelled documents a language, SYMBOLS letters in all. A language's bound is its
+own: it learns from the same text whatever other values the column holds (only the
+alphabet is common to all). Every language is learned: where the table would pass TABLE_SYMBOLS, languages are parsed in
+groups, one scan each, so a table is at most about 150 MB.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
 so is every text if nothing can be learned; rows with a null id are predicted,
@@ -41,7 +41,7 @@ from codeatlas.session import cut_table
 ALPHABET = 61  # most frequent letters; the others share a symbol
 OTHER, PAD = 62, 63
 LANE = 256
-DOCS_PER_LANG, FULL_LANGS, TOTAL_SYMBOLS = 200, 64, 120_000
+DOCS_PER_LANG, SYMBOLS, TABLE_SYMBOLS = 200, 30_000, 240_000
 GROUP_CHARS = 1 << 20
 GROUP_LANGS = 256   # languages of a table
 UNKNOWN = "und"
@@ -168,24 +168,22 @@ def build(samples: dict[str, str], letters: str | None = None) -> Parser:
     return Parser(langs, letters, np.concatenate(parts).ravel(), np.array(roots, np.int32), np.array(costs))
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, full_langs: int = FULL_LANGS, total: int = TOTAL_SYMBOLS) -> list[tuple[dict[str, str], str]]:
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, share: int = SYMBOLS, total: int = TABLE_SYMBOLS) -> list[tuple[dict[str, str], str]]:
     """Learn from text and lang of documents whose crc32(doc_id) mod 5 is not 0:
     groups of languages' texts of at most ``total`` letters, with the alphabet
     that all groups share."""
     teach = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and doc_id is not null").where(fold("doc_id", 5) != 0)
-    langs = sorted(r["lang"] for r in teach.select("lang").distinct().collect())
-    if not langs:
-        return []
     # ids first: the rank limit works before the shuffle and no text is moved
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (teach.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
            .where(F.col("rank") <= docs_per_lang).select(F.col("doc_id").alias("t_id"), F.col("lang").alias("t_lang")).distinct())
-    share = total // min(len(langs), full_langs)
     take = max(40, 2 * share // docs_per_lang)
     text = F.coalesce("text", F.lit(""))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.char_length(text) - take)).cast("int") + 1
     rows = (teach.join(F.broadcast(ids), (F.col("doc_id") == F.col("t_id")) & (F.col("lang") == F.col("t_lang")))
             .select("lang", "doc_id", F.substr(text, start, F.lit(take)).alias("part")).toArrow().to_pylist())
+    if not rows:
+        return []
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["part"]))
     parts: dict[str, list[str]] = {}
     for r in rows:
