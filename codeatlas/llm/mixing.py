@@ -13,9 +13,10 @@ short and ``exp`` never underflows.
 
 Defined cases: a null or empty text weighs nothing and is repeated by its
 source's rate; null sources are one source; a source without characters or
-without target weight has rate 0; rows with equal ids draw the same count, a
-null id hashes as the word null; an empty table gives no rows; other columns
-are carried along (``copy``, ``shuffle_key`` must not be among them: they are
+without target weight has rate 0; rows whose id is null or repeated draw each on
+their own, by a digest of the whole row and, among equal rows, a number; a null
+id hashes as the word null; an empty table gives no rows; other columns are
+carried along (``copy``, ``shuffle_key`` must not be among them: they are
 replaced).
 """
 
@@ -29,6 +30,8 @@ from codeatlas.session import cut_table
 MAX_PART = 8.0    # largest mean that is inverted at once
 TABLE_ROWS = 64   # entries of its distribution: P(Poisson(8) >= 64) < 1e-30
 BROADCAST_SOURCES = 10_000
+BROADCAST_BYTES = 16 << 20  # of ids that several rows have
+NUMBERED = 1 << 16          # equal rows that are numbered at a time
 SEED = "mix-1"
 
 
@@ -62,14 +65,40 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float
     return parts.select(F.col("source").alias("r_source"), "parts", cdf.alias("cdf"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as (source, key, row), with a key of its own for every row: the
+    id where one row has it; else id, digest of the row and the row's number
+    among equal rows. Only the ids are shuffled, and rows that share one; equal
+    rows are counted where they are read, and made again after it."""
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # the input's columns travel as one struct, so that none can clash
+    rows = docs.select(F.col("source"), ident.alias("key"), F.struct(*docs.columns).alias("row"))
+    several = cut_table(docs.select(ident.alias("again")).groupBy("again").agg(F.count("*").alias("n")).where("n > 1").select("again"), "mix_again")
+    ids, size = several.agg(F.count("*"), F.sum(F.octet_length("again") + 16)).first()
+    if not ids:
+        return rows
+    several = F.broadcast(several) if size <= BROADCAST_BYTES else several
+    # a field is its length and its text, or 0 for null, so unlike rows have unlike digests
+    text = [F.col(f"row.`{c.replace('`', '``')}`").cast("string") for c in docs.columns]
+    digest = F.md5(F.concat(*[F.coalesce(F.concat(F.lit("1"), F.char_length(t).cast("string"), F.lit(":"), t), F.lit("0")) for t in text]))
+    same = F.col("key") == F.col("again")
+    alike = (rows.join(several, same, "left_semi").withColumn("digest", digest).groupBy("key", "digest")
+             .agg(F.first("source").alias("source"), F.first("row").alias("row"), F.count("*").alias("n")))
+    # many equal rows are numbered in blocks that are dealt over all tasks
+    blocks = cut_table(alike.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / NUMBERED))).alias("block"))
+                       .repartition("key", "digest", "block"), "mix_alike")
+    first = F.col("block") * NUMBERED + 1
+    numbered = blocks.select("source", "key", "digest", "row", F.explode(F.sequence(first, F.least(F.col("n"), first + NUMBERED - 1))).alias("nth"))
+    each = numbered.select("source", F.concat_ws(":", "key", "digest", F.col("nth").cast("string")).alias("key"), "row")
+    return rows.join(several, same, "left_anti").unionByName(each)
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, seed: str = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) repeated to the target weights, with
     ``copy`` (from 1) and ``shuffle_key``, dealt and sorted by the latter."""
     rates = cut_table(source_rates(docs.select("source", "text"), weights, alpha), "mix_rates")
     small = rates.count() <= BROADCAST_SOURCES  # beyond it, a shuffled join whose hot source AQE splits
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    # the input's columns travel as one struct, so that none can clash
-    rows = docs.select(F.col("source"), key.alias("key"), F.struct(*docs.columns).alias("row"))
+    rows = keyed(docs)
     chances = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: uniform(F.lit(seed), F.col("key"), k.cast("string")))
     n = F.aggregate(chances, F.lit(0), lambda a, u: a + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     drawn = rows.join(F.broadcast(rates) if small else rates, F.col("source").eqNullSafe(F.col("r_source"))).select("row", "key", n.alias("n")).where("n > 0")

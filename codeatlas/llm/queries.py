@@ -98,12 +98,17 @@ rated AS (SELECT source, (SELECT sum(chars) FROM target) * weight / (SELECT sum(
 parts AS (SELECT source, CAST(ceil(rate / 8.0) AS BIGINT) AS parts, rate / ceil(rate / 8.0) AS mean FROM rated WHERE rate > 0),
 cdf AS (SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
         FROM parts, range(64) AS r(k)),
-draws AS (SELECT d.*, row_number() OVER () AS rid, p.parts FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
-chances AS (SELECT rid, source, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+fields AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null') AS ident, count(*) OVER (PARTITION BY doc_id) AS same,
+                  md5(coalesce('1' || length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '0') || coalesce('1' || length(text) || ':' || text, '0')
+                      || coalesce('1' || length(lang) || ':' || lang, '0') || coalesce('1' || length(source) || ':' || source, '0')
+                      || coalesce('1' || length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '0')) AS digest FROM documents),
+keyed AS (SELECT *, CASE WHEN same = 1 THEN ident ELSE ident || ':' || digest || ':' || row_number() OVER (PARTITION BY doc_id, digest) END AS key FROM fields),
+draws AS (SELECT d.*, row_number() OVER () AS rid, p.parts FROM keyed d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source),
+chances AS (SELECT rid, source, CAST('0x' || substr(md5('mix-1:' || key || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
             FROM draws, range(1, 100000) AS r(j) WHERE j <= parts),
 counts AS (SELECT rid, sum((SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM chances.source AND cdf.c <= chances.u)) AS n FROM chances GROUP BY rid)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
-       md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy || ':order') AS shuffle_key
+       md5('mix-1:' || key || ':' || copy || ':order') AS shuffle_key
 FROM draws JOIN counts USING (rid), LATERAL (SELECT unnest(range(1, CAST(n AS BIGINT) + 1)) AS copy)
 """,
     "op4_near_dedup": """

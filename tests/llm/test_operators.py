@@ -380,6 +380,32 @@ def test_mixing(spark, docs, empty):
     assert abs(n["small"] / total - 0.9) < 0.02 and abs(total - 4000) < 300
 
 
+def test_mixing_draws_each_row_on_its_own(spark, monkeypatch):
+    """Null and repeated ids, equal rows among them: the rows of the registered
+    SQL, counts that differ, one shuffle key a copy."""
+    import duckdb
+    from codeatlas.llm import mixing
+    from codeatlas.llm.queries import ORACLE
+    rows = [(None, "equal", "en", "a", 5)] * 700 + [(None, f"text {i}", None, "a", i) for i in range(300)]
+    rows += [(7, f"seven {i % 40}", "en", "b", 7) for i in range(200)] + [(i, "é" * i, "en", None if i % 2 else "b", None) for i in range(100, 200)]
+    rows += [(8, None, "1", "a", 1), (8, "", "1", "a", 1), (8, "", "1", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    res = con.execute(ORACLE["op2_mixing"])
+    cols = [d[0] for d in res.description]
+    want = collections.Counter(res.fetchall())
+    monkeypatch.setattr(mixing, "NUMBERED", 64)
+    got = collections.Counter(map(tuple, mixing.mix(df).select(*cols).collect()))
+    assert got == want
+    keys = collections.Counter(r[cols.index("shuffle_key")] for r in got.elements())
+    assert max(keys.values()) == 1
+    copies = collections.Counter(r[:5] for r in got.elements())
+    assert 500 < copies[(None, "equal", "en", "a", 5)] < 3000 and len({r[cols.index("copy")] for r in got}) > 2
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert collections.Counter(map(tuple, mixing.mix(df).select(*cols).collect())) == want
+
+
 # ------------------------------------------------------------------ learned operators
 
 def test_toxicity(spark, docs, labels, empty):
@@ -474,6 +500,17 @@ def test_a_rare_language_does_not_shorten_the_others(spark):
     assert got[1001] == "zz"
 
 
+def test_a_language_learns_the_same_among_many(spark):
+    from codeatlas.llm import langid as L
+    rng = np.random.default_rng(11)
+    rows = [(i, "".join(rng.choice(list("abcdefgh "), 900)), f"l{i % 40:02d}") for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many, one = L.train(df), L.train(df.where("lang = 'l07'"))
+    samples = {lang: sample for group, _ in many for lang, sample in group.items()}
+    assert len(samples) == 40 and len(one) == 1 and one[0][0] == {"l07": samples["l07"]} and len(samples["l07"]) > 8000
+    assert all(sum(map(len, group.values())) <= 1.25 * L.TABLE_SYMBOLS for group, _ in many) and len(many) > 1
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     from codeatlas.llm import langid as L
     rng = np.random.default_rng(9)
@@ -617,7 +654,7 @@ def test_sql(spark):
     import duckdb
     from codeatlas.llm.queries import ORACLE, QUERIES
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in ORACLE.items():
         res = con.execute(sql)
