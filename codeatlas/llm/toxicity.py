@@ -10,11 +10,13 @@ length. The length-normalised ratio of the whole text and of its worst window,
 and the share of strongly toxic words, go through a logistic curve fitted on
 ratios that other thirds of the training rows' counts gave (cross-fitting).
 
-Bounds (documented parameters): at most MAX_DOCS labelled documents of each
-class, those with the smallest id hashes, whole texts. All letter windows of
-these texts are kept, so continuation counts are whole and the models grow with
-the vocabulary of the sample; workers hold one model at a time. Scoring reads every whole text in the scan;
-nothing is shuffled.
+Every labelled document of the learning folds teaches, whole texts: counts are
+summed and the curve is fitted by Spark aggregations over all of them. All
+letter windows of these texts are kept, so continuation counts are whole; what
+reaches the driver and each worker is one number a distinct window, which grows
+with the vocabulary, not with the texts; workers hold one model at a time.
+Texts of the learning folds meet their labels by a join; scoring reads every
+whole text in the scan and shuffles nothing.
 
 Defined cases: a null text counts as empty, and a text without letters scores
 0; labels of one id combine to toxic if any is; labels that are null, of null
@@ -30,6 +32,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,6 @@ from codeatlas.session import cut_table
 ORDER = 6            # letters of the longest window, the predicted one included
 SHARED = 2           # orders up to this pool both classes
 DISCOUNT = 0.75
-MAX_DOCS = 20_000    # labelled documents of each class
 ALPHABET = 61        # most frequent letters; the others share one symbol
 WINDOW = 24          # words of the window whose ratio counts on its own
 STRONG = 3.0         # log ratio from which a word is strongly toxic
@@ -180,20 +182,31 @@ class Classifier:
     share: float
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps; columns are standardised inside."""
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-    w = np.zeros(z.shape[1])
+def logistic(seen: DataFrame, features: list[str], target: str, penalty: float = 1e-2) -> np.ndarray:
+    """Logistic regression by Newton steps, each of them one aggregation over all
+    rows; columns are standardised inside. (Intercept, weights), rounded to nine
+    places, so that the order of the sums does not show."""
+    stats = seen.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
+    mean, sd = np.array(stats[:len(features)]), np.array(stats[len(features):]) + 1e-9
+    z = [F.lit(1.0)] + [(F.col(c) - float(m)) / float(d) for c, m, d in zip(features, mean, sd)]
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    w = np.zeros(len(z))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + penalty * w
-        hess = (z * (p * (1 - p))[:, None]).T @ z + penalty * np.eye(len(w))
+        at = sum(float(k) * x for k, x in zip(w[1:], z[1:])) + float(w[0])
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))))
+        rows = seen.select(p.alias("p"), F.col(target).cast("double").alias("y"), *[x.alias(f"z{i}") for i, x in enumerate(z)])
+        sums = rows.agg(*[F.sum((F.col("p") - F.col("y")) * F.col(f"z{i}")) for i in range(len(z))],
+                        *[F.sum(F.col("p") * (1 - F.col("p")) * F.col(f"z{i}") * F.col(f"z{j}")) for i, j in pairs]).first()
+        grad = np.array(sums[:len(z)]) + penalty * w
+        hess = penalty * np.eye(len(z))
+        for (i, j), value in zip(pairs, sums[len(z):]):
+            hess[i, j] += value
+            hess[j, i] = hess[i, j]
         step = np.linalg.solve(hess, grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return np.concatenate([[w[0] - (w[1:] * mean / sd).sum()], w[1:] / sd])
+    return np.round(np.concatenate([[w[0] - (w[1:] * mean / sd).sum()], w[1:] / sd]), 9)
 
 
 def _count_windows(it: Iterator[pa.RecordBatch], letters: dict[str, int]) -> Iterator[pa.RecordBatch]:
@@ -229,17 +242,15 @@ def _count_letters(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["letter", "n"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Classifier:
-    """Learn from documents whose crc32(doc_id) mod 4 is not 2."""
+def train(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """Learn from all labelled documents whose crc32(doc_id) mod 4 is not 2."""
     bounded_batches(docs)
     spark = docs.sparkSession
     known = (labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("l_id"))
              .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")).withColumn("part", fold("l_id", 4).cast("int")).where("part <> 2"))
-    by_hash = [F.xxhash64("l_id"), F.col("l_id")]
-    picked = known.where("toxic = 1").orderBy(*by_hash).limit(max_docs).union(known.where("toxic = 0").orderBy(*by_hash).limit(max_docs))
-    # at most 2 * max_docs ids: a bounded broadcast, so that texts stay where they are read
-    sample = cut_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))
-                       .select("text", "part", "toxic"), "toxicity_sample")
+    teaching = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fold("doc_id", 4) != 2)
+    # neither side is bounded: a merge join at every size, so that disk and memory stay in proportion
+    sample = cut_table(teaching.join(known.hint("merge"), F.col("doc_id") == F.col("l_id")).select("text", "part", "toxic"), "toxicity_sample")
     letters = {r["letter"]: k for k, r in enumerate(sample.select("text").mapInArrow(_count_letters, "letter string, n long").groupBy("letter")
                .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(ALPHABET).collect(), 1)}
     each = [F.coalesce(F.sum(F.when((F.col("part") == p) & (F.col("toxic") == t), F.col("n"))), F.lit(0)).alias(f"n{p}_{t}") for p in PARTS for t in (0, 1)]
@@ -253,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Class
     order = np.argsort(codes)
     codes = codes[order]
     counts = {p: np.array([grams.column(f"n{p}_{t}").to_numpy()[order] for t in (0, 1)]) for p in PARTS}
-    parts = []
+    seen = []
     for p in PARTS:
         crossed = spark.sparkContext.broadcast(fit(letters, codes, sum(counts[q] for q in PARTS if q != p)))
 
@@ -265,11 +276,9 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Class
                     x, _ = scorer.features(some.column(0).to_pylist())
                     yield pa.RecordBatch.from_arrays([some.column(1), *map(pa.array, x.T)], ["toxic", "a", "b", "c"])
 
-        parts.append(sample.where(F.col("part") == p).select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double").toArrow())
+        seen.append(cut_table(sample.where(F.col("part") == p).select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double"), "toxicity_features"))
         crossed.destroy()
-    seen = pa.concat_tables(parts)  # at most 2 * max_docs rows of numbers
-    x = np.column_stack([seen.column(c).to_numpy() for c in "abc"])
-    curve = logistic(x, seen.column("toxic").to_numpy().astype(float))
+    curve = logistic(reduce(DataFrame.unionByName, seen), ["a", "b", "c"], "toxic")
     return Classifier(fit(letters, codes, sum(counts.values())), curve, float(share[0]))
 
 
@@ -292,9 +301,9 @@ def _score_batches(made, columns_at: int):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_docs: int = MAX_DOCS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    made = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_docs))
+    made = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, scores in _score_batches(made, 1)(it):
@@ -305,10 +314,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_docs: int = MAX_DOCS) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns kept; the
     verdict is taken in the scan, so equal ids need no join."""
-    made = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_docs))
+    made = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -442,6 +442,17 @@ def test_toxicity_keeps_all_windows_of_the_sample(spark):
     assert len(codes) > 1 << 19 and np.array_equal(made.model.grams[-1], codes)
 
 
+def test_toxicity_learns_from_every_label(spark):
+    from codeatlas.llm import toxicity as T
+    n = 28_000  # more than 20,000 ordinary ones outside the held-out fold
+    letters = "abcdefghijklmnop"
+    rows = [(i, " ".join("".join(letters[i >> s & 15] for s in (12, 8, 4, 0)) * k for k in (1, 2))) for i in range(n)]
+    made = T.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 28 == 0)) for i in range(n)], "doc_id long, toxic int"))
+    taught = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert made.share == pytest.approx(sum(i % 28 == 0 for i, _ in taught) / len(taught), abs=1e-12)
+    assert np.array_equal(made.model.grams[-1], np.unique(T._symbols([w for _, t in taught for w in t.split()], made.model.letters)[0]))
+
+
 def test_backoff_is_shared_and_probabilities_sum_to_one():
     from codeatlas.llm import toxicity as X
     letters = {c: k for k, c in enumerate("abc", 1)}
