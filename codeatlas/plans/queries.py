@@ -211,7 +211,7 @@ def _responses(a: Analysis) -> DataFrame:
 
 
 def _parsed_responses(a: Analysis) -> DataFrame:
-    return _kept(a, "parsed_responses", lambda: I.parse_responses(_responses(a), a.steps))
+    return _kept(a, "parsed_responses", lambda: I.parse_responses(_responses(a), a.steps, a.tables))
 
 
 def _texts(a: Analysis) -> DataFrame:

@@ -153,3 +153,13 @@ def test_project_prompt_parts_join_to_the_whole(spark):
     parts = sorted((r.part_no, r.text) for r in I.project_prompt_parts(scripts, services, conns, summaries, part_bytes=300).collect() if r.project_id == "p")
     assert "".join(t for _, t in parts) == want["p"] and len(parts) > 10
     assert max(len(t) for _, t in parts) <= 300 + len(I.PROJECT_INSTRUCTIONS) + 2
+
+
+def test_replies_are_parsed_once(spark):
+    from codeatlas.operators import prompts as I
+    steps = spark.createDataFrame([("p", "a.py", 0, 3, "output", "print()")], "project_id string, path string, pos int, line_number int, type string, description string")
+    raw = ['```json\n{"phase_summary": "s", "steps": {"3": "x", "4": "y"}, "risk": "r"}\n```', None, "{ no end", "} {"]
+    replies = spark.createDataFrame([("p", "a.py", "reporting", r) for r in raw], "project_id string, path string, phase string, raw string")
+    parsed = I.parse_responses(replies, steps)
+    assert "MapInArrow" not in parsed._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.kind, r.line, r.text) for r in parsed.collect()) == [("risk", None, "r"), ("step", 3, "x"), ("summary", None, "s")]
