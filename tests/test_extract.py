@@ -150,3 +150,17 @@ def test_syntax_error_quarantine(spark):
     kinds = {(r.path, r.kind) for r in an.facts.select("path", "kind").collect()}
     assert ("bad.py", "error") in kinds
     assert an.steps.where("path = 'bad.py'").count() == 0
+
+
+def test_one_walk_numbers_nodes_in_both_orders():
+    import ast
+    from codeatlas.operators.facts import _WANTED, _visited
+    tree = ast.parse("def f(a, *, b=g(1)):\n    x = {**a, 'k': h(b)}\n    class C:\n        def m(self): return [q(i) for i in x if i]\ntry: f(1)(2)\nexcept E: pass\n")
+    pre, stack = [], [(tree, 0, None)]
+    while stack:
+        node, depth, func = stack.pop()
+        pre.append((node, depth, func))
+        inner = node.name if isinstance(node, ast.FunctionDef) else func
+        stack += [(c, depth + 1, inner) for c in reversed(list(ast.iter_child_nodes(node)))]
+    breadth = {id(n): i for i, n in enumerate(ast.walk(tree))}
+    assert _visited(tree) == [(i, breadth[id(n)], d, f, n) for i, (n, d, f) in enumerate(pre) if type(n) in _WANTED]
