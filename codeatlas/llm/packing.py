@@ -14,6 +14,7 @@ stays null; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -138,16 +139,20 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = EN
             size = 0
             for batch in it:
                 ids = batch.column(0).to_pylist()
-                for doc_id, got in zip(ids, pieces.all(batch.column(1).to_pylist())):
+                for doc_id, got in zip(ids, pieces.all(batch.column(1).to_pylist(), b"".join)):
                     names.append(doc_id)
-                    held.append(b"".join(got) + end)
+                    held.append(got + end)
                     size += len(held[-1]) // 4
                     if size >= shard_ids:
                         yield from flush()
                         size = 0
             yield from flush()
 
-        yield from batches(SCHEMA, rows(), 2048)
+        gc.disable()  # texts, pieces and windows hold no cycles: counting references frees them
+        try:
+            yield from batches(SCHEMA, rows(), 2048)
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

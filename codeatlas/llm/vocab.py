@@ -70,11 +70,11 @@ class Pieces:
             self.marks.update(zip(fresh, self.compute(fresh)))
             into.update((k, into[base] + self.marks[k[len(base):]]) for k, base in split.items())
 
-    def _values(self, texts: list[list[str]], need: set[str], into: dict, made: Callable[[str], str]) -> list[list]:
-        """The values of all pieces; ``need``: those that ``into`` lacks."""
+    def _values(self, texts: list[list[str]], need: set[str], into: dict, made: Callable[[str], str], whole: Callable) -> list:
+        """``whole`` of the values of each text's pieces; ``need``: pieces that ``into`` lacks."""
         if need:
             self._learn(into, need, made)
-        out = [list(map(into.__getitem__, parts)) for parts in texts]
+        out = [whole(map(into.__getitem__, parts)) for parts in texts]
         for k in [k for k in need if len(k) > MAX_PIECE]:
             del into[k]
         for table in (into, self.marks):
@@ -83,13 +83,13 @@ class Pieces:
                     del table[k]
         return out
 
-    def group(self, texts: list[str]) -> list[list]:
-        """The piece values of each text, in order."""
+    def group(self, texts: list[str], whole: Callable = list) -> list:
+        """``whole`` of the piece values of each text, in order."""
         if not self.spaced:
             # ASCII letters are folded by this tokenizer anyhow; a special token's string must stay as it is
             folded = [t if "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts] if self.folds else texts
             parts = [[p for p in t.replace("\n", " ").split(" ") if p] for t in folded]
-            return self._values(parts, set().union(*parts).difference(self.inner), self.inner, str)
+            return self._values(parts, set().union(*parts).difference(self.inner), self.inner, str, whole)
         first: list[list[str]] = []
         rest: list[list[str]] = []
         for text in texts:
@@ -103,22 +103,25 @@ class Pieces:
             for i, parts in enumerate(rest):
                 if not odd.isdisjoint(parts):
                     first[i], rest[i] = _RUNS.findall(texts[i]), []
-        heads = self._values(first, set().union(*first).difference(self.literal), self.literal, str)
-        tails = self._values(rest, new - odd, self.inner, lambda p: p if p[0] == "\n" else " " + p)
+        heads = self._values(first, set().union(*first).difference(self.literal), self.literal, str, whole)
+        tails = self._values(rest, new - odd, self.inner, lambda p: p if p[0] == "\n" else " " + p, whole)
         return [a + b for a, b in zip(heads, tails)]
 
-    def all(self, texts: Iterable[str | None]) -> Iterable[list]:
-        """Piece values of any number of texts, in bounded groups."""
+    def all(self, texts: Iterable[str | None], whole: Callable = list) -> Iterable:
+        """``whole`` of the piece values of each of any number of texts, in bounded
+        groups. It takes an iterator; what it gives of two runs of pieces adds up
+        to that of both (``list``, ``sum``, ``b"".join``), so that values are
+        touched once, where they are looked up."""
         held: list[str] = []
         size = 0
         for text in texts:
             held.append(text or "")
             size += len(held[-1])
             if size >= GROUP_CHARS:
-                yield from self.group(held)
+                yield from self.group(held, whole)
                 held, size = [], 0
         if held:
-            yield from self.group(held)
+            yield from self.group(held, whole)
 
 
 def _lower_cases(tok) -> bool:

@@ -94,6 +94,14 @@ def test_cascade_order_changes_cost_only():
 
 # ------------------------------------------------------------------ tokens
 
+def test_piece_values_are_joined_where_they_are_looked_up():
+    from codeatlas.llm.vocab import encoder, tokenizer_path
+    texts = ["", None, "one two, two", "  odd\tspace\n\nrun ", "Head tail <|endoftext|> end", "x" * 100 + " y"] * 3
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        pieces = encoder(tokenizer_path(name), spaced)
+        assert list(pieces.all(texts, b"".join)) == [b"".join(v) for v in pieces.all(texts)]
+
+
 def test_pieces_equal_the_library():
     from codeatlas.llm.token_counts import counter
     from codeatlas.llm.vocab import encoder, tokenizer_path
