@@ -417,10 +417,14 @@ def phase_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     between chatter, truncated, inside an array, two objects, repeated members
     with NaN, and fenced with a blank risk. Step keys name arithmetic lines,
     plain, signed, spaced, with an underscore, in other digits, or as decimals;
-    their values are words of the text, NaN or null."""
+    their values are words of the text, NaN or null.
+
+    Rows are dealt evenly before the replies are made: a reply is much more work
+    than its row's bytes, by which a scan is split. A text is split once."""
     from codeatlas import rules as R
-    rows = _conversation_rows(spark, sf_dir).where("turn between 0 and 4")
-    words = F.split("text", " ")
+    rows = _conversation_rows(spark, sf_dir).where("turn between 0 and 4").repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = rows.withColumn("words", F.split("text", " "))
+    words = F.col("words")
 
     def entry(k: Column) -> Column:
         n = (2 + (F.col("conv_id") * 7 + F.col("turn") * 3 + k * k) % REPLY_LINES).cast("string")

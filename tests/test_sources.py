@@ -251,3 +251,21 @@ def test_signature_keeps_its_order_and_defaults(spark):
     AJ.write_documents(AJ.script_documents(an.scripts, an.steps, an.imports, an.services, an.secrets, an.triggers, an.signature), an.connections, folder)
     text, = [r.signature for r in AJ.read_scripts(spark, folder).collect()]
     assert text == '{"zeta":{},"src":{"type":"str"},"limit":{"default":10},"opts":{"default":{"k":[1,null]}}}'
+
+
+def test_replies_are_made_in_tasks_of_their_own(spark):
+    """A reply is much more work than its row's bytes: one small file makes one scan task."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from codeatlas.sources import corpus as C
+    folder = tempfile.mkdtemp(prefix="codeatlas-replies-")
+    rows = [(i % 50 if i % 7 else None, i % 9, "user", f"alpha beta {i}" if i % 11 else None) for i in range(400)]
+    rows += rows[:20]
+    names = [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]
+    pq.write_table(pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), names)], names=[n for n, _ in names]), f"{folder}/conversations.parquet")
+    made = C.phase_replies(spark, folder)
+    assert made.count() == sum(r[1] <= 4 for r in rows)
+    assert made.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1
