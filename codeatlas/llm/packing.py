@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeatlas.llm.common import batches, bounded_batches
+from codeatlas.llm.common import batches, bounded_batches, released
 from codeatlas.llm.vocab import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = EN
             size = 0
             for batch in it:
                 ids = batch.column(0).to_pylist()
-                for doc_id, got in zip(ids, pieces.all(batch.column(1).to_pylist(), b"".join)):
+                for doc_id, got in zip(ids, pieces.column(batch.column(1))):
                     names.append(doc_id)
                     held.append(got + end)
                     size += len(held[-1]) // 4
@@ -155,4 +155,4 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = EN
             gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+        released(run), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -117,6 +117,36 @@ def test_pieces_equal_the_library():
             assert [sum(v) for v in counter(tokenizer_path(name)).all(texts)] == [len(w) for w in want]
 
 
+def test_columns_of_texts_give_the_library_ids_and_see_each_piece_once(monkeypatch):
+    import pyarrow as pa
+    from codeatlas.llm import vocab as V
+    monkeypatch.setattr(V, "_encoders", {})
+    monkeypatch.setattr(V, "COLUMN_KEPT", 300)  # tables are cut while they are used
+    monkeypatch.setattr(V, "COLUMN_BYTES", 4000)
+    monkeypatch.setattr(V, "FOLLOWING", 7)
+    rng = np.random.default_rng(2)
+    parts = ["a", "the", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\x85", "\u00a0", "é", "Σ", "中", "23", "'s", ",", ".", "!!", "<|endoftext|>", "<|", "👍🏽", "\r\n", "x" * 70, "Word", ". "]
+    texts = ["", None, " ", "\n", " a", "\na", *("".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000))]
+    texts += [f"w{i} w{i}, w{i // 2}.\nw{i}<|endoftext|> b{i}" for i in range(400)]
+    want = [e.ids for e in tokenizer("byte_bpe_50k.json").encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    pieces = V.encoder(V.tokenizer_path("byte_bpe_50k.json"), spaced=True)
+    column = pa.array(texts)
+    got = [x for lo in range(0, len(texts), 500) for x in pieces.column(column.slice(lo, 500))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert pieces.column(column[:0]) == [] and pieces.column(column[:2]) == [b"", b""]
+    asked = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    monkeypatch.setattr(V, "COLUMN_BYTES", 1 << 20)
+    pieces.inner = Counted()
+    pieces.column(pa.array(["head red blue red blue"] * 200))
+    assert len(asked) <= 3  # head, red, blue: not once for each of 800 words
+
+
 def test_token_counts(docs, empty):
     from codeatlas.llm.token_counts import token_counts
     tok = tokenizer("byte_bpe_50k.json")
