@@ -144,10 +144,11 @@ def triggers(facts: DataFrame) -> DataFrame:
     route_method = F.coalesce(*[F.when(text.contains(f".{m}("), F.lit(m.upper())) for m in R.ROUTE_METHODS],
                               F.lit("ANY"))
     route = F.coalesce(F.col("arg0_str"), F.lit("<dynamic>"))
+    guard = (kind == "if") & F.col("flag")
+    parser = call & (((method == "ArgumentParser") & (F.col("chain") == "argparse")) | (name == "ArgumentParser"))
     cands = F.array(
-        trig((kind == "if") & F.col("flag"), "cli", F.lit("__main__ guard"), 0),
-        trig(call & (((method == "ArgumentParser") & (F.col("chain") == "argparse"))
-                     | (name == "ArgumentParser")), "cli", F.lit("argparse"), 1),
+        trig(guard, "cli", F.lit("__main__ guard"), 0),
+        trig(parser, "cli", F.lit("argparse"), 1),
         trig(call & (method == "do"), "cron", F.lit("schedule job"), 2),
         trig(call & (method == "add_job"), "cron", F.lit("apscheduler job"), 3),
         trig((kind == "decorator") & (text.contains("click.command") | text.contains("typer.command")
@@ -160,7 +161,8 @@ def triggers(facts: DataFrame) -> DataFrame:
         trig((kind == "decorator") & (text.contains("modal.function") | text.contains("modal.method")),
              "webhook", F.concat(F.lit("modal function: "), name), 7),
     )
-    relevant = facts.where(kind.isin("if", "call", "decorator"))
+    # most calls and conditions trigger nothing: they go before candidates are made
+    relevant = facts.where(kind.isin("if", "call", "decorator")).where(guard | parser | (call & method.isin("do", "add_job")) | (kind == "decorator"))
     t = (relevant.select("project_id", "path", "bfs", F.coalesce("value_line", F.lit(0)).alias("dec_ix"),
                          F.explode(F.array_compact(cands)).alias("t"))
          .select("project_id", "path", "t.type", "t.detail",

@@ -35,7 +35,9 @@ class Analysis:
                  extra_steps: DataFrame | None = None, materialize: bool = True, raw_facts: DataFrame | None = None):
         self.spark = spark
         self.tables: list[str] = []  # written tables
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # of the clustered ones
         self.raw_facts = raw_facts
+        self.dealt = raw_facts is None  # facts made here come dealt by file
         self.materialize = materialize
         self.source_files = source_files
         self.listing = listing
@@ -67,8 +69,8 @@ class Analysis:
         files = FS.listing(spark, root)
         scanned = FS.scan(spark, root, files, max_file_size)
         hashed = FS.hashed(spark, root, scanned)
-        raw = facts_of_files(content_facts(FS.distinct_contents(spark, root, hashed)), hashed)
-        an = cls(spark, None, scanned.where("status <> 'unreadable'").select("project_id", "path"), materialize=materialize, raw_facts=raw)
+        an = cls(spark, None, scanned.where("status <> 'unreadable'").select("project_id", "path"), materialize=materialize)
+        an.raw_facts = facts_of_files(content_facts(FS.distinct_contents(spark, root, hashed)), hashed, an.buckets if materialize else None)
         an.status = scanned.select("project_id", "path", "length", "status")
         an.__dict__["modules"] = X.local_modules(FS.module_scope(spark, root, files).select("project_id", "path"))
         return an
@@ -81,8 +83,8 @@ class Analysis:
     def facts(self) -> DataFrame:
         f = self.raw_facts
         if f is None:
-            f = syntax_facts(self.source_files, 2 * self.spark.sparkContext.defaultParallelism)
-        return clustered_table(f, "facts", ["project_id", "path"], "kind", tables=self.tables) if self.materialize else f
+            f = syntax_facts(self.source_files, 2 * self.spark.sparkContext.defaultParallelism, self.buckets if self.materialize else None)
+        return clustered_table(f, "facts", ["project_id", "path"], "kind", self.buckets, self.tables, self.dealt) if self.materialize else f
 
     @cached_property
     def parsed(self) -> dict[str, DataFrame]:

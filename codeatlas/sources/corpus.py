@@ -201,8 +201,12 @@ def _headers_df(spark: SparkSession) -> DataFrame:
 # token substitution
 # --------------------------------------------------------------------------
 
-def subst(c: Column) -> Column:
-    """Replace the per-user / per-slot tokens of a template string."""
+FILE_TOKENS = ("{sec}", "{pd}", "{p2}", "{p}", "{q}", "{u}", "{m}")  # the same in a whole file
+SLOT_TOKEN = "{s}"
+
+
+def subst(c: Column, tokens: tuple[str, ...] | None = None) -> Column:
+    """Replace the per-user / per-slot tokens of a template string, or only ``tokens``."""
     u = F.col("user_id")
     secret = F.element_at(F.array(*[F.lit(s) for s in SECRET_NAMES]), (u % 5 + 1).cast("int"))
     values = (
@@ -213,11 +217,12 @@ def subst(c: Column) -> Column:
         ("{q}", (u - 7).cast("string")),
         ("{u}", u.cast("string")),
         ("{m}", (u % 5).cast("string")),
-        ("{s}", F.col("sif").cast("string")),
+        (SLOT_TOKEN, F.col("sif").cast("string")),
     )
     out = c
     for token, value in values:
-        out = F.replace(out, F.lit(token), value)
+        if tokens is None or token in tokens:
+            out = F.replace(out, F.lit(token), value)
     return out
 
 
@@ -280,22 +285,21 @@ def source_files(spark: SparkSession, sf_dir: str, ce: DataFrame | None = None)
     """(project_id, path, length, content) of the derived corpus.
 
     A file is assembled from at most SLOTS_PER_FILE slots, so the ordered
-    collect per file is bounded whatever the skew of user_id.
+    collect per file is bounded whatever the skew of user_id. Only the slot's own
+    token is replaced slot by slot, the others once in the whole file.
     """
     ce = (corpus_events(spark, sf_dir) if ce is None else ce).join(F.broadcast(_templates_df(spark)), "template")
     ind = F.when(F.col("in_func"), F.lit("    ")).otherwise(F.lit(""))
     first = F.when(F.col("in_func") & (F.col("sif") % SLOTS_PER_BLOCK == 0),
                    F.concat(F.lit("def f"), F.col("block").cast("string"), F.lit("():"))) \
              .otherwise(F.concat(F.lit("# "), F.col("sif").cast("string")))
-    text = F.concat(first, F.lit("\n"), ind, subst(F.col("code")), F.lit("\n"),
-                    ind, subst(F.col("tail")), F.lit("\n"))
+    text = subst(F.concat(first, F.lit("\n"), ind, F.col("code"), F.lit("\n"), ind, F.col("tail"), F.lit("\n")), (SLOT_TOKEN,))
     per_file = (ce.withColumn("text", text)
                   .groupBy("project_id", "path", "user_id", "hdr")
                   .agg(F.array_sort(F.collect_list(F.struct("sif", "text"))).alias("slots")))
     headers = F.broadcast(_headers_df(spark).select("hdr", "header"))
-    return (per_file.join(headers, "hdr").withColumn("sif", F.lit(0))
-            .withColumn("content", F.concat(subst(F.col("header")),
-                                            F.array_join(F.transform("slots", lambda s: s["text"]), "")))
+    return (per_file.join(headers, "hdr")
+            .withColumn("content", subst(F.concat("header", F.array_join(F.transform("slots", lambda s: s["text"]), "")), FILE_TOKENS))
             .select("project_id", "path", F.length("content").cast("long").alias("length"), "content"))
 
 

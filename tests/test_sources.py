@@ -269,3 +269,21 @@ def test_replies_are_made_in_tasks_of_their_own(spark):
     assert made.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(text") == 1
+
+
+def _written(spark):
+    """An analysis that writes its tables, of four small files and one imported step."""
+    code = "import requests\nfor u in urls:\n    r = requests.get(u)\n\nif __name__ == '__main__':\n    print(r)\n"
+    src = spark.createDataFrame([(f"p{k % 2}", f"m{k}.py", code + f"print({k % 3})\n") for k in range(4)], "project_id string, path string, content string")
+    extra = spark.createDataFrame([("p0", "m0.py", 4, "api_call", "launch", None, None, [], [], 0)],
+                                  "project_id string, path string, line_number int, type string, description string, function_name string, "
+                                  "service struct<name:string,library:string,icon:string>, inputs array<string>, outputs array<string>, k int")
+    return Analysis(spark, src, src.select("project_id", "path"), extra)
+
+
+def test_facts_are_written_as_one_file_a_bucket(spark):
+    an = _written(spark)
+    files = an.facts.inputFiles()
+    assert 0 < len(files) <= an.buckets
+    assert {r.kind for r in an.facts.select("kind").distinct().collect()} == {"import", "for", "call", "assign", "if"}
+    assert sorted((r.project_id, r.path) for r in an.scripts.where("is_entry_point").collect()) == [(f"p{k % 2}", f"m{k}.py") for k in (0, 2, 1, 3)]
