@@ -276,8 +276,11 @@ def script_steps(facts: DataFrame, keys: DataFrame) -> DataFrame:
     is_assign = kind == "assign"
     opened = (kind == "call") & (F.col("name") == "open") & (F.col("arg0_str") != "")
     asks = kind.isin("if", "while", "for") & (F.size("names") > 0)
-    rows = classified(facts, keys).where(F.col("step").isNotNull() | (is_assign & (F.size("names") > 0)) | opened | asks)
-    lines = F.when(is_assign, F.array_distinct(F.array("line", "end_line", "value_line"))).otherwise(F.array("line"))
+    rows = classified(facts, keys)
+    # a row that is no step and touches none stands on no line; as a filter this would classify each row a second time
+    lines = (F.when(is_assign & (F.size("names") > 0), F.when((F.col("line") == F.col("end_line")) & (F.col("line") == F.col("value_line")), F.array("line"))
+                    .otherwise(F.array_distinct(F.array("line", "end_line", "value_line"))))
+             .when(F.col("step").isNotNull() | opened | asks, F.array("line")))
     mode = F.col("open_mode")
     writes = mode.isNull() | mode.contains("w") | mode.contains("a")
     reads = mode.isNull() | ~(mode.contains("w") | mode.contains("a"))

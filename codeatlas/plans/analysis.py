@@ -112,19 +112,27 @@ class Analysis:
 
     @cached_property
     def parsed_steps(self) -> DataFrame:
-        st = self.parsed["steps"]
-        return cut_table(st, "parsed_steps", tables=self.tables) if self.materialize else st
+        return self._stepped(self.parsed["steps"], "parsed_steps")
 
     @cached_property
     def steps(self) -> DataFrame:
         """Parsed steps plus imported ones, renumbered by (line, order in line)."""
-        parsed = self.parsed_steps.withColumn("k", F.col("pos"))
-        if self.extra_steps is None:
-            return self.parsed_steps
-        allv = parsed.drop("pos").unionByName(self.extra_steps)
+        return self.parsed_steps if self.extra_steps is None else self._stepped(self.numbered_steps(), "steps")
+
+    def numbered_steps(self) -> DataFrame:
+        """``steps`` as they are numbered. The imported ones are dealt as the
+        clustered facts are, so that both meet without another exchange."""
+        # parsed steps are not written on their own unless they were asked for: then they are read
+        parsed = self.__dict__.get("parsed_steps", self.parsed["steps"]).withColumn("k", F.col("pos"))
+        # keys that still carry a table's name hide from a union that its sides are dealt alike; an alias without metadata is optimized away
+        parsed = parsed.withColumns({c: F.col(c).alias(c, metadata={"buckets": self.buckets}) for c in ("project_id", "path")})
+        extra = self.extra_steps.repartition(self.buckets, "project_id", "path") if self.materialize else self.extra_steps
+        allv = parsed.drop("pos").unionByName(extra)
         w = Window.partitionBy("project_id", "path").orderBy("line_number", "k")
-        s = allv.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("k")
-        return cut_table(s, "steps", tables=self.tables) if self.materialize else s
+        return allv.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("k")
+
+    def _stepped(self, st: DataFrame, name: str) -> DataFrame:
+        return clustered_table(st, name, ["project_id", "path"], buckets=self.buckets, tables=self.tables, dealt=True) if self.materialize else st
 
     @cached_property
     def scripts(self) -> DataFrame:

@@ -281,6 +281,20 @@ def _written(spark):
     return Analysis(spark, src, src.select("project_id", "path"), extra)
 
 
+def test_steps_are_numbered_without_an_exchange_or_a_table_of_their_own(spark):
+    an = _written(spark)
+    plan = an.numbered_steps()._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "Exchange" not in plan.split("Union")[0]
+    got = sorted(tuple(r) for r in an.steps.select("project_id", "path", "pos", "line_number", "description").collect())
+    assert not any("parsed_steps" in t for t in an.tables)
+    assert [r[2:] for r in got if r[1] == "m0.py"] == [(0, 2, "for u in urls"), (1, 3, "requests.get()"), (2, 4, "launch"), (3, 6, "print()"), (4, 7, "print()")]
+    assert [r[2:] for r in got if r[1] == "m1.py"] == [(0, 2, "for u in urls"), (1, 3, "requests.get()"), (2, 6, "print()"), (3, 7, "print()")]
+    # in the other order the parsed steps are written, read again, and give the same
+    other = _written(spark)
+    assert other.parsed_steps.count() == 16
+    assert sorted(tuple(r) for r in other.steps.select("project_id", "path", "pos", "line_number", "description").collect()) == got
+
+
 def test_facts_are_written_as_one_file_a_bucket(spark):
     an = _written(spark)
     files = an.facts.inputFiles()
